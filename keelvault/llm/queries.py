@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, toxicity, warc
+from . import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def vocabulary_path() -> str:
     """Where the public word vocabulary lies; a path the operator takes as a parameter."""
     import public_tokenizers
