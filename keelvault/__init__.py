@@ -1 +1,11 @@
 """Keelvault: a Spark-native engine that loads Data Vault 2 tables as lazy DataFrames."""
+
+from .config import VaultConfig
+from .operators.ghosts import ghost_records
+from .operators.keyed import hub, link
+from .operators.satellite import satellite, satellite_end_dated
+from .operators.stage import stage
+from .sources.tables import TableRef, append, read_table
+from .specs import Binding, HashRule, StageSpec
+
+__all__ = ["Binding", "HashRule", "StageSpec", "TableRef", "VaultConfig", "append", "ghost_records", "hub", "link", "read_table", "satellite", "satellite_end_dated", "stage"]
