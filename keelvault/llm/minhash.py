@@ -4,10 +4,11 @@ A document's set holds the hashes of its distinct word shingles.  Its range of h
 the smallest hash of each bin is one value of the signature, and an empty bin takes the value of another bin that a fixed
 sequence of its own names (optimal densification).  ROWS values make a band, and equal bands make a bucket.
 
-Equal sets are one node from the start.  In a bucket a few nodes are centres, and each other node is paired with these only
-(star-shaped candidates).  A pair is confirmed on the full sets.  A bucket whose nodes are not of one component yet
-goes on with four times as many centres, nodes that haven't been one, until nothing is untested; so a link between nodes
-that aren't linked to the first centre isn't lost, and a large group of copies costs pairs in proportion to its size.
+Equal sets are one node from the start.  In a bucket the node of the smallest id is the centre, and each other node is paired
+with it only (star-shaped candidates), so the number of pairs is that of the members.  A pair is confirmed on the full sets.
+A link between two nodes that aren't linked to a centre isn't lost: in a bucket whose nodes aren't of one component yet, the
+nodes of different components are compared by sketches of SKETCH bytes, block by block inside tasks, and only pairs whose
+sketches agree nearly as well as those of a link are confirmed on the full sets.
 
 The chance that a pair at the threshold shares no bucket is (1 - 0.8**ROWS)**BANDS, about 5 in a million.
 
@@ -24,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ._graph import components
 from ._store import stored
@@ -36,6 +36,13 @@ BINS = BANDS * ROWS
 SIMILAR, WORDS = 80, 5
 #: For each attempt, the bin whose value an empty bin takes.
 ATTEMPTS = np.random.default_rng(4242).integers(0, BINS, (96, BINS))
+#: Bytes of a sketch, by which pairs across components are told apart before they are confirmed: at the threshold's
+#: similarity the share of equal bytes lies SKETCH_SIGMAS standard deviations above the least that is let through.
+SKETCH_BITS = 9
+SKETCH, SKETCH_SIGMAS = 1 << SKETCH_BITS, 4.5
+SKETCH_ATTEMPTS = np.random.default_rng(4343).integers(0, SKETCH, (96, SKETCH))
+#: Nodes of a bucket in a block; blocks are compared two by two, in tasks of their own.
+BLOCK = 1024
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +101,33 @@ def bands(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A byte of the smallest hash in each of SKETCH bins, a row for each non-empty set (by another hash than the bands)."""
+    n = np.diff(begin)
+    full = np.flatnonzero(n)
+    owner = np.repeat(np.arange(len(full)), n[full])
+    h = mix(v ^ np.uint64(0x1F83D9ABFB41BD6B))
+    slot = owner * SKETCH + (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    by = np.lexsort((h, slot))
+    slot, h = slot[by], h[by]
+    lowest = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+    out, taken = np.zeros((len(full), SKETCH), np.uint8), np.zeros((len(full), SKETCH), bool)
+    out.ravel()[slot[lowest]] = (mix(h[lowest]) >> np.uint64(56)).astype(np.uint8)
+    taken.ravel()[slot[lowest]] = True
+    row, col = np.nonzero(~taken)
+    for attempt in SKETCH_ATTEMPTS:
+        if not len(row):
+            break
+        hit = taken[row, attempt[col]]
+        out[row[hit], col[hit]] = out[row[hit], attempt[col[hit]]]
+        row, col = row[~hit], col[~hit]
+    if len(row):
+        place = np.where(taken, np.arange(SKETCH), SKETCH * 2)
+        ahead = np.minimum.accumulate(np.concatenate([place, place + SKETCH], 1)[:, ::-1], 1)[:, ::-1]
+        out[row, col] = out[row, ahead[row, col] % SKETCH]
+    return out
+
+
 def numbers(v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit numbers that stand for each set."""
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(v + np.uint64(salt)))]) for salt in (11, 23)]
@@ -117,17 +151,70 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
-    """rows: node, text.  Returns node, shingles (sorted 64-bit hashes as bytes) where the text's set has that number."""
+    """rows: node, text.  Returns node, shingles (sorted 64-bit hashes as bytes) and sketch where the text's set has that number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, off in text_slices(batch.column(1)):
                 v, begin = shingle_sets(data, off, k)
-                own = np.flatnonzero(numbers(v, begin)[0] == node[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][own]), pa.array([v[begin[i] : begin[i + 1]].tobytes() for i in own], pa.binary())], names=["node", "shingles"])
+                own = np.flatnonzero((numbers(v, begin)[0] == node[a:b]) & (np.diff(begin) > 0))
+                place = np.cumsum(np.diff(begin) > 0) - 1
+                sketch = sketches(v, begin)
+                columns = [pa.array(node[a:b][own]), pa.array([v[begin[i] : begin[i + 1]].tobytes() for i in own], pa.binary()), pa.array([sketch[place[i]].tobytes() for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
+
+    return rows.select("node", "text").mapInArrow(work, "node long, shingles binary, sketch binary")
+
+
+def crossing(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """members: bucket, node, component of buckets with several components.  Returns pairs (a, b) of different components
+    whose sketches agree well enough; the other pairs are compared, but never written.
+
+    A bucket is cut into blocks of about BLOCK nodes, and each two blocks are compared in one place.
+    """
+    share = similar / 100
+    least = int(np.ceil(SKETCH * (share - SKETCH_SIGMAS * np.sqrt(share * (1 - share) / SKETCH))))
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "node", "component", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("same"))
+    dealt = dealt.join(sets.select("node", "sketch"), "node").repartition("place").sortWithinPartitions("place")
 
-    return rows.select("node", "text").mapInArrow(work, "node long, shingles binary")
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        node, component, left, same = (table[c].to_numpy() for c in ("node", "component", "left", "same"))
+        sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]])
+        x, y = np.flatnonzero(left | same), np.flatnonzero(~left | same)
+        one, two = [], []
+        step = max(1, (16 << 20) // (SKETCH * max(1, len(y))))
+        for at in range(0, len(x), step):
+            i = x[at : at + step]
+            near = (sketch[i][:, None] == sketch[y][None]).sum(2, dtype=np.uint16) >= least
+            near &= component[i][:, None] != component[y][None]
+            p, q = np.nonzero(near)
+            one.append(node[i[p]])
+            two.append(node[y[q]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (one, two))
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        place = None
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            for begin, end in zip(cuts, np.r_[cuts[1:], len(key)], strict=True) if len(key) else ():
+                if held and key[begin] != place:
+                    yield compare(held)
+                    held = []
+                place = key[begin]
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield compare(held)
+
+    return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -148,7 +235,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -156,33 +243,20 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) ->
     signed = stored(signatures(docs, k), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = stored(linked.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "sets")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).filter("n > 1")
+    members = nodes.select(F.explode("bands").alias("bucket"), "node", "doc_id")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "doc_id").alias("centre")).filter("n > 1")
     shared = stored(shared.select("bucket", "centre"), "buckets")
-    members = stored(members.join(shared, "bucket").select("bucket", "node", "centre"), "members")
+    members = stored(members.select("bucket", "node").join(shared, "bucket").select("bucket", "node", "centre"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = stored(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), k).dropDuplicates(["node"]), "shingles")
-    links = stored(confirmed(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets, similar), "links")
+    links = confirmed(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets, similar)
     found = stored(components(links), "components")
-    members, centres = members.withColumn("done", F.col("node") == F.col("centre")).drop("centre"), 1
-    while True:
-        placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.when(~F.col("done"), 1)).alias("open"))
-        open_buckets = spread.filter("low <> high AND open > 1").select("bucket")
-        members = stored(placed.join(open_buckets, "bucket").select("bucket", "node", "component", "done"), "open-members")
-        if members.isEmpty():
-            break
-        centres *= 4
-        order = Window.partitionBy("bucket").orderBy("node")
-        chosen = members.filter(~F.col("done")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres)
-        chosen = stored(chosen.select("bucket", F.col("node").alias("centre"), F.col("component").alias("centre_component")), "centres")
-        pairs = members.filter(~F.col("done")).join(chosen, "bucket").filter("component <> centre_component").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        fresh = stored(confirmed(pairs, sets, similar), "links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            found = stored(components(links), "components")
-        was = chosen.select("bucket", F.col("centre").alias("node"), F.lit(True).alias("chosen"))
-        members = members.join(was, ["bucket", "node"], "left").select("bucket", "node", (F.col("done") | F.coalesce("chosen", F.lit(False))).alias("done"))
+    placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    rest = stored(placed.join(spread.filter("low <> high AND n > 2").select("bucket"), "bucket").select("bucket", "node", "component"), "open-buckets")
+    fresh = confirmed(crossing(rest, sets, similar), sets, similar)
+    stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is linked so far
+    found = stored(components(fresh.unionByName(stars)), "components")
     groups = nodes.select("node", "doc_id").join(found, "node").select("component", "node", "doc_id")
     lowest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = nodes.select("node", "check", "doc_id").join(groups.join(lowest, "component").select("node", "component_id"), "node", "left")
