@@ -177,7 +177,7 @@ def find(docs: DataFrame) -> DataFrame:
     claimed = mentions.filter("kind IS NULL").join(trusted.withColumnRenamed("kind", "as"), "pattern").groupBy("row", "start", "end").agg(F.max_by("as", F.struct("score", "as")).alias("as"))
     added = claimed.groupBy("row").agg(F.collect_set(F.struct("start", "end", "as")).alias("added"))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    split = F.transform(F.split("base", ","), lambda s: F.struct(F.element_at(F.split(s, ":"), 2).cast("int").alias("start"), order[F.element_at(F.split(s, ":"), 1)].alias("k"), s.alias("s")))
+    split = F.transform(F.split("base", ","), lambda s: F.struct(F.get(F.split(s, ":"), F.lit(1)).cast("int").alias("start"), order[F.get(F.split(s, ":"), F.lit(0))].alias("k"), s.alias("s")))
     new = F.transform("added", lambda a: F.struct(a["start"].alias("start"), order[a["as"]].alias("k"), F.concat_ws(":", a["as"], a["start"], a["end"]).alias("s")))
     merged = F.concat_ws(",", F.transform(F.array_sort(F.concat(F.when(F.col("base") != "", split).otherwise(F.slice(split, 1, 0)), new)), lambda s: s["s"]))
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(merged)

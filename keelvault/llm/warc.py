@@ -65,15 +65,15 @@ def record(page_id: int | None, url: str | None, html: bytes, n_bytes: int, dige
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def trained(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary for an archive, or None where its records are too few to train one."""
+def trained(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary for an archive; where its records are too few or too alike to train one, the beginnings of some of them."""
     samples = [s[:SAMPLE_EACH] for s in samples]
-    if len(samples) < 8:
-        return None
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 16)), samples)
-    except zstandard.ZstdError:
-        return None
+    if len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 16)), samples)
+        except zstandard.ZstdError:
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Archive:
@@ -83,12 +83,11 @@ class Archive:
         self.uri = f"{target}/{uuid.uuid4().hex}.warc.zst"
         store, path = fs.FileSystem.from_uri(self.uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.n, self.size = store.open_output_stream(path), 0, 0
+        self.out, self.n, self.size = store.open_output_stream(path, compression=None), 0, 0
         own = trained(samples)
         self.codec = zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=True, write_checksum=True)
-        if own is not None:
-            raw = own.as_bytes()
-            self._write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
+        raw = own.as_bytes()
+        self._write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
 
     def _write(self, data: bytes) -> None:
         self.out.write(data)
@@ -229,7 +228,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Fal
             for uri in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
                 rows, size = [], 0
-                with store.open_input_stream(path, buffer_size=1 << 20) as stream:
+                with store.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for r in read_archive(stream):
                         f = r["fields"]
                         row = (id_of(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), int(r["http"]["Content-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], id_of(f.get("WARC-Refers-To")))
