@@ -135,7 +135,7 @@ def numbers(v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node, check (numbers of the set), bands (null for an empty set)."""
+    """doc_id, text_hash, n_shingles, node, check (numbers of the set), bands (none for an empty set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +145,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 one, two = numbers(v, begin)
                 rows = np.cumsum(np.where(n > 0, BANDS, 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, rows].astype(np.int32)), pa.array(bands(v, begin).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), lists], names=["doc_id", "n_shingles", "node", "check", "bands"])
+                own = [batch.column(i).slice(a, b - a) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), lists], names=["doc_id", "text_hash", "n_shingles", "node", "check", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, node long, check long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(work, "doc_id long, text_hash long, n_shingles long, node long, check long, bands array<long>")
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -240,6 +242,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (whether that is its own), a row per document."""
+    return grouped(docs, k, similar).drop("text_hash")
+
+
+def grouped(docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """As near_duplicates(), with a hash of the text, which tells rows of one id apart."""
     signed = stored(signatures(docs, k), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = stored(linked.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "sets")
@@ -261,12 +268,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) ->
     lowest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = nodes.select("node", "check", "doc_id").join(groups.join(lowest, "component").select("node", "component_id"), "node", "left")
     placed = stored(placed.select("node", "check", F.coalesce("component_id", "doc_id").alias("component_id")), "placed")
-    out = signed.select("doc_id", "n_shingles", "node", "check").join(placed, ["node", "check"], "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node", "check").join(placed, ["node", "check"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """The rows of ``docs`` of which one document of each group stays, that with the smallest id."""
-    removed = near_duplicates(docs, k, similar).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(stored(removed, "removed"), "doc_id", "left_anti").select(*docs.columns)
+    removed = grouped(docs, k, similar).filter(~F.col("kept")).select(F.col("doc_id").alias("_removed"), F.col("text_hash").alias("_removed_text")).distinct()
+    removed = stored(removed, "removed")
+    return docs.join(removed, (F.col("doc_id") == F.col("_removed")) & (F.xxhash64("text") == F.col("_removed_text")), "left_anti").select(*docs.columns)

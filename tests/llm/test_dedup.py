@@ -66,6 +66,12 @@ def test_minhash_odd_rows(make_docs, odd_rows):
     assert minhash.near_duplicates(make_docs(odd_rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(make_docs):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (2, "another text that is not like the others at all")]
+    assert sorted((r["doc_id"], r["text"][:7]) for r in minhash.deduplicated(make_docs(rows)).collect()) == [(1, "w0 w1 w"), (2, "another")]
+
+
 def test_links_that_miss_the_centre_are_found(make_docs):
     """A chain: each text is linked with the next, most not with the smallest id."""
     r = random.Random(9)
