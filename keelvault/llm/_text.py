@@ -5,7 +5,9 @@ Words are the maximal runs of bytes other than space and 0x09-0x0D, which is the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,19 @@ _POWERS = np.ones(1, np.uint64)
 SLICE_BYTES = 1 << 21
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work, after which freed memory goes back to the system: a worker process lives on for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            with contextlib.suppress(Exception):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     h = (h ^ (h >> np.uint64(30))) * _MUL1

@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ._text import trimmed
+
 #: Fixed values of the tokenizer's file: the split pattern and the end-of-word mark.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
@@ -290,6 +292,10 @@ class WordBPE:
             out[i] = np.array(self.merge_word(words[i]))
         return out
 
+    def forget(self) -> None:
+        """Empties the caches, which a task fills for itself."""
+        self.known, self.cache = {}, {}
+
     def normalise(self, text: str) -> str:
         """White space stays as it is: no word holds any, and all of it parts words alike."""
         if not text.isascii():
@@ -411,5 +417,6 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
                 made = [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names = [*kept, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=names)
+        bpe.forget()
 
-    return source.mapInArrow(work, f"{fields}{', ' if fields else ''}{added}")
+    return source.mapInArrow(trimmed(work), f"{fields}{', ' if fields else ''}{added}")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import stored
-from ._text import _BASE, gram_hashes, mix, text_slices, word_hashes, words
+from ._text import _BASE, gram_hashes, mix, text_slices, trimmed, word_hashes, words
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -149,7 +149,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), lists], names=["doc_id", "text_hash", "n_shingles", "node", "check", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(work, "doc_id long, text_hash long, n_shingles long, node long, check long, bands array<long>")
+    return rows.mapInArrow(trimmed(work), "doc_id long, text_hash long, n_shingles long, node long, check long, bands array<long>")
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -166,7 +166,7 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
                 columns = [pa.array(node[a:b][own]), pa.array([v[begin[i] : begin[i + 1]].tobytes() for i in own], pa.binary()), pa.array([sketch[place[i]].tobytes() for i in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
-    return rows.select("node", "text").mapInArrow(work, "node long, shingles binary, sketch binary")
+    return rows.select("node", "text").mapInArrow(trimmed(work), "node long, shingles binary, sketch binary")
 
 
 def crossing(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -216,7 +216,7 @@ def crossing(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
         if held:
             yield compare(held)
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(work), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
