@@ -2,7 +2,8 @@
 
 Vectors of one label are normalised in double precision; equal vectors are one node with a count.  Sampled centres cut each
 label into cells.  A node is at home in its nearest centre's cell and a guest in each cell whose boundary plane is so near
-that a link could cross it (``guest_cells``); so all links of a node lie in its home cell's shard, and shards overlap.
+that a link is likely to cross it (``guest_cells``, ``SPREAD``); so shards overlap, and nearly all links of a node lie in its
+home cell's shard.
 
 A shard is worked on by one task in blocks of at most BLOCK nodes around a medoid each, likewise with guests.  In a block a
 flat graph is built: the nearest nodes of each (by blocked products of matrices) are pruned robustly, so that edges also
@@ -31,10 +32,13 @@ from ._graph import components
 from ._store import stored
 
 COSINE = 0.98
+#: Of the distance at the threshold, the part along a given direction is about 1/sqrt(dimensions); cells overlap by SPREAD
+#: times that (by all of it in up to SPREAD**2 dimensions, where no link is missed).
+SPREAD = 2.5
 #: Nodes of a label in a cell, on average, and the most centres in all (what is broadcast is bounded by them).
-CELL, MOST_CENTRES = 512, 16_384
+CELL, MOST_CENTRES = 1024, 16_384
 #: Nodes in a block, edges of a node, candidates for them, slack of robust pruning, width of the greedy beam.
-BLOCK, DEGREE, POOL, ALPHA, BEAM = 1024, 20, 48, 1.2, 12
+BLOCK, DEGREE, POOL, ALPHA, BEAM = 4096, 20, 48, 1.2, 12
 AUDIT, AUDIT_RECALL = 24, 0.98
 
 
@@ -42,6 +46,11 @@ def distance_of(cosine: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
 
+def reach_in(dimensions: int) -> float:
+    """How far beyond a cell's boundary its guests may lie."""
+    return distance_of(COSINE) * min(1.0, SPREAD / np.sqrt(max(1, dimensions)))
+
+
 def guest_cells(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each unit vector, and whether it must be known in each cell (a matrix; true at home).
 
@@ -92,7 +101,7 @@ def graph_of(x: np.ndarray) -> tuple[np.ndarray, int]:
         order = np.argsort(-np.take_along_axis(s, near, 1), 1, kind="stable")
         pool[a : a + 256] = np.take_along_axis(near, order, 1)
         sims[a : a + 256] = np.take_along_axis(s, pool[a : a + 256], 1)
-    out = pruned(x, pool, sims)
+    out = np.concatenate([pruned(x, pool[a : a + 1024], sims[a : a + 1024]) for a in range(0, n, 1024)])
     src, dst = np.repeat(np.arange(n), DEGREE), out.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
     edges = np.unique(np.concatenate([src * n + dst, dst * n + src]))
@@ -159,7 +168,7 @@ def links_of_shard(x: np.ndarray, home: np.ndarray, counts: np.ndarray) -> tuple
             i = parent[i]
         return i
 
-    for members, own in blocks(x, home, distance_of(COSINE)):
+    for members, own in blocks(x, home, reach_in(x.shape[1])):
         y, queries = x[members], np.flatnonzero(own)
         if not len(queries):
             continue
@@ -220,7 +229,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         for k, vs in by.items():
             centres[k] = refined(np.stack(vs), wanted[k])
     shared = spark.sparkContext.broadcast(centres)
-    reach = distance_of(COSINE)
+    reach = reach_in(dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
