@@ -113,11 +113,14 @@ def graph_of(x: np.ndarray) -> tuple[np.ndarray, int]:
     return lists, int((x @ mean).argmax())
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, start: int, query: np.ndarray) -> np.ndarray:
-    """Nodes whose cosine with the query reaches COSINE, by a greedy beam from the medoid and expanding rings from there."""
+def range_search(x: np.ndarray, lists: np.ndarray, start: int, node: int) -> np.ndarray:
+    """Nodes whose cosine with a node reaches COSINE, by a greedy beam from the medoid, joined by the node's own edges, and
+    rings that expand from all nodes in range."""
+    query = x[node]
     seen = np.zeros(len(x), bool)
-    seen[start] = True
-    beam, sims = np.array([start]), x[[start]] @ query
+    beam = np.unique([start, node])
+    seen[beam] = True
+    sims = x[beam] @ query
     found = [beam[sims >= COSINE]]
     expanded = np.zeros(len(x), bool)
     while True:
@@ -175,10 +178,10 @@ def links_of_shard(x: np.ndarray, home: np.ndarray, counts: np.ndarray) -> tuple
         lists, start = graph_of(y)
         checked = queries[:: max(1, len(queries) // AUDIT)]
         truth = [np.flatnonzero(y @ y[q] >= COSINE) for q in checked]
-        hits = sum(len(np.intersect1d(range_search(y, lists, start, y[q]), t)) for q, t in zip(checked, truth, strict=True))
+        hits = sum(len(np.intersect1d(range_search(y, lists, start, q), t)) for q, t in zip(checked, truth, strict=True))
         exact = hits < AUDIT_RECALL * sum(map(len, truth))
         for q in queries:
-            found = np.flatnonzero(y @ y[q] >= COSINE) if exact else range_search(y, lists, q if lists[q, 0] < 0 else start, y[q])
+            found = np.flatnonzero(y @ y[q] >= COSINE) if exact else range_search(y, lists, start, q)
             found = found[found != q]
             n_links[members[q]] = counts[members[found]].sum()
             if len(found):
