@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by a robust-pruned flat graph (operator 8).
 
 Vectors of one label are normalised in double precision; equal vectors are one node with a count.  Sampled centres cut each
-label into cells.  A node is at home in its nearest centre's cell and a guest in each cell whose boundary plane is so near
-that a link is likely to cross it (``guest_cells``, ``SPREAD``); so shards overlap, and nearly all links of a node lie in its
-home cell's shard.
+label into cells.  A node is at home in its nearest centre's cell and a guest in each cell whose boundary plane is within a
+link's distance (``guest_cells``); so shards overlap, and all links of a node lie in its home cell's shard, whatever the
+direction of a link.
 
 A shard is worked on by one task in blocks of at most BLOCK nodes around a medoid each, likewise with guests.  In a block a
 flat graph is built: the nearest nodes of each (by blocked products of matrices) are pruned robustly, so that edges also
@@ -32,9 +32,6 @@ from ._graph import components
 from ._store import stored
 
 COSINE = 0.98
-#: Of the distance at the threshold, the part along a given direction is about 1/sqrt(dimensions); cells overlap by SPREAD
-#: times that (by all of it in up to SPREAD**2 dimensions, where no link is missed).
-SPREAD = 2.5
 #: Nodes of a label in a cell, on average, and the most centres in all (what is broadcast is bounded by them).
 CELL, MOST_CENTRES = 1024, 16_384
 #: Nodes in a block, edges of a node, candidates for them, slack of robust pruning, width of the greedy beam.
@@ -46,11 +43,6 @@ def distance_of(cosine: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
 
-def reach_in(dimensions: int) -> float:
-    """How far beyond a cell's boundary its guests may lie."""
-    return distance_of(COSINE) * min(1.0, SPREAD / np.sqrt(max(1, dimensions)))
-
-
 def guest_cells(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each unit vector, and whether it must be known in each cell (a matrix; true at home).
 
@@ -171,13 +163,13 @@ def links_of_shard(x: np.ndarray, home: np.ndarray, counts: np.ndarray) -> tuple
             i = parent[i]
         return i
 
-    for members, own in blocks(x, home, reach_in(x.shape[1])):
+    for members, own in blocks(x, home, distance_of(COSINE)):
         y, queries = x[members], np.flatnonzero(own)
         if not len(queries):
             continue
         lists, start = graph_of(y)
         checked = queries[:: max(1, len(queries) // AUDIT)]
-        truth = [np.flatnonzero(y @ y[q] >= COSINE) for q in checked]
+        truth = [np.setdiff1d(np.flatnonzero(y @ y[q] >= COSINE), q) for q in checked]  # a query's hit on itself says nothing
         hits = sum(len(np.intersect1d(range_search(y, lists, start, q), t)) for q, t in zip(checked, truth, strict=True))
         exact = hits < AUDIT_RECALL * sum(map(len, truth))
         for q in queries:
@@ -232,7 +224,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         for k, vs in by.items():
             centres[k] = refined(np.stack(vs), wanted[k])
     shared = spark.sparkContext.broadcast(centres)
-    reach = reach_in(dim)
+    reach = distance_of(COSINE)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

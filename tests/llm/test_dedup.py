@@ -183,3 +183,14 @@ def test_embeddings(spark, monkeypatch, block):
     assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in truth]
     assert all(g <= t for (_, g, _), (_, t, _) in zip(got, truth, strict=True))
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_links_across_boundaries_of_any_direction(spark, monkeypatch):
+    """Vectors on a circle in 64 dimensions: every link that crosses a boundary does so along its normal."""
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    angle = np.random.default_rng(5).uniform(0, 2 * np.pi, 400)
+    flat = np.zeros((400, 64))
+    flat[:, 0], flat[:, 1] = np.cos(angle), np.sin(angle)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(flat)], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert [found[i] for i in range(400)] == ((flat @ flat.T >= embeddings.COSINE).sum(1) - 1).tolist()
