@@ -79,3 +79,12 @@ def test_without_labels(setting):
     docs, labels, _ = setting
     assert toxicity.train(docs, labels.limit(0)) is None and quality.train(docs, labels.filter("quality = 1")) is None
     assert toxicity.score(docs, None).agg({"toxicity": "max"}).first()[0] == 0.0
+
+
+def test_toxicity_counts_every_labelled_row_but_those_that_fit(setting, monkeypatch):
+    docs, labels, truth = setting
+    counted, count_grams = [], toxicity.count_grams
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 40)
+    monkeypatch.setattr(toxicity, "count_grams", lambda rows: counted.append(rows.count()) or count_grams(rows))
+    toxicity.train(docs, labels)
+    assert counted == [sum(not held_out(i) for i in truth) - 40]
