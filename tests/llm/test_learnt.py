@@ -1,7 +1,9 @@
 """Quality and toxicity: held-out accuracy on invented texts, and odd rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,49 @@ def test_toxicity_counts_every_labelled_row_but_those_that_fit(setting, monkeypa
     docs, labels, truth = setting
     counted, count_grams = [], toxicity.count_grams
     monkeypatch.setattr(toxicity, "FIT_ROWS", 40)
-    monkeypatch.setattr(toxicity, "count_grams", lambda rows: counted.append(rows.count()) or count_grams(rows))
+    monkeypatch.setattr(toxicity, "count_grams", lambda rows, *a: counted.append(rows.count()) or count_grams(rows, *a))
     toxicity.train(docs, labels)
     assert counted == [sum(not held_out(i) for i in truth) - 40]
+
+
+def test_toxicity_ratios_are_those_of_exact_ngrams(spark, make_docs, monkeypatch):
+    """Word ratios against plain dictionaries, so that no two n-grams share counts; and with nearly all words joined."""
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(chr(r.randrange(97, 123)) for _ in range(r.randint(1, 12))) for _ in range(60)), i % 3 == 0) for i in range(60)]
+    own, suffixes = {}, set()
+    for _, text, toxic in rows:
+        for word in text.split():
+            padded = f" {word} ".encode()
+            for end in range(2, len(padded) + 1):
+                gram = padded[max(0, end - 8) : end]
+                own.setdefault(gram, [0, 0])[toxic] += 1
+                suffixes |= {gram[j:] for j in range(len(gram))}
+    left, after, totals = Counter(g[1:] for g in suffixes), {}, {}
+    for g in suffixes:
+        after.setdefault(g[:-1], []).append(left[g] if len(g) < 8 else 0)
+    for g, n in own.items():
+        totals.setdefault(g[:-1], []).append(n)
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        total, kinds = sum(after[g[:-1]]), sum(c > 0 for c in after[g[:-1]])
+        return (max(left[g] - 0.75, 0) + 0.75 * kinds * shared(g[1:])) / total if total else shared(g[1:])
+
+    def likely(g, c):
+        total, kinds = sum(n[c] for n in totals[g[:-1]]), sum(n[c] > 0 for n in totals[g[:-1]])
+        rest = 0.75 * kinds / total if total else 1.0
+        return math.log(max(max(own[g][c] - 0.75, 0) / max(total, 1) + rest * shared(g[1:]), 1e-12))
+
+    def ratio(word):
+        padded = f" {word} ".encode()
+        grams = [padded[max(0, end - 8) : end] for end in range(2, len(padded) + 1)]
+        return sum(likely(g, 1) - likely(g, 0) for g in grams)
+
+    docs = make_docs([(i, t) for i, t, _ in rows])
+    labelled = spark.createDataFrame([(t, int(c)) for _, t, c in rows], "text string, label int")
+    table = toxicity.kneser_ney(toxicity.count_grams(labelled, 5), 5)
+    monkeypatch.setattr(toxicity, "COMMON", 3)
+    found = {row["doc_id"]: row[toxicity.FEATURES[-1]] for row in toxicity.rated(docs, table, 5).collect()}
+    for i, text, _ in rows:
+        assert found[i] == pytest.approx(sum(map(ratio, text.split())) / 60, abs=2e-3)
