@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType, VariantType
 
 #: Names of other databases' types and the Spark type each stands for.
 SPARK_TYPES = {
@@ -16,9 +18,10 @@ SPARK_TYPES = {
     "TIMESTAMP": "timestamp", "TIMESTAMP_TZ": "timestamp", "TIMESTAMP_LTZ": "timestamp", "TIMESTAMPTZ": "timestamp",
     "TIMESTAMP_NTZ": "timestamp_ntz", "DATETIME": "timestamp_ntz", "DATETIME2": "timestamp_ntz",
 }
-#: Words in a type's name that put it into a family; they are looked for anywhere in the name.
-STRING_WORDS = ("CHAR", "TEXT", "STRING", "VARCHAR")
-NUMBER_WORDS = ("INT", "FLOAT", "DOUBLE", "DECIMAL", "NUMERIC", "NUMBER", "REAL", "BIGINT", "SMALLINT", "BYTEINT", "TINYINT")
+#: Words in a type's name that put it into a family; they are looked for anywhere in the name, so CHAR also
+#: stands for longer names that hold it, and INT likewise.
+STRING_WORDS = ("CHAR", "TEXT", "STRING")
+NUMBER_WORDS = ("INT", "FLOAT", "DOUBLE", "DECIMAL", "NUMERIC", "NUMBER", "REAL")
 TIME_WORDS = ("TIMESTAMP", "DATETIME")
 
 
@@ -48,3 +51,15 @@ def family(name: str) -> str:
     if any(w in upper for w in NUMBER_WORDS):
         return "number"
     return "boolean" if upper == "BOOLEAN" else "other"
+
+
+def _has_order(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_has_order(f.dataType) for f in kind.fields)
+    return _has_order(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
+def sortable(field: StructField) -> Column:
+    """The column, or its JSON where its type (a map, or what holds one) has no order."""
+    column = F.col(f"`{field.name.replace('`', '``')}`")
+    return column if _has_order(field.dataType) else F.to_json(F.struct(column))

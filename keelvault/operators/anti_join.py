@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..config import VaultConfig
+from .hwm import TargetFacts
 
-def not_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose key isn't among ``keys``: none if a key there is NULL; a NULL of the rows stays only if there are no keys.
 
-    An ordinary anti join, which shuffles by key, and one aggregate over the keys stand in for the null-aware join, which
-    would broadcast them all.
-    """
-    known = keys.select(F.col(column).alias("_known"))
-    facts = known.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_known").isNull()).alias("nulls")).alias("facts"))
-    n, nulls = facts.scalar().getField("n"), facts.scalar().getField("nulls")
-    fresh = rows.join(known, F.col(column) == F.col("_known"), "left_anti")
-    return fresh.filter((nulls == 0) & (F.col(column).isNotNull() | (n == 0)))
+def not_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose key isn't among ``keys``: none if a key there is NULL; a NULL of the rows stays only if there are no keys."""
+    return TargetFacts(keys, VaultConfig(), key=column).not_known(rows, column)

@@ -1,4 +1,4 @@
-"""High-water marks of load dates: for a whole target, or by pattern of the record source."""
+"""What a load must know of its target: high-water marks, for the whole target or by pattern, and the facts of its keys."""
 
 from __future__ import annotations
 
@@ -29,28 +29,28 @@ def sql_like(text: str, pattern: str) -> bool:
     return re.fullmatch("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern), text, re.S) is not None
 
 
-def above_mark(load_date: Column, target: DataFrame, cfg: VaultConfig, from_beginning: bool = True) -> Column:
-    """load_date > the target's latest load date, the error ghost's left out.
+class TargetFacts:
+    """Marks of all patterns, the mark of the whole target, and the facts of its keys, from one aggregate over the target.
 
-    from_beginning: an empty target lets all rows pass; else it lets none pass, as the mark is NULL.
+    The error ghost's load date is in no mark.  Only the columns that are asked for are read.
     """
-    ldts = cfg.ldts_alias
-    mark = F.max(ldts)
-    if from_beginning:
-        mark = F.coalesce(mark, sentinel(cfg.beginning_of_all_times, target, ldts))
-    return load_date > target.filter(F.col(ldts) != sentinel(cfg.end_of_all_times, target, ldts)).agg(mark.alias("mark")).scalar()
 
-
-class PatternMarks:
-    """The marks of all patterns, from one aggregate over the target, whatever their number."""
-
-    def __init__(self, target: DataFrame, patterns: Sequence[str], cfg: VaultConfig) -> None:
-        self.patterns, self.cfg = list(dict.fromkeys(patterns)), cfg
-        ldts, rsrc = cfg.ldts_alias, cfg.rsrc_alias
-        live = F.col(ldts) != sentinel(cfg.end_of_all_times, target, ldts)
-        self.first = sentinel(cfg.beginning_of_all_times, target, ldts)
-        marks = [F.max(F.when(like(F.col(rsrc), p) & live, F.col(ldts))).alias(f"p{i}") for i, p in enumerate(self.patterns)]
-        self.row = target.select(ldts, rsrc).agg(F.struct(*marks).alias("marks")).scalar()
+    def __init__(self, target: DataFrame, cfg: VaultConfig, *, whole: bool = False, patterns: Sequence[str] = (), key: str | None = None) -> None:
+        self.target, self.key, self.patterns = target, key, list(dict.fromkeys(patterns))
+        ldts, parts = cfg.ldts_alias, []
+        if whole or self.patterns:
+            live = F.col(ldts) != sentinel(cfg.end_of_all_times, target, ldts)
+            self.first = sentinel(cfg.beginning_of_all_times, target, ldts)
+            parts += [F.max(F.when(live, F.col(ldts))).alias("mark")] if whole else []
+            parts += [F.max(F.when(like(F.col(cfg.rsrc_alias), p) & live, F.col(ldts))).alias(f"p{i}") for i, p in enumerate(self.patterns)]
+        if key:
+            parts += [F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")]
+        self.row = target.agg(F.struct(*parts).alias("facts")).scalar() if parts else None
+
+    def above(self, load_date: Column, from_beginning: bool = True) -> Column:
+        """load_date > the target's mark.  from_beginning: an empty target lets all rows pass; else none, as the mark is NULL."""
+        mark = self.row.getField("mark")
+        return load_date > (F.coalesce(mark, self.first) if from_beginning else mark)
 
     def passes(self, record_source: Column, load_date: Column, patterns: Sequence[str]) -> Column:
         """True for rows whose record source fits a pattern and whose load date is above that pattern's mark.
@@ -64,3 +64,14 @@ class PatternMarks:
             return like(record_source, p) & (load_date > F.coalesce(mark, self.first))
 
         return reduce(lambda a, b: a | b, map(branch, patterns))
+
+    def not_known(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows whose key isn't in the target, as NOT IN has it: none if a key there is NULL; a NULL of the rows stays only
+        if the target is empty.
+
+        An ordinary anti join, which shuffles by key; a null-aware one would broadcast all keys.
+        """
+        known = self.target.select(F.col(self.key).alias("_known"))
+        n, nulls = self.row.getField("n"), self.row.getField("nulls")
+        fresh = rows.join(known, F.col(column) == F.col("_known"), "left_anti")
+        return fresh.filter((nulls == 0) & (F.col(column).isNotNull() | (n == 0)))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VaultConfig
+from ..functions.types import sortable
 from ..sources.tables import read_table
 from ..specs import Binding
-from .anti_join import not_in
-from .hwm import PatternMarks, above_mark
+from .hwm import TargetFacts
 
 
 def hub(sources: Sequence[Binding], hash_key: str, business_keys: Sequence[str], *, target: DataFrame | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
@@ -46,24 +46,40 @@ def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns:
     if len(set(extras)) > 1:
         raise ValueError(f"the sources' additional columns differ: {extras}")
     ldts, rsrc = cfg.ldts_alias, cfg.rsrc_alias
-    marks, patterns = None, [p for b in sources for p in b.rsrc_statics or ()]
-    if incremental and not disable_hwm and patterns:
-        marks = PatternMarks(target, patterns, cfg)
+    facts, marked = None, incremental and not disable_hwm
+    patterns = [p for b in sources for p in b.rsrc_statics or ()] if marked else []
+    whole = marked and len(sources) == 1 and not patterns
+    if incremental:
+        facts = TargetFacts(target, cfg, whole=whole, patterns=patterns, key=key)
 
-    def read(place: int) -> DataFrame:
+    def shaped(place: int) -> list[Column]:
+        """A binding's columns under the entity's names, and its place, which breaks ties."""
         b = sources[place]
-        df = read_table(b.source, cfg.quote_identifiers)
-        load, record = F.col(b.load_date_col or ldts), F.col(b.record_source_col or rsrc)
-        if marks is not None and b.rsrc_statics:
-            df = df.filter(marks.passes(record, load, b.rsrc_statics))
-        elif incremental and not disable_hwm and not b.rsrc_statics and len(sources) == 1:
-            df = df.filter(above_mark(load, target, cfg))
         own = [F.col(c).alias(n) for c, n in zip(columns[place], names, strict=True)]
-        return df.select(F.col(b.hash_key_col or key).alias(key), *own, *extras[place], load.alias(ldts), record.alias(rsrc), F.lit(place).alias("_source"))
+        load, record = F.col(b.load_date_col or ldts), F.col(b.record_source_col or rsrc)
+        return [F.col(b.hash_key_col or key).alias(key), *own, *map(F.col, extras[place]), load.alias(ldts), record.alias(rsrc), F.lit(place).alias("_source")]
+
+    def above(rows: DataFrame, place: int) -> DataFrame:
+        """The rows above their marks; a source without patterns isn't filtered beside others."""
+        if whole:
+            return rows.filter(facts.above(F.col(ldts)))
+        statics = sources[place].rsrc_statics if patterns else ()
+        return rows.filter(facts.passes(F.col(rsrc), F.col(ldts), statics)) if statics else rows
+
+    def read(places: list[int]) -> DataFrame:
+        df = read_table(sources[places[0]].source, cfg.quote_identifiers)
+        if len(places) == 1:
+            return above(df.select(*shaped(places[0])), places[0])
+        return df.select(F.inline(F.array(*[F.struct(*shaped(i)) for i in places])))  # read and hashed once
 
-    union = reduce(DataFrame.unionByName, map(read, range(len(sources))))
+    # bindings of one table without marks of their own are read together
+    groups: dict[tuple, list[int]] = {}
+    for i, b in enumerate(sources):
+        groups.setdefault((id(b.source) if isinstance(b.source, DataFrame) else b.source, i if whole or (patterns and b.rsrc_statics) else None), []).append(i)
+    rows = reduce(DataFrame.unionByName, map(read, groups.values()))
+    if incremental:  # known keys first, so that only new ones are ranked; join and window share one shuffle
+        rows = facts.not_known(rows, key)
     # ties go to the leading source, then to the lowest values, so that reruns agree
-    ties = [F.col(c).asc_nulls_last() for c in (*names, *extras[0], rsrc) if dict(union.dtypes)[c] != "map"]
+    ties = [sortable(rows.schema[c]).asc_nulls_last() for c in (*names, *extras[0], rsrc)]
     order = Window.partitionBy(key).orderBy(F.col(ldts).asc_nulls_last(), "_source", *ties)
-    earliest = union.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_source")
-    return not_in(earliest, target, key) if incremental else earliest
+    return rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_source")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VaultConfig
+from ..functions.types import sortable
 from ..sources.tables import read_table
 from ..specs import Binding
-from .hwm import above_mark, sentinel
+from .hwm import TargetFacts, sentinel
 
 
 def renamed(column: str | Mapping[str, str]) -> tuple[str, str]:
@@ -35,7 +36,7 @@ def satellite(source: Binding, parent_hash_key: str, hash_diff: str | Mapping[st
     df = read_table(source.source, cfg.quote_identifiers)
     load = F.col(source.load_date_col or ldts)
     if incremental and not disable_hwm:
-        df = df.filter(above_mark(load, target, cfg))
+        df = df.filter(TargetFacts(target, cfg, whole=True).above(load))
     columns = [F.col(source.hash_key_col or parent_hash_key).alias(parent_hash_key), F.col(diff_source).alias(diff), *payload, load.alias(ldts), F.col(source.record_source_col or rsrc).alias(rsrc)]
     rows = df.select(*columns)
     names = rows.columns
@@ -61,9 +62,13 @@ def latest_state(target: DataFrame, parent_hash_key: str, diff: str, cfg: VaultC
 
 
 def satellite_end_dated(sat_v0: DataFrame, parent_hash_key: str, *, add_is_current: bool = True, ledts_alias: str | None = None, is_current_col: str = "is_current", cfg: VaultConfig | None = None) -> DataFrame:
-    """All columns of the history, the load end date (the next load date of the parent, or the end of all times), and whether that is open."""
+    """All columns of the history, the load end date (the next load date of the parent, or the end of all times), and whether that is open.
+
+    Rows of one parent and load date are ordered by their other columns, so that reruns give each the same end.
+    """
     cfg = cfg or VaultConfig()
     ledts, end = ledts_alias or cfg.ledts_alias, sentinel(cfg.end_of_all_times, sat_v0, cfg.ldts_alias)
-    order = Window.partitionBy(parent_hash_key).orderBy(F.col(cfg.ldts_alias).asc_nulls_last())
+    ties = [sortable(f).asc_nulls_last() for f in sat_v0.schema if f.name not in (parent_hash_key, cfg.ldts_alias)]
+    order = Window.partitionBy(parent_hash_key).orderBy(F.col(cfg.ldts_alias).asc_nulls_last(), *ties)
     dated = sat_v0.select("*", F.coalesce(F.lead(cfg.ldts_alias).over(order), end).alias(ledts))
     return dated.select("*", F.coalesce(F.col(ledts) == end, F.lit(False)).alias(is_current_col)) if add_is_current else dated

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import VaultConfig
 from ..functions.hashing import hash_expr
 from ..functions.types import spark_type
+from ..sources.scratch import shared_folder
 from ..sources.tables import read_table
 from ..specs import HashRule, StageSpec
 from .ghosts import ghost_records
-from .hwm import above_mark
+from .hwm import TargetFacts
+
+#: Inner names, which no table should have.
+PLACE, SEQUENCE = "__place__", "__sequence__"
 
 
 def stage(spec: StageSpec, *, target: DataFrame | None = None, incremental: bool = False, pass_empty_target: bool = False, cfg: VaultConfig | None = None) -> DataFrame:
@@ -26,19 +30,21 @@ def stage(spec: StageSpec, *, target: DataFrame | None = None, incremental: bool
     if incremental:
         if target is None:
             raise ValueError("an incremental stage needs a target")
-        df = df.filter(above_mark(F.col(cfg.ldts_alias), target, cfg, from_beginning=pass_empty_target))
+        df = df.filter(TargetFacts(target, cfg, whole=True).above(F.col(cfg.ldts_alias), pass_empty_target))
     if spec.derived_columns:
         clash = {c.lower() for c in df.columns} & {c.lower() for c in spec.derived_columns}
         if clash:
             raise ValueError(f"derived columns {sorted(clash)} are columns of the source as well")
         df = df.select("*", *[F.expr(e).alias(a) for a, e in spec.derived_columns.items()])
-    columns: list[Column | str] = ["*"] if spec.include_source_columns else []
+    columns: list[Column | str] = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns] if spec.include_source_columns else []
+    if spec.sequence:
+        df = numbered(df, spec)
     for alias, given in spec.hashed_columns.items():
         rule = HashRule.of(given)
         columns.append(hash_expr(rule.columns, cfg, is_hashdiff=rule.is_hashdiff, case_sensitive=rule.choice("case_sensitivity", spec.case_sensitivity), trim=rule.choice("use_rtrim", spec.use_rtrim)).alias(alias))
     columns += [F.lit(None).cast(spark_type(t)).alias(c) for c, t in spec.missing_columns.items()]
     if spec.sequence:
-        columns.append(sequence_number(df, spec).alias(spec.sequence))
+        columns.append(F.col(SEQUENCE).alias(spec.sequence))
     if not columns:
         raise ValueError("a stage needs at least one column")
     staged = df.select(*columns)
@@ -50,7 +56,22 @@ def stage(spec: StageSpec, *, target: DataFrame | None = None, incremental: bool
     return staged.unionAll(ghosts)
 
 
-def sequence_number(df: DataFrame, spec: StageSpec) -> Column:
-    """1 to n without gaps.  Numbers without gaps need one order of all rows, so this runs in one task; it is optional."""
-    order = [F.col(c).asc_nulls_last() for c in spec.sequence_order] or [F.to_json(F.struct("*"))]
-    return F.row_number().over(Window.orderBy(*order)).cast("bigint")
+def numbered(df: DataFrame, spec: StageSpec) -> DataFrame:
+    """The rows with SEQUENCE, 1 to n without gaps, in the order that the spec names or of the rows' JSON.
+
+    Rows are cut into ranges and sorted and numbered in each; the ranges' counts (a row each) give where each begins.  The
+    numbered ranges are kept by a reliable checkpoint, as a second evaluation might cut them elsewhere; so this runs at once.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    whole = F.to_json(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]))
+    order = [F.col(c).asc_nulls_last() for c in spec.sequence_order] + [F.xxhash64(whole) if spec.sequence_order else whole]
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright(PLACE, 33), F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+    before, begins = 0, []
+    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():  # as many rows as ranges
+        begins.append((r["part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(begins, "_part long, _begin long")
+    return ranges.join(F.broadcast(offsets), part == F.col("_part")).withColumn(SEQUENCE, F.col("_begin") + place + 1).drop(PLACE, "_part", "_begin")

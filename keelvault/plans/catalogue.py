@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ..operators.anti_join import not_in
 from ..operators.keyed import hub, link
 from ..operators.satellite import satellite, satellite_end_dated
 from ..operators.stage import stage
+from ..sources.scratch import shared_folder
+from ..sources.tables import TableRef, append, read_table
 from ..specs import Binding, StageSpec
 from .pipeline import load_vault
 
@@ -71,14 +74,24 @@ QUERIES |= {
     "hash_sha1": hash_query("orders", "o_orderkey", ["o_orderkey", "o_custkey"], "SHA1"),
     "hash_case_sensitive": hash_query("events", "event_id", ["event_type", "props"], case_sensitive=True),
     "hash_no_trim": hash_query("events", "event_id", ["event_type", "props"], trim=False),
+    "hash_unknown_algorithm": hash_query("orders", "o_orderkey", ["o_orderkey", "o_custkey"], "BLAKE9"),
 }
 
 
+def strange(spark: SparkSession) -> DataFrame:
+    rows = [(1, None, None), (2, "", "x"), (3, "^^", "y"), (4, "a\\b", "z"), (5, "a\tb\nc\x0bd\re", " p "), (6, " Ab ", "aB"), (7, 'say "x"', None), (8, None, "only b"), (9, "a \n", "q"), (10, "f\x0cf", "||")]
+    return spark.createDataFrame(rows, "id int, a string, b string")
+
+
 @query
 def hash_null_and_escape(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, None, None), (2, "", "x"), (3, "^^", "y"), (4, "a\\b", "z"), (5, "a\tb\nc\x0bd\re", " p "), (6, " Ab ", "aB"), (7, 'say "x"', None), (8, None, "only b"), (9, "a \n", "q"), (10, "f\x0cf", "||")]
-    strange = spark.createDataFrame(rows, "id int, a string, b string")
-    return strange.select("id", hash_expr(["a"]).alias("h1"), hash_expr(["a", "b"]).alias("h2"), hash_expr(["a", "b"], case_sensitive=True, trim=False).alias("h3"))
+    return strange(spark).select("id", hash_expr(["a"]).alias("h1"), hash_expr(["a", "b"]).alias("h2"), hash_expr(["a", "b"], case_sensitive=True, trim=False).alias("h3"))
+
+
+@query
+def hash_empty_as_null(spark: SparkSession, d: str) -> DataFrame:
+    cfg = VaultConfig(empty_as_null=True)
+    return strange(spark).select("id", hash_expr(["a"], cfg).alias("h1"), hash_expr(["a", "b"], cfg).alias("h2"))
 
 
 @query
@@ -135,6 +148,41 @@ def stage_sequence(spark: SparkSession, d: str) -> DataFrame:
     return stage(StageSpec(source, hashed_columns={"hk_nation": ["n_nationkey"]}, sequence="seq", sequence_order=["n_nationkey"]))
 
 
+@query
+def stage_sequence_orders(spark: SparkSession, d: str) -> DataFrame:
+    source = raw(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return stage(StageSpec(source, sequence="seq", sequence_order=["o_custkey", "o_orderkey"]))
+
+
+@query
+def stage_ghost_types(spark: SparkSession, d: str) -> DataFrame:
+    """A ghost value of each family of types, and ghost keys of SHA-256."""
+    derived = {"born": "DATE '2020-02-29'", "good": "c_acctbal > 0", "seen": "TIMESTAMP_NTZ '2024-05-06 07:08:09'", "raw": "CAST(c_name AS BINARY)", "ldts": "TIMESTAMP_NTZ '2024-01-01'", "rsrc": "'CRM'"}
+    types = {"c_custkey": "BIGINT", "c_name": "VARCHAR(25)", "c_acctbal": "DOUBLE", "born": "DATE", "good": "BOOLEAN", "seen": "TIMESTAMP_NTZ", "raw": "BINARY", "ldts": "TIMESTAMP_NTZ", "rsrc": "VARCHAR"}
+    spec = StageSpec(raw(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), hashed_columns={"hk_customer": ["c_custkey"]}, derived_columns=derived, ghost_record_types=types)
+    return spelled(stage(spec, cfg=VaultConfig(hash="SHA256")), "born", "seen", "raw", "ldts")
+
+
+def _raw_orders(spark: SparkSession, d: str) -> DataFrame:
+    return raw(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("timestamp_ntz").alias("ldts"), F.lit("ERP").alias("rsrc"))
+
+
+@query
+def stage_ghost_incremental(spark: SparkSession, d: str) -> DataFrame:
+    types = {"o_orderkey": "BIGINT", "o_orderstatus": "VARCHAR", "ldts": "TIMESTAMP_NTZ", "rsrc": "VARCHAR"}
+    spec = StageSpec(_raw_orders(spark, d), hashed_columns={"hk_order": ["o_orderkey"]}, ghost_record_types=types)
+    return spelled(stage(spec, target=orders(spark, d).filter(f"ldts < {ORDERS_BEFORE}"), incremental=True), "ldts")
+
+
+@query
+def stage_all_features(spark: SparkSession, d: str) -> DataFrame:
+    """Incremental, derived and missing columns, hash key and hash diff, a sequence, and ghost rows."""
+    types = {"o_orderkey": "BIGINT", "o_orderstatus": "VARCHAR", "ldts": "TIMESTAMP_NTZ", "rsrc": "VARCHAR", "twice": "BIGINT"}
+    hashes = {"hk_order": ["o_orderkey"], "hd_order": {"columns": ["o_orderstatus", "twice"], "is_hashdiff": True, "case_sensitivity": True}}
+    spec = StageSpec(_raw_orders(spark, d), hashed_columns=hashes, derived_columns={"twice": "o_orderkey * 2"}, missing_columns={"legacy_flag": "BOOLEAN", "region_code": "VARCHAR"}, sequence="seq", sequence_order=["o_orderkey"], ghost_record_types=types)
+    return spelled(stage(spec, target=orders(spark, d).filter(f"ldts < {ORDERS_BEFORE}"), incremental=True), "ldts")
+
+
 def order_hub(source: DataFrame, **options: object) -> DataFrame:
     return hub([Binding(source)], "hk_order", ["o_orderkey"], **options)
 
@@ -192,6 +240,26 @@ def hub_incremental_mixed(spark: SparkSession, d: str) -> DataFrame:
     return hub(sources, "hk_order", ["o_orderkey"], target=_known_by_system(spark, d), incremental=True)
 
 
+@query
+def hub_custom_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Load date and record source under other names, in the settings and in the source."""
+    cfg = VaultConfig(ldts_alias="load_dts", rsrc_alias="record_source")
+    source = Binding(orders(spark, d), "ldts", "rsrc")
+    known = hub([Binding(orders(spark, d).filter(f"ldts < {ORDERS_BEFORE}"), "ldts", "rsrc")], "hk_order", ["o_orderkey"], cfg=cfg)
+    return hub([source], "hk_order", ["o_orderkey"], target=known, incremental=True, cfg=cfg)
+
+
+@query
+def hub_stored_target(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads into a catalog table that is read by name: the table as it is then."""
+    name = f"keelvault_hub_{uuid.uuid4().hex}"
+    first = known_orders(spark, d)
+    spark.catalog.createTable(name, f"{shared_folder(spark)}/{name}", "parquet", first.schema)
+    append(first, name)
+    append(order_hub(orders(spark, d), target=read_table(name, spark=spark), incremental=True), name)
+    return read_table(TableRef(name), spark=spark)
+
+
 @query
 def hub_not_in_null_target(spark: SparkSession, d: str) -> DataFrame:
     rows = [("empty", "a"), ("empty", None), ("full", "b"), ("full", None), ("full", "k"), ("null", "b"), ("null", None)]
@@ -234,6 +302,29 @@ def link_incremental(spark: SparkSession, d: str) -> DataFrame:
     return link([Binding(orders(spark, d))], "hk_link", ["hk_order", "hk_customer"], target=known, incremental=True)
 
 
+def _system_link(spark: SparkSession, d: str) -> DataFrame:
+    derived = {"ldts": "CAST(o_orderdate AS TIMESTAMP_NTZ)", "rsrc": "CASE o_orderkey % 3 WHEN 0 THEN 'SAP/ORDERS' WHEN 1 THEN 'WEB/EU/x' ELSE 'WEB/US/x' END"}
+    return stage(StageSpec(raw(spark, d, "orders"), hashed_columns={"hk_order": ["o_orderkey"], "hk_customer": ["o_custkey"], "hk_link": ["o_orderkey", "o_custkey"]}, derived_columns=derived))
+
+
+def _link_by_system(rows: DataFrame, *bindings: Binding, **options: object) -> DataFrame:
+    return link(bindings or [Binding(rows)], "hk_link", ["hk_order", "hk_customer"], **options)
+
+
+@query
+def link_incremental_statics(spark: SparkSession, d: str) -> DataFrame:
+    rows = _system_link(spark, d)
+    known = _link_by_system(rows.filter(f"ldts < {ORDERS_BEFORE}"))
+    return _link_by_system(rows, Binding(rows, rsrc_statics=["SAP/%", "WEB/EU/%"]), target=known, incremental=True)
+
+
+@query
+def link_multi_source_statics(spark: SparkSession, d: str) -> DataFrame:
+    rows = _system_link(spark, d)
+    known = _link_by_system(rows.filter(f"ldts < {ORDERS_BEFORE} AND rsrc NOT LIKE 'WEB/US/%'"))
+    return _link_by_system(rows, Binding(rows.filter("rsrc LIKE 'SAP/%'"), rsrc_statics=["SAP/%"]), Binding(rows.filter("rsrc LIKE 'WEB/%'"), rsrc_statics=["WEB/EU/%", "WEB/US/%"]), target=known, incremental=True)
+
+
 def event_sat(source: DataFrame, **options: object) -> DataFrame:
     return satellite(Binding(source), "hk_user", "hd_event", payload=["event_type"], **options)
 

@@ -6,12 +6,13 @@ STRIP = "replace(replace(replace(replace({}, chr(9), ''), chr(10), ''), chr(11),
 ORDERS_BEFORE, EVENTS_BEFORE = "TIMESTAMP '2000-01-01'", "TIMESTAMP '2024-01-20'"
 
 
-def hashed(*columns: str, fn: str = "md5", zeros: int = 32, upper: bool = True, trim: bool = True) -> str:
+def hashed(*columns: str, fn: str = "md5", zeros: int = 32, upper: bool = True, trim: bool = True, empty: bool = True) -> str:
     """The hash of some columns."""
     def clean(c: str) -> str:
         text = f"CAST({c} AS VARCHAR)"
         text = f"trim({text})" if trim else text
-        return f"""coalesce('"' || replace(replace({text}, '\\', '\\\\'), '^^', '--') || '"', '^^')"""
+        text = f"""'"' || replace(replace({text}, '\\', '\\\\'), '^^', '--') || '"'"""
+        return f"coalesce({text}, '^^')" if empty else f"""coalesce(nullif({text}, '""'), '^^')"""
 
     joined = f"concat_ws('||', {', '.join(map(clean, columns))})"
     joined = STRIP.format(f"upper({joined})" if upper else joined)
@@ -25,6 +26,10 @@ ORDERS = f"""orders_staged AS (
 SYSTEMS = f"""orders_by_system AS (
   SELECT o_orderkey, o_orderdate AS ldts, CASE o_orderkey % 3 WHEN 0 THEN 'SAP/ORDERS' WHEN 1 THEN 'WEB/EU/x' ELSE 'WEB/US/x' END AS rsrc, {hashed('o_orderkey')} AS hk_order
   FROM orders)"""
+SYSTEM_LINKS = f"""links_by_system AS (
+  SELECT o_orderdate AS ldts, CASE o_orderkey % 3 WHEN 0 THEN 'SAP/ORDERS' WHEN 1 THEN 'WEB/EU/x' ELSE 'WEB/US/x' END AS rsrc, {hashed('o_orderkey')} AS hk_order, {hashed('o_custkey')} AS hk_customer,
+         {hashed('o_orderkey', 'o_custkey')} AS hk_link
+  FROM orders)"""
 EVENTS = f"""events_staged AS (
   SELECT *, ts AS ldts, 'APP/EVENTS' AS rsrc, {hashed('user_id')} AS hk_user, {hashed('event_type')} AS hd_event FROM events)"""
 
@@ -74,6 +79,17 @@ SQL: dict[str, str] = {
     "hash_case_sensitive": f"SELECT event_id, {hashed('event_type', 'props', upper=False)} AS h FROM events",
     "hash_no_trim": f"SELECT event_id, {hashed('event_type', 'props', trim=False)} AS h FROM events",
     "hash_null_and_escape": f"WITH {STRANGE} SELECT CAST(id AS INTEGER) AS id, {hashed('a')} AS h1, {hashed('a', 'b')} AS h2, {hashed('a', 'b', upper=False, trim=False)} AS h3 FROM strange",
+    "hash_empty_as_null": f"WITH {STRANGE} SELECT CAST(id AS INTEGER) AS id, {hashed('a', empty=False)} AS h1, {hashed('a', 'b', empty=False)} AS h2 FROM strange",
+    "hash_unknown_algorithm": f"SELECT o_orderkey, {hashed('o_orderkey', 'o_custkey')} AS h FROM orders",
+    "stage_sequence_orders": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS seq FROM orders",
+    "stage_ghost_types": f"""SELECT c_custkey, c_name, c_acctbal, '2020-02-29' AS born, c_acctbal > 0 AS good, '2024-05-06 07:08:09' AS seen, c_name AS raw, '2024-01-01 00:00:00' AS ldts, 'CRM' AS rsrc, {hashed('c_custkey', fn='sha256', zeros=64)} AS hk_customer FROM customer
+      UNION ALL VALUES (-1, '(unknown)', -1.0, '0001-01-01', false, '0001-01-01 00:00:00', NULL, '0001-01-01 00:00:00', 'SYSTEM', repeat('0', 64)),
+      (-2, '(error)', -2.0, '9999-12-31', false, '9999-12-31 00:00:00', NULL, '9999-12-31 00:00:00', 'ERROR', repeat('f', 64))""",
+    "stage_ghost_incremental": f"""WITH {ORDERS} SELECT o_orderkey, o_orderstatus, CAST(ldts AS VARCHAR) AS ldts, 'ERP' AS rsrc, hk_order FROM orders_staged WHERE ldts > (SELECT max(ldts) FROM orders_staged WHERE ldts < {ORDERS_BEFORE})
+      UNION ALL VALUES (-1, '(unknown)', '0001-01-01 00:00:00', 'SYSTEM', repeat('0', 32)), (-2, '(error)', '9999-12-31 00:00:00', 'ERROR', repeat('f', 32))""",
+    "stage_all_features": f"""WITH {ORDERS}, n AS (SELECT *, o_orderkey * 2 AS twice FROM orders_staged WHERE ldts > (SELECT max(ldts) FROM orders_staged WHERE ldts < {ORDERS_BEFORE}))
+      SELECT o_orderkey, o_orderstatus, CAST(ldts AS VARCHAR) AS ldts, 'ERP' AS rsrc, twice, hk_order, {hashed('o_orderstatus', 'twice', upper=False)} AS hd_order, CAST(NULL AS BOOLEAN) AS legacy_flag, CAST(NULL AS VARCHAR) AS region_code, row_number() OVER (ORDER BY o_orderkey) AS seq FROM n
+      UNION ALL VALUES (-1, '(unknown)', '0001-01-01 00:00:00', 'SYSTEM', -1, repeat('0', 32), repeat('0', 32), NULL, NULL, NULL), (-2, '(error)', '9999-12-31 00:00:00', 'ERROR', -2, repeat('f', 32), repeat('f', 32), NULL, NULL, NULL)""",
     "stage_basic": f"SELECT o_orderkey, o_custkey, o_orderstatus, {hashed('o_orderkey')} AS hk_order, {hashed('o_orderstatus', 'o_orderpriority')} AS hd_order FROM orders",
     "stage_derived": f"WITH {ORDERS} SELECT o_orderkey, ldts, rsrc, o_orderkey * 2 AS twice, hk_order FROM orders_staged",
     "stage_missing": f"SELECT o_orderkey, {hashed('o_orderkey')} AS hk_order, CAST(NULL AS BOOLEAN) AS legacy_flag, CAST(NULL AS VARCHAR) AS region_code, CAST(NULL AS DECIMAL(18,2)) AS discount_rate FROM orders",
@@ -93,6 +109,8 @@ SQL: dict[str, str] = {
     "hub_incremental_multi_statics": f"WITH {SYSTEMS}, {SYSTEM_TARGET} {new_keys('orders_by_system', mark('SAP/ORDERS') + ' OR ' + mark('WEB/_U/%', ('WEB/EU/%',)) + ' OR ' + mark('WEB/EU/%'))}",
     "hub_incremental_mixed": f"""WITH {SYSTEMS}, {SYSTEM_TARGET}, u AS (SELECT * FROM orders_by_system WHERE rsrc LIKE 'SAP/%' AND {mark('SAP/%')}
       UNION ALL SELECT * FROM orders_by_system WHERE rsrc LIKE 'WEB/%') {new_keys('u', 'true')}""",
+    "hub_custom_aliases": f"WITH {ORDERS}, {HUB_TARGET} {new_keys('orders_staged', ABOVE, 'hk_order, o_orderkey, ldts AS load_dts, rsrc AS record_source')}",
+    "hub_stored_target": f"WITH {ORDERS}, {HUB_TARGET} SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_staged', ABOVE)})",
     "hub_not_in_null_target": """WITH c(variant, hk) AS (VALUES ('empty', 'a'), ('empty', NULL), ('full', 'b'), ('full', NULL), ('full', 'k'), ('null', 'b'), ('null', NULL)),
       t(variant, hk) AS (VALUES ('full', 'k'), ('null', 'k'), ('null', NULL))
       SELECT variant, hk FROM c WHERE hk NOT IN (SELECT hk FROM t WHERE t.variant = c.variant)""",
@@ -103,6 +121,9 @@ SQL: dict[str, str] = {
       {first_of('u', 'hk_link', 'hk_link, hk_order, hk_item, ldts, rsrc', 'ldts, s')}""",
     "link_fk_rename": f"WITH {ORDERS} {first_of('orders_staged', 'hk_link', 'hk_link, hk_order AS hk_o, hk_customer AS hk_c, ldts, rsrc')}",
     "link_incremental": f"WITH {ORDERS}, target AS (SELECT * FROM orders_staged WHERE ldts < {ORDERS_BEFORE} QUALIFY row_number() OVER (PARTITION BY hk_link ORDER BY ldts) = 1) {new_keys('orders_staged', ABOVE, 'hk_link, hk_order, hk_customer, ldts, rsrc', 'hk_link')}",
+    "link_incremental_statics": f"WITH {SYSTEM_LINKS}, target AS (SELECT * FROM links_by_system WHERE ldts < {ORDERS_BEFORE}) {new_keys('links_by_system', mark('SAP/%') + ' OR ' + mark('WEB/EU/%'), 'hk_link, hk_order, hk_customer, ldts, rsrc', 'hk_link')}",
+    "link_multi_source_statics": f"""WITH {SYSTEM_LINKS}, target AS (SELECT * FROM links_by_system WHERE ldts < {ORDERS_BEFORE} AND rsrc NOT LIKE 'WEB/US/%')
+      {new_keys('links_by_system', ' OR '.join(map(mark, ('SAP/%', 'WEB/EU/%', 'WEB/US/%'))), 'hk_link, hk_order, hk_customer, ldts, rsrc', 'hk_link')}""",
     "sat_initial_multi_batch": f"WITH {EVENTS} SELECT {SAT_COLUMNS} FROM ({deduplicated('events_staged')})",
     "sat_initial_single_batch": f"WITH {EVENTS} SELECT {SAT_COLUMNS} FROM events_staged",
     "sat_incremental_multi_batch": f"WITH {SAT_TARGET}, {LATEST}, s AS ({deduplicated('events_staged', f' WHERE {ABOVE}')}) SELECT {SAT_COLUMNS} FROM s WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.hk_user = s.hk_user AND l.hd_event = s.hd_event AND s.place = 1)",

@@ -39,12 +39,18 @@ def read_table(source: DataFrame | TableRef | str, quote: bool = True, spark: Sp
 
 
 def append(delta: DataFrame, target: TableRef | str, partition_by: tuple[str, ...] = ()) -> None:
-    """Appends a delta to a catalog table, which is made if it isn't there, or to Parquet files under a path."""
+    """Appends a delta to a catalog table, which is made if it isn't there, or to Parquet files under a path.
+
+    Columns go by their names, whatever their order; a table that is there must have just the delta's columns.
+    """
     if isinstance(target, str) and "/" in target:
         delta.write.mode("append").partitionBy(*partition_by).parquet(target)
         return
     name = target.identifier() if isinstance(target, TableRef) else target
     if delta.sparkSession.catalog.tableExists(name):
-        delta.write.insertInto(name) if not partition_by else delta.write.mode("append").partitionBy(*partition_by).saveAsTable(name)
+        columns = delta.sparkSession.table(name).columns
+        if sorted(map(str.lower, columns)) != sorted(map(str.lower, delta.columns)):
+            raise ValueError(f"the delta has the columns {delta.columns}, {name} has {columns}")
+        delta.select(*[f"`{c}`" for c in columns]).write.insertInto(name)
     else:
         delta.write.partitionBy(*partition_by).saveAsTable(name)

@@ -13,15 +13,23 @@ from ..sources.tables import append, read_table
 def load_stream(rows: DataFrame, target: str, delta: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str, partition_by: tuple[str, ...] = (), available_now: bool = False) -> StreamingQuery:
     """Starts a query that appends delta(batch, current target or None) to ``target`` (a catalog table's name or a path).
 
-    A batch that is repeated after a failure inserts nothing twice, as each operator leaves out what the target has.
+    A batch that was appended is marked in a folder beside the checkpoint and isn't loaded again.  Between append and mark a
+    failure may still repeat it; hubs, links and satellites with high-water marks then find its rows in the target and insert
+    nothing.  A satellite of several batches without marks (disable_hwm) compares only the first row of a parent with the
+    target, so in that short while it could insert rows twice.
     """
+    done = f"{checkpoint.rstrip('/')}-batches"
 
-    def load(batch: DataFrame, _: int) -> None:
+    def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if _path_exists(batch, f"{done}/{number}"):
+            return
         path = "/" in target
         known = _path_exists(batch, target) if path else spark.catalog.tableExists(target)
         current = read_table(target, spark=spark) if known else None
         append(delta(batch, current), target, partition_by)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place).close()
 
     writer = rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from keelvault.functions.hashing import hash_expr
 from keelvault.functions.types import family, spark_type
 from keelvault.operators.anti_join import not_in
 from keelvault.operators.hwm import sql_like
+from keelvault.plans.pipeline import load_vault
 from keelvault.streaming.batches import load_stream
 
 
@@ -192,3 +194,60 @@ def test_stream_loads_once(spark, tmp_path):
     hub_rows(spark, [("a", "1", "2024-01-03", "X"), ("b", "2", "2024-01-03", "X")]).write.mode("append").parquet(source)
     run()
     assert sorted(r["hk"] for r in spark.read.parquet(str(tmp_path / "hub")).collect()) == ["a", "b"]
+
+
+def test_stream_marks_its_batches(spark, tmp_path):
+    """A satellite of several batches without marks would insert a repeated batch again; its mark prevents that."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "sat")
+    schema = "hk string, hd string, ldts string, rsrc string"
+    spark.createDataFrame([("a", "1", "2024-01-01", "X"), ("a", "2", "2024-01-02", "X")], schema).write.parquet(source)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).parquet(source)
+        delta = lambda batch, known: satellite(Binding(batch), "hk", "hd", target=known, incremental=known is not None, disable_hwm=True)
+        load_stream(stream, target, delta, checkpoint, available_now=True).awaitTermination()
+
+    run(str(tmp_path / "cp"))
+    shutil.rmtree(tmp_path / "cp" / "commits")  # as after a failure between append and commit
+    run(str(tmp_path / "cp"))
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_append_by_name(spark):
+    one = spark.createDataFrame([("k", "x", "y")], "hk string, a string, b string")
+    spark.sql("DROP TABLE IF EXISTS append_by_name")
+    append(one, "append_by_name")
+    append(one.select("b", "hk", "a"), "append_by_name")
+    assert {tuple(r) for r in spark.table("append_by_name").collect()} == {("k", "x", "y")}
+    with pytest.raises(ValueError, match="columns"):
+        append(one.drop("b"), "append_by_name")
+    spark.sql("DROP TABLE append_by_name")
+
+
+def test_map_as_an_additional_column(spark):
+    df = hub_rows(spark, [("a", "1", "2024-01-01", "X"), ("a", "1", "2024-01-01", "X")]).withColumn("tags", F.create_map(F.lit("t"), "id"))
+    assert [r["tags"] for r in hub([Binding(df)], "hk", ["id"], additional_columns=["tags"]).collect()] == [{"t": "1"}]
+
+
+def test_sequence_is_numbered_by_ranges(spark):
+    df = spark.range(5000).selectExpr("id % 7 AS g", "id", "if(id % 3 = 0, null, id) AS v").repartition(9)
+    got = stage(StageSpec(df, sequence="n", sequence_order=["g", "id"]))
+    assert got.columns == ["g", "id", "v", "n"]
+    assert [r["n"] for r in got.orderBy("g", "id").collect()] == list(range(1, 5001))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["n"] for r in stage(StageSpec(df.limit(50), sequence="n")).collect()) == list(range(1, 51))
+    assert stage(StageSpec(df.limit(0), sequence="n")).count() == 0
+
+
+def test_one_aggregate_over_the_target(spark):
+    target, new = hub_rows(spark, [("t", "t", "2024-01-05", "X")]), hub_rows(spark, [("a", "a", "2024-01-06", "X")])
+    plan = hub([Binding(new)], "hk", ["id"], target=target, incremental=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ScalarSubquery") == 0 or plan.split("Subquery")[0].count("Aggregate") == 0
+    assert plan.index("Window") < plan.index("LeftAnti")  # the anti join lies below the window
+
+
+def test_stage_is_written_once(spark, tmp_path):
+    spec = StageSpec(source(spark), hashed_columns={"hk": ["id"], "hl": ["id", "name"], "hd": {"columns": ["name"], "is_hashdiff": True}})
+    load = load_vault(spec, hash_key="hk", business_keys=["id"], link_key="hl", foreign_keys=["hk"], hash_diff="hd", payload=["name"], stage_to=str(tmp_path / "stage"))
+    assert load.hub.count() == load.link.count() == load.end_dated.count() == 2
+    assert "md5" not in load.satellite._jdf.queryExecution().optimizedPlan().toString()
