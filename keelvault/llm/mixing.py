@@ -4,12 +4,15 @@ Each document draws an exponential key scaled by its quality weight; within a so
 order until the source's token budget is met.  Complete epochs come first: a source whose target exceeds its size takes
 every document whole as often as it fits, and only the rest is selected by key.
 
-Distribution: the order within a source is never built in one task.  Keys are cut into ``KEY_BINS`` ranges; the ranges'
-sums give each range its place (a few thousand small rows a source), and only rows of one range are sorted together.
+Distribution: no source is ever put in order.  The place where its budget ends is found by three passes over a small table
+of keys and sizes: sums of 4,096 ranges of keys give the range of the budget's end, sums of 4,096 parts of that range give
+its part, and only the rows of that part (a sixteen-millionth of the keys) are sorted.  What comes of it is one row a source,
+with the key, id and tie at which its budget ends.  Every document is then taken or left by comparing its own key with that
+row, in one pass over the texts, which are never shuffled.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own and comes
-last; equal keys (repeated ids) are ordered by id, then by a hash of the text, and rows equal in all of these are
-interchangeable; an empty table gives an empty result; extra columns are carried or ignored.
+last; equal keys (repeated ids) are ordered by id, then by a hash of the text; rows equal in all of these share what is due
+to them equally, rounded down; an empty table gives an empty result; extra columns are carried or ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ from ._store import stored
 WEIGHTS = (3, 1, 2)
 #: All targets together, as a share of all sizes, and the most of one source, in times its size.
 SHARE, MOST = 1.5, 2
+#: Ranges of keys, and parts of the range at which a budget ends.
 KEY_BINS = 4096
+#: With more sources than this, their rows are joined by a shuffle instead of a broadcast.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = r"[^\p{L}\x09-\x0D\x20]"
 
@@ -62,11 +68,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), chosen * F.col("weight")).alias("target"))
 
 
-def _mixed(docs: DataFrame, carry: list[str], seed: int, weight: Column | None) -> DataFrame:
-    """Columns doc_id, source, _carried_*, _size, _source_size, _target, _taken."""
+def keyed(docs: DataFrame, carry: list[str], seed: int, weight: Column | None) -> DataFrame:
+    """doc_id, source, _carried_*, _size, _key (smallest first), _tie, a row per document."""
     text = F.col("text")
     w = quality_weight(text) if weight is None else weight
-    rows = docs.select(
+    return docs.select(
         F.col("doc_id"),
         F.col("source"),
         word_count(text).alias("_size"),
@@ -74,20 +80,53 @@ def _mixed(docs: DataFrame, carry: list[str], seed: int, weight: Column | None)
         F.xxhash64(text).alias("_tie"),
         *[F.col(c).alias(f"_carried_{c}") for c in carry],
     )
-    rows = stored(rows.withColumn("_bin", F.least(F.lit(KEY_BINS - 1), F.floor(KEY_BINS * (1 - F.exp(-0.5 * F.col("_key"))))).cast("int")), "mix-keys")
-    bins = stored(rows.groupBy("source", "_bin").agg(F.sum("_size").alias("_bin_size")), "mix-bins")
-    targets = source_targets(bins.groupBy("source").agg(F.sum("_bin_size").alias("source_size")))
+
+
+def with_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """The rows with the columns of their source; few: those are broadcast."""
+    sources = sources.withColumnRenamed("source", "_s")
+    return rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def ends_in(sums: DataFrame, due: DataFrame, few: bool) -> DataFrame:
+    """sums: source, _at, _sum; due: source, _rest.  For each source the _at (by its order) at which _rest ends, and what of
+    _rest is due there."""
+    up_to = Window.partitionBy("source").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = with_sources(sums.withColumn("_up_to", F.sum("_sum").over(up_to)), due, few).filter("_up_to > _rest")
+    end = F.min_by(F.struct(F.col("_at").alias("_end"), (F.col("_rest") - F.col("_up_to") + F.col("_sum")).alias("_rest")), "_at")
+    return placed.groupBy("source").agg(end.alias("e")).select("source", "e._end", "e._rest")
+
+
+def limits(rows: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+    """targets with _last: the key, id and tie at which each source's _rest ends (null: nowhere), the words due there, and how
+    many rows share them."""
+    fine = F.floor(KEY_BINS * KEY_BINS * (1 - F.exp(-0.5 * F.col("_key"))))
+    fine = F.least(F.lit(KEY_BINS * KEY_BINS - 1), fine).cast("int")
+    rows = rows.withColumn("_bin", F.shiftright(fine, 12)).withColumn("_part", fine.bitwiseAND(KEY_BINS - 1))
+    bins = stored(ends_in(rows.groupBy("source", F.col("_bin").alias("_at")).agg(F.sum("_size").alias("_sum")), targets.select("source", "_rest"), few), "mix-bins")
+    near = with_sources(rows, bins, few).filter("_bin = _end").drop("_end", "_rest")
+    parts = stored(ends_in(near.groupBy("source", F.col("_part").alias("_at")).agg(F.sum("_size").alias("_sum")), bins.select("source", "_rest"), few), "mix-parts")
+    last = with_sources(near, parts, few).filter("_part = _end").drop("_end", "_rest")
+    # rows equal in key, id and tie count as one
+    last = last.groupBy("source", F.struct("_key", "doc_id", "_tie").alias("_at")).agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_many"))
+    ends = with_sources(ends_in(last.drop("_many"), parts.select("source", "_rest"), few).withColumnRenamed("_rest", "_due"), last.select("source", F.col("_at").alias("_own"), "_many"), False)
+    ends = ends.filter("_end = _own").select(F.col("source").alias("_o"), F.struct("_end", "_due", "_many").alias("_last"))
+    return targets.join(ends, F.col("source").eqNullSafe(F.col("_o")), "left").drop("_o")
+
+
+def _mixed(docs: DataFrame, carry: list[str], seed: int, weight: Column | None) -> DataFrame:
+    """Columns doc_id, source, _carried_*, _size, _source_size, _target, _taken."""
+    rows = stored(keyed(docs, [], seed, weight), "mix-keys")
+    targets = source_targets(rows.groupBy("source").agg(F.sum("_size").alias("source_size")))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("_epochs", epochs).withColumn("_rest", budget - F.col("_epochs") * F.col("source_size"))
-    up_to = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_below", F.coalesce(F.sum("_bin_size").over(up_to), F.lit(0)))
-    t = targets.withColumnRenamed("source", "_s")
-    places = bins.join(t, bins["source"].eqNullSafe(t["_s"])).select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_below", "source_size", "target", "_epochs", "_rest")
-    within = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = rows.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    placed = ordered.join(places, ordered["source"].eqNullSafe(places["_s"]) & (ordered["_bin"] == places["_b"]))
-    selected = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_below") - F.col("_before")))
+    targets = stored(targets, "mix-targets")
+    few = targets.count() <= BROADCAST_SOURCES
+    placed = with_sources(keyed(docs, carry, seed, weight) if carry else rows, stored(limits(rows, targets, few), "mix-limits"), few)
+    own, end = F.struct("_key", "doc_id", "_tie"), F.col("_last._end")
+    # without an end nothing of the source is left out
+    selected = F.when(F.col("_last").isNull(), F.least(F.col("_size"), F.col("_rest"))).when(own < end, F.col("_size")).when(own == end, F.floor(F.col("_last._due") / F.col("_last._many"))).otherwise(0)
     return placed.select(
         "doc_id",
         "source",
