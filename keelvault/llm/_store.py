@@ -1,7 +1,8 @@
 """Shared scratch storage: intermediate tables are written as Parquet and reread.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) a
-local one is chosen.  Tables written here cut lineage and survive the loss of an executor.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset and all tasks run in the
+driver's process (tests, a laptop) a local one is chosen; on a cluster that is an error.  Tables written here cut lineage and
+survive the loss of an executor.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The URI of the shared folder for intermediate data."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_DEFAULT
     if "://" not in root and not root.startswith("file:"):
         hadoop = spark.sparkContext._jvm.org.apache.hadoop
@@ -49,6 +53,14 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with as many underscores after it as it takes until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Deletes every intermediate table written so far; results that still read them must be done."""
     while _WRITTEN:

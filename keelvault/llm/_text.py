@@ -78,13 +78,16 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in ``data`` and the first word of each document (one more entry than documents)."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``data`` and the first word of each document (one more entry than documents).
+
+    space: which bytes part words.
+    """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     inner = offsets[(offsets > 0) & (offsets < n)]

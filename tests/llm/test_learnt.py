@@ -3,7 +3,6 @@
 import math
 import random
 import zlib
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,51 +84,91 @@ def test_without_labels(setting):
 
 def test_toxicity_counts_every_labelled_row_but_those_that_fit(setting, monkeypatch):
     docs, labels, truth = setting
-    counted, count_grams = [], toxicity.count_grams
+    counted, models = [], toxicity.kneser_ney
     monkeypatch.setattr(toxicity, "FIT_ROWS", 40)
-    monkeypatch.setattr(toxicity, "count_grams", lambda rows, *a: counted.append(rows.count()) or count_grams(rows, *a))
+    monkeypatch.setattr(toxicity, "kneser_ney", lambda kind, toxic, ordinary, documents: counted.append((toxic.count() + ordinary.count(), documents.count())) or models(kind, toxic, ordinary, documents))
     toxicity.train(docs, labels)
-    assert counted == [sum(not held_out(i) for i in truth) - 40]
+    assert counted == [(sum(not held_out(i) for i in truth) - 40, docs.count())] * 2
 
 
-def test_toxicity_ratios_are_those_of_exact_ngrams(spark, make_docs, monkeypatch):
-    """Word ratios against plain dictionaries, so that no two n-grams share counts; and with nearly all words joined."""
-    r = random.Random(9)
-    rows = [(i, " ".join("".join(chr(r.randrange(97, 123)) for _ in range(r.randint(1, 12))) for _ in range(60)), i % 3 == 0) for i in range(60)]
-    own, suffixes = {}, set()
-    for _, text, toxic in rows:
-        for word in text.split():
-            padded = f" {word} ".encode()
-            for end in range(2, len(padded) + 1):
-                gram = padded[max(0, end - 8) : end]
-                own.setdefault(gram, [0, 0])[toxic] += 1
-                suffixes |= {gram[j:] for j in range(len(gram))}
-    left, after, totals = Counter(g[1:] for g in suffixes), {}, {}
-    for g in suffixes:
-        after.setdefault(g[:-1], []).append(left[g] if len(g) < 8 else 0)
-    for g, n in own.items():
-        totals.setdefault(g[:-1], []).append(n)
-
-    def shared(g):
-        if not g:
-            return 1 / 256
-        total, kinds = sum(after[g[:-1]]), sum(c > 0 for c in after[g[:-1]])
-        return (max(left[g] - 0.75, 0) + 0.75 * kinds * shared(g[1:])) / total if total else shared(g[1:])
+def test_toxicity_labels_meet_texts_by_either_join(setting, monkeypatch):
+    docs, labels, _ = setting
+    one = sorted((r["doc_id"], r["toxicity"]) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert one == sorted((r["doc_id"], r["toxicity"]) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
+
+
+def test_toxicity_carries_a_column_of_its_name(setting):
+    docs, labels, _ = setting
+    own = docs.withColumn("toxicity", F.lit("mine")).withColumn("_key", F.lit(1))
+    scored = toxicity.score(own, toxicity.train(own, labels))
+    assert scored.columns == [*own.columns, "toxicity_"] and {r["toxicity"] for r in scored.collect()} == {"mine"}
+    kept = toxicity.reject(own, labels)
+    assert kept.columns == own.columns and 0 < kept.filter("toxicity = 'mine'").count() == kept.count() < docs.count()
+
+
+def plain_ratios(toxic, ordinary, documents, order, least, blank=None):
+    """The module's formula, on dictionaries: a function from a list of elements to the log ratio of each but leading blanks."""
+    texts, counts = (toxic, ordinary), ({}, {})
+    for found, own in zip(texts, counts, strict=True):
+        for ws in found:
+            for k in range(1, order + 1):
+                for i in range(len(ws) - k + 1):
+                    if not (k == 1 and i == 0 and ws[0] == blank):
+                        own[tuple(ws[i : i + k])] = own.get(tuple(ws[i : i + k]), 0) + 1
+    kept = {g for g, n in counts[0].items() if n >= least}
+    totals = [sum(len(ws) - (blank is not None) for ws in t) for t in texts]
+    before, after = {}, {}
+    for ws in documents:
+        for a, w in list(zip([None, *ws], ws, strict=False))[blank is not None :]:
+            before.setdefault(w, set()).add(a)
+    for g in kept:
+        after.setdefault(g[:-1], []).append(g)
+    single = [g[0] for g in kept if len(g) == 1]
+    inside = sum(c.get((w,), 0) for w in single for c in counts)
+    kinds = sum(len(before[w]) for w in single) * max(1.0, sum(totals) / inside)
+
+    def rest(h, c):
+        taken = sum(max(counts[c].get(g, 0) - 0.75, 0) for g in after.get(h, []))
+        return 1 - taken / (max(counts[c].get(h, 0), 1) if h else totals[c])
 
     def likely(g, c):
-        total, kinds = sum(n[c] for n in totals[g[:-1]]), sum(n[c] > 0 for n in totals[g[:-1]])
-        rest = 0.75 * kinds / total if total else 1.0
-        return math.log(max(max(own[g][c] - 0.75, 0) / max(total, 1) + rest * shared(g[1:]), 1e-12))
-
-    def ratio(word):
-        padded = f" {word} ".encode()
-        grams = [padded[max(0, end - 8) : end] for end in range(2, len(padded) + 1)]
-        return sum(likely(g, 1) - likely(g, 0) for g in grams)
-
-    docs = make_docs([(i, t) for i, t, _ in rows])
-    labelled = spark.createDataFrame([(t, int(c)) for _, t, c in rows], "text string, label int")
-    table = toxicity.kneser_ney(toxicity.count_grams(labelled, 5), 5)
-    monkeypatch.setattr(toxicity, "COMMON", 3)
-    found = {row["doc_id"]: row[toxicity.FEATURES[-1]] for row in toxicity.rated(docs, table, 5).collect()}
-    for i, text, _ in rows:
-        assert found[i] == pytest.approx(sum(map(ratio, text.split())) / 60, abs=2e-3)
+        if not g[1:]:
+            under = len(before[g[0]]) / kinds if g in kept else 1.0
+            return (max(counts[c].get(g, 0) - 0.75, 0) / totals[c] if g in kept else 0) + rest((), c) * under
+        own = max(counts[c].get(g, 0) - 0.75, 0) / max(counts[c].get(g[:-1], 0), 1) if g in kept else 0
+        return own + (rest(g[:-1], c) if g[:-1] in kept else 1) * likely(g[1:], c)
+
+    def ratio(ws, i):
+        g = tuple(ws[max(0, i - order + 1) : i + 1])
+        return math.log(likely(g, 0)) - math.log(likely(g, 1))
+
+    return lambda ws: [ratio(ws, i) for i in range(blank is not None, len(ws))]
+
+
+@pytest.mark.parametrize("common", [1 << 22, 3])
+def test_toxicity_ratios_are_those_of_the_formula(spark, make_docs, monkeypatch, common):
+    """All ratios broadcast, and nearly all of them joined."""
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice("abcdefgh") + r.choice("xy") * (r.random() < 0.3) for _ in range(r.randint(1, 40))), i % 3 == 0) for i in range(60)]
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    frames = [spark.createDataFrame([(t,) for _, t, c in rows if c == which], "text string") for which in (True, False)]
+    docs = make_docs([*((i, t) for i, t, _ in rows), (99, "A, a! b-b;zz never seen"), (100, None)])
+    tables = {kind: toxicity.kneser_ney(kind, *frames, docs.select("text")) for kind in toxicity.ORDERS}
+    split = lambda t: "".join(x if x.isalnum() else " " for x in (t or "").lower()).split()
+    by_class = [[split(t) for _, t, c in rows if c == which] for which in (True, False)]
+    everything = [split(x["text"]) for x in docs.collect()]
+    words = plain_ratios(*by_class, everything, 3, toxicity.LEAST)
+    spell = lambda texts: [f" {w} " for t in texts for w in t]
+    letters = plain_ratios(*map(spell, by_class), spell(everything), 8, toxicity.LEAST, " ")
+    found = {row["doc_id"]: row for row in toxicity.rated(docs, tables).collect()}
+    assert len(found) == len(rows) + 2
+    clip = lambda x: max(-toxicity.MOST, min(toxicity.MOST, x))
+    for row in found.values():
+        text = split(row["text"])
+        for half, want in ((0, words(text)), (1, [sum(letters(f" {w} ")) for w in text])):
+            got = [row[f] for f in toxicity.FEATURES[half * 6 : half * 6 + 6]]
+            want = list(map(clip, want))
+            best = sorted({w: max(x for v, x in zip(text, want, strict=True) if v == w) for w in text}.values(), reverse=True)[: toxicity.TOP]
+            passages = [max((sum(want[i : i + k]) / k for i in range(len(want))), default=0) for k in toxicity.PASSAGES]
+            assert got == pytest.approx([*passages, sum(want) / max(len(want), 1), sum(best) / toxicity.TOP], abs=1e-4)
