@@ -162,35 +162,78 @@ def vectors():
     return [*rows, (5000, rows[0][1], 0), (5000, rows[0][1], 0), (5001, [x * 4 for x in rows[0][1]], 0), (None, rows[0][1], 0)]
 
 
-@pytest.mark.parametrize("block", [1024, 32])
-def test_embeddings(spark, monkeypatch, block):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
-    monkeypatch.setattr(embeddings, "CELL", block)
-    rows = vectors()
-    unit = [embeddings.normalised(v) if v is not None and len(v) == 16 and label is not None and i is not None else None for i, v, label in rows]
-    degree, links = [], []
+def plain_links(rows):
+    """The number of links of each row, and the smallest id that each reaches."""
+    degree, links, unit = [], [], []
+    for i, v, label in rows:
+        v = np.array([np.nan if x is None else x for x in v], float) if v and label is not None and i is not None else np.zeros(0)
+        unit.append(v / np.linalg.norm(v) if len(v) and np.isfinite(v).all() and v.any() else None)
     for p, u in enumerate(unit):
-        near = [q for q, w in enumerate(unit) if q != p and u is not None and w is not None and rows[p][2] == rows[q][2] and u @ w >= 0.98]
+        near = [q for q, w in enumerate(unit) if q != p and u is not None and w is not None and len(u) == len(w) and rows[p][2] == rows[q][2] and u @ w >= 0.98]
         degree.append(len(near))
         links += [(rows[p][0], rows[q][0]) for q in near]
-    want = closed({i for i, *_ in rows if i is not None}, links)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    return degree, closed({i for i, *_ in rows if i is not None}, links)
+
+
+@pytest.mark.parametrize("cell", [4096, 32])
+def test_embeddings(spark, monkeypatch, cell):
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    rows = vectors()
+    rows += [(7000 + i, [1.0, float(i % 2), 0.1], 0) for i in range(4)]  # a rarer length
+    degree, want = plain_links(rows)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, key string, n int")
     found = embeddings.near_duplicates(df).collect()
     assert len(found) == len(rows)
     truth = sorted((str(i), n, str(want.get(i))) for (i, *_), n in zip(rows, degree, strict=True))
-    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in found)
-    assert sum(n for _, n, _ in got) >= 0.98 * sum(n for _, n, _ in truth)
-    assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in truth]
-    assert all(g <= t for (_, g, _), (_, t, _) in zip(got, truth, strict=True))
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in found) == truth
+    assert {r["n_links"] for r in found if (r["vec_id"] or 0) >= 7000} == {1}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def links_found(spark, x, label=1):
+    df = spark.createDataFrame([(i, v.tolist(), label) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    return np.array([n for _, n in sorted((r["vec_id"], r["n_links"]) for r in embeddings.near_duplicates(df).collect())])
+
+
 def test_embeddings_links_across_boundaries_of_any_direction(spark, monkeypatch):
     """Vectors on a circle in 64 dimensions: every link that crosses a boundary does so along its normal."""
     monkeypatch.setattr(embeddings, "CELL", 40)
     angle = np.random.default_rng(5).uniform(0, 2 * np.pi, 400)
     flat = np.zeros((400, 64))
     flat[:, 0], flat[:, 1] = np.cos(angle), np.sin(angle)
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(flat)], "vec_id long, embedding array<double>, label int")
-    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
-    assert [found[i] for i in range(400)] == ((flat @ flat.T >= embeddings.COSINE).sum(1) - 1).tolist()
+    assert links_found(spark, flat).tolist() == ((flat @ flat.T >= embeddings.COSINE).sum(1) - 1).tolist()
+
+
+def test_embeddings_of_few_effective_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 300)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2500, 4)) @ r.normal(size=(4, 128)) + 0.01 * r.normal(size=(2500, 128))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= embeddings.COSINE).sum(1) - 1
+    found = links_found(spark, x)
+    assert (found <= truth).all() and found.sum() >= 0.998 * truth.sum()
+
+
+def test_embeddings_of_a_dense_group(spark, monkeypatch):
+    """More distinct vectors within a link of each other than a task may hold."""
+    monkeypatch.setattr(embeddings, "CELL", 128)
+    monkeypatch.setattr(embeddings, "MEMBERS", 256)
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=24) + 0.02 * r.normal(size=(900, 24)), r.normal(size=(300, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert links_found(spark, x).tolist() == ((x @ x.T >= embeddings.COSINE).sum(1) - 1).tolist()
+
+
+def test_embedding_graph(monkeypatch):
+    """Blocks are bounded whatever the density, and their united lists lead from the medoids to all nodes in range."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    r = np.random.default_rng(8)
+    x = np.concatenate([c + s * r.normal(size=(n, 16)) for c, s, n in zip(r.normal(size=(40, 16)), [0.03, 0.1] * 20, r.integers(1, 400, 40), strict=True)])
+    x = embeddings.unit(x)
+    assert max(map(len, embeddings.blocks(x))) <= 64 and set(np.concatenate(list(embeddings.blocks(x))).tolist()) == set(range(len(x)))
+    graph, some = embeddings.Graph(x), np.arange(0, len(x), 7)
+    truth = x[some] @ x.T >= embeddings.COSINE
+    for own, least in ((some, 0.99), (np.full(len(some), -1), 0.9)):  # as nodes of the graph, and as strangers to it
+        q, v = graph.within(x[some], own)
+        assert len(set(zip(q.tolist(), v.tolist(), strict=True))) == len(q) and truth[q, v].all()
+        assert len(q) >= least * truth.sum()
