@@ -7,8 +7,9 @@ sequence of its own names (optimal densification).  ROWS values make a band, and
 Equal sets are one node from the start.  In a bucket the node of the smallest id is the centre, and each other node is paired
 with it only (star-shaped candidates), so the number of pairs is that of the members.  A pair is confirmed on the full sets.
 A link between two nodes that aren't linked to a centre isn't lost: in a bucket whose nodes aren't of one component yet, the
-nodes of different components are compared by sketches of SKETCH bytes, block by block inside tasks, and only pairs whose
-sketches agree nearly as well as those of a link are confirmed on the full sets.
+nodes outside its largest component are compared with all of other components, block by block inside tasks, by a gate of GATE
+bytes, and only pairs that pass are confirmed on the full sets.  Sets of up to SMALL shingles pass by a bit map that bounds the
+size of the intersection from above, so no link of theirs is lost there; larger ones by a sketch of one-permutation values.
 
 The chance that a pair at the threshold shares no bucket is (1 - 0.8**ROWS)**BANDS, about 5 in a million.
 
@@ -19,7 +20,7 @@ empty table gives an empty result.  Sets are told apart by 128 bits and nodes nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,17 @@ BINS = BANDS * ROWS
 SIMILAR, WORDS = 80, 5
 #: For each attempt, the bin whose value an empty bin takes.
 ATTEMPTS = np.random.default_rng(4242).integers(0, BINS, (96, BINS))
-#: Bytes of a sketch, by which pairs across components are told apart before they are confirmed: at the threshold's
-#: similarity the share of equal bytes lies SKETCH_SIGMAS standard deviations above the least that is let through.
-SKETCH_BITS = 9
-SKETCH, SKETCH_SIGMAS = 1 << SKETCH_BITS, 4.5
-SKETCH_ATTEMPTS = np.random.default_rng(4343).integers(0, SKETCH, (96, SKETCH))
+#: Bytes of a gate, by which pairs across components are told apart before they are confirmed.
+GATE_BITS = 9
+GATE = 1 << GATE_BITS
+#: Shingles of a set whose gate is a bit map.  Of a larger one it is a sketch: at the threshold's similarity the share of equal
+#: bytes lies SIGMAS standard deviations above the least that is let through (all GATE values are drawn from so many shingles).
+SMALL, SIGMAS = 1024, 4.5
+ATTEMPTS_GATE = np.random.default_rng(4343).integers(0, GATE, (96, GATE))
 #: Nodes of a bucket in a block; blocks are compared two by two, in tasks of their own.
 BLOCK = 1024
+#: With more buckets of over a block, they are joined by a shuffle instead of a broadcast.
+BROADCAST_BUCKETS = 200_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,33 +106,88 @@ def bands(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def bit_maps(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A map of 8 * GATE bits of each non-empty set (by another hash than the bands): two sets have no more shingles in common
+    than bits, and than one of them has shingles that share a bit."""
+    n = np.diff(begin)
+    owner = np.repeat(np.arange((n > 0).sum()), n[n > 0])
+    place = (mix(v ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(64 - GATE_BITS - 3)).astype(np.int64)
+    out = np.zeros(((n > 0).sum(), GATE), np.uint8)
+    np.bitwise_or.at(out, (owner, place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
+    return out
+
+
 def sketches(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A byte of the smallest hash in each of SKETCH bins, a row for each non-empty set (by another hash than the bands)."""
+    """A byte of the smallest hash in each of GATE bins, a row for each non-empty set (by another hash than the bands)."""
     n = np.diff(begin)
     full = np.flatnonzero(n)
     owner = np.repeat(np.arange(len(full)), n[full])
     h = mix(v ^ np.uint64(0x1F83D9ABFB41BD6B))
-    slot = owner * SKETCH + (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    slot = owner * GATE + (h >> np.uint64(64 - GATE_BITS)).astype(np.int64)
     by = np.lexsort((h, slot))
     slot, h = slot[by], h[by]
     lowest = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
-    out, taken = np.zeros((len(full), SKETCH), np.uint8), np.zeros((len(full), SKETCH), bool)
+    out, taken = np.zeros((len(full), GATE), np.uint8), np.zeros((len(full), GATE), bool)
     out.ravel()[slot[lowest]] = (mix(h[lowest]) >> np.uint64(56)).astype(np.uint8)
     taken.ravel()[slot[lowest]] = True
     row, col = np.nonzero(~taken)
-    for attempt in SKETCH_ATTEMPTS:
+    for attempt in ATTEMPTS_GATE:
         if not len(row):
             break
         hit = taken[row, attempt[col]]
         out[row[hit], col[hit]] = out[row[hit], attempt[col[hit]]]
         row, col = row[~hit], col[~hit]
-    if len(row):
-        place = np.where(taken, np.arange(SKETCH), SKETCH * 2)
-        ahead = np.minimum.accumulate(np.concatenate([place, place + SKETCH], 1)[:, ::-1], 1)[:, ::-1]
-        out[row, col] = out[row, ahead[row, col] % SKETCH]
     return out
 
 
+def gates(v: np.ndarray, begin: np.ndarray, similar: int) -> list[bytes]:
+    """Of each non-empty set: its bit map if it has at most SMALL shingles, and its sketch if it is so large that it may be
+    similar to one of more."""
+    n = np.diff(begin)
+    n = n[n > 0]
+    maps, drawn = n <= SMALL, 100 * n > similar * SMALL
+    out = [b""] * len(n)
+    for some, make in ((maps, bit_maps), (drawn, sketches)):
+        if not some.any():
+            continue
+        keep = np.repeat(some, n)
+        made = make(v[keep], np.concatenate([[0], np.cumsum(n[some])]))
+        for i, row in zip(np.flatnonzero(some), made, strict=True):
+            out[i] += row.tobytes()
+    return out
+
+
+def passing(n: np.ndarray, gate: list[bytes], similar: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of two lists of sets: which pairs may be similar enough, as a matrix."""
+    share = similar / 100
+    least = int(np.ceil(GATE * (share - SIGMAS * np.sqrt(share * (1 - share) / GATE))))
+    small, drawn = n <= SMALL, 100 * n > similar * SMALL
+    maps, drawn_bytes = np.zeros((len(n), GATE // 8), np.uint64), np.zeros((len(n), GATE), np.uint8)
+    for i, g in enumerate(gate):
+        if small[i]:
+            maps[i] = np.frombuffer(g[:GATE], np.uint64)
+        if drawn[i]:
+            drawn_bytes[i] = np.frombuffer(g[-GATE:], np.uint8)
+    shared_bits = n - np.bitwise_count(maps).sum(1, dtype=np.int64)  # shingles without a bit of their own
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(y)), bool)
+        p, q = np.flatnonzero(small[x]), np.flatnonzero(small[y])
+        if len(p) and len(q):
+            a, b = x[p], y[q]
+            most = np.bitwise_count(maps[a][:, None] & maps[b][None]).sum(2, dtype=np.int64) + np.minimum(shared_bits[a][:, None], shared_bits[b][None])
+            out[np.ix_(p, q)] = (100 + similar) * most >= similar * (n[a][:, None] + n[b][None])
+        p, q = np.flatnonzero(drawn[x]), np.flatnonzero(drawn[y])
+        if len(p) and len(q):
+            a, b = x[p], y[q]
+            near = (drawn_bytes[a][:, None] == drawn_bytes[b][None]).sum(2, dtype=np.uint16) >= least
+            both = small[a][:, None] & small[b][None]
+            out[np.ix_(p, q)] = np.where(both, out[np.ix_(p, q)], near)
+        return out
+
+    return pairs
+
+
 def numbers(v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit numbers that stand for each set."""
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(v + np.uint64(salt)))]) for salt in (11, 23)]
@@ -152,60 +212,77 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(trimmed(work), "doc_id long, text_hash long, n_shingles long, node long, check long, bands array<long>")
 
 
-def full_sets(rows: DataFrame, k: int) -> DataFrame:
-    """rows: node, text.  Returns node, shingles (sorted 64-bit hashes as bytes) and sketch where the text's set has that number."""
+def full_sets(rows: DataFrame, k: int, similar: int) -> DataFrame:
+    """rows: node, text.  Returns node, n, shingles (sorted 64-bit hashes as bytes) and gate where the text's set has that number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, off in text_slices(batch.column(1)):
                 v, begin = shingle_sets(data, off, k)
-                own = np.flatnonzero((numbers(v, begin)[0] == node[a:b]) & (np.diff(begin) > 0))
-                place = np.cumsum(np.diff(begin) > 0) - 1
-                sketch = sketches(v, begin)
-                columns = [pa.array(node[a:b][own]), pa.array([v[begin[i] : begin[i + 1]].tobytes() for i in own], pa.binary()), pa.array([sketch[place[i]].tobytes() for i in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
+                n = np.diff(begin)
+                own = np.flatnonzero((numbers(v, begin)[0] == node[a:b]) & (n > 0))
+                place, gate = np.cumsum(n > 0) - 1, gates(v, begin, similar)
+                columns = [pa.array(node[a:b][own]), pa.array(n[own].astype(np.int64)), pa.array([v[begin[i] : begin[i + 1]].tobytes() for i in own], pa.binary()), pa.array([gate[place[i]] for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "shingles", "gate"])
 
-    return rows.select("node", "text").mapInArrow(trimmed(work), "node long, shingles binary, sketch binary")
+    return rows.select("node", "text").mapInArrow(trimmed(work), "node long, n long, shingles binary, gate binary")
 
 
-def crossing(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """members: bucket, node, component of buckets with several components.  Returns pairs (a, b) of different components
-    whose sketches agree well enough; the other pairs are compared, but never written.
+def dealt(members: DataFrame) -> DataFrame:
+    """members: bucket, node, component.  Returns place, node, component, left, right: where each node of a bucket with several
+    components is compared, and on which sides.
 
-    A bucket is cut into blocks of about BLOCK nodes, and each two blocks are compared in one place.
+    A bucket of up to BLOCK nodes is one place.  In a larger one the nodes outside its largest component are cut into blocks and
+    compared with each other and with that component's blocks, which are not compared among themselves.  The few large buckets
+    are told apart first, so that none of them is dealt by its key.
     """
-    share = similar / 100
-    least = int(np.ceil(SKETCH * (share - SKETCH_SIGMAS * np.sqrt(share * (1 - share) / SKETCH))))
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "node", "component", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("same"))
-    dealt = dealt.join(sets.select("node", "sketch"), "node").repartition("place").sortWithinPartitions("place")
+    by_part = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most"))
+    sizes = stored(sizes.filter("parts > 1 AND n > 2").select("bucket", "n", F.col("most.component").alias("main"), F.col("most.n").alias("n_main")), "open-buckets")
+    large = sizes.filter(F.col("n") > BLOCK)
+    hint = F.broadcast if large.count() <= BROADCAST_BUCKETS else lambda df: df
+    rest = members.join(hint(large.select("bucket")), "bucket", "left_anti")
+    one = rest.join(sizes.filter(F.col("n") <= BLOCK).select("bucket"), "bucket").select(F.xxhash64("bucket").alias("place"), "node", "component", F.lit(True).alias("left"), F.lit(True).alias("right"))
+    wide = members.join(hint(large), "bucket")
+    others, mains = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n") - F.col("n_main"), F.col("n_main")))
+    is_main = F.col("component") == F.col("main")
+    block = F.pmod(F.xxhash64("node"), F.when(is_main, mains).otherwise(others)).cast("int")
+    wide = wide.withColumn("others", others).withColumn("mains", mains).withColumn("is_main", is_main).withColumn("block", block)
+    # places are (block of the others, block of the others) or (block of the others, block of the largest component)
+    across = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("kind"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"), F.lit(0).alias("kind"), (F.col("block") <= j).alias("left"), (F.col("block") >= j).alias("right")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("kind"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    wide = wide.withColumn("at", F.explode(F.when(F.col("is_main"), across).otherwise(F.concat(among, with_main))))
+    return one.unionByName(wide.select(F.xxhash64("bucket", "at.i", "at.j", "at.kind").alias("place"), "node", "component", "at.left", "at.right"))
+
+
+def crossing(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """members: bucket, node, component.  Returns pairs (a, b) of different components that pass the gate; the other pairs are
+    compared, but never written."""
+    placed = dealt(members).join(sets.select("node", "n", "gate"), "node").repartition("place").sortWithinPartitions("place")
 
     def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        node, component, left, same = (table[c].to_numpy() for c in ("node", "component", "left", "same"))
-        sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]])
-        x, y = np.flatnonzero(left | same), np.flatnonzero(~left | same)
+        node, component, left, right, n = (table[c].to_numpy() for c in ("node", "component", "left", "right", "n"))
+        pairs = passing(n, table["gate"].to_pylist(), similar)
+        x, y = np.flatnonzero(left), np.flatnonzero(right)
         one, two = [], []
-        step = max(1, (16 << 20) // (SKETCH * max(1, len(y))))
+        step = max(1, (16 << 20) // (GATE * max(1, len(y))))
         for at in range(0, len(x), step):
             i = x[at : at + step]
-            near = (sketch[i][:, None] == sketch[y][None]).sum(2, dtype=np.uint16) >= least
-            near &= component[i][:, None] != component[y][None]
-            p, q = np.nonzero(near)
+            p, q = np.nonzero(pairs(i, y) & (component[i][:, None] != component[y][None]))
             one.append(node[i[p]])
             two.append(node[y[q]])
         a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (one, two))
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         place = None
         for batch in batches:
-            key = batch.column(0).to_numpy()
+            key = batch.column(batch.schema.get_field_index("place")).to_numpy()
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
             for begin, end in zip(cuts, np.r_[cuts[1:], len(key)], strict=True) if len(key) else ():
                 if held and key[begin] != place:
@@ -216,7 +293,7 @@ def crossing(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
         if held:
             yield compare(held)
 
-    return dealt.mapInArrow(trimmed(work), "a long, b long").distinct()
+    return placed.mapInArrow(trimmed(work), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -242,11 +319,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (whether that is its own), a row per document."""
-    return grouped(docs, k, similar).drop("text_hash")
+    return grouped(docs, k, similar).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def grouped(docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """As near_duplicates(), with a hash of the text, which tells rows of one id apart."""
+    """As near_duplicates(), with a hash of the text, which tells rows of one id apart, and the number of the group (null: none)."""
     signed = stored(signatures(docs, k), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = stored(linked.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "sets")
@@ -255,26 +332,37 @@ def grouped(docs: DataFrame, k: int, similar: int) -> DataFrame:
     shared = stored(shared.select("bucket", "centre"), "buckets")
     members = stored(members.select("bucket", "node").join(shared, "bucket").select("bucket", "node", "centre"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = stored(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), k).dropDuplicates(["node"]), "shingles")
+    sets = stored(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), k, similar).dropDuplicates(["node"]), "shingles")
     links = confirmed(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets, similar)
     found = stored(components(links), "components")
-    placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    rest = stored(placed.join(spread.filter("low <> high AND n > 2").select("bucket"), "bucket").select("bucket", "node", "component"), "open-buckets")
-    fresh = confirmed(crossing(rest, sets, similar), sets, similar)
+    placed = stored(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-members")
+    fresh = confirmed(crossing(placed, sets, similar), sets, similar)
     stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is linked so far
     found = stored(components(fresh.unionByName(stars)), "components")
     groups = nodes.select("node", "doc_id").join(found, "node").select("component", "node", "doc_id")
     lowest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    placed = nodes.select("node", "check", "doc_id").join(groups.join(lowest, "component").select("node", "component_id"), "node", "left")
-    placed = stored(placed.select("node", "check", F.coalesce("component_id", "doc_id").alias("component_id")), "placed")
+    placed = nodes.select("node", "check", "doc_id").join(groups.join(lowest, "component").select("node", "component", "component_id"), "node", "left")
+    placed = stored(placed.select("node", "check", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id")), "placed")
     out = signed.select("doc_id", "text_hash", "n_shingles", "node", "check").join(placed, ["node", "check"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` of which one document of each group stays, that with the smallest id."""
-    removed = grouped(docs, k, similar).filter(~F.col("kept")).select(F.col("doc_id").alias("_removed"), F.col("text_hash").alias("_removed_text")).distinct()
-    removed = stored(removed, "removed")
-    return docs.join(removed, (F.col("doc_id") == F.col("_removed")) & (F.xxhash64("text") == F.col("_removed_text")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` of which exactly one of each group stays: that with the smallest id (null last), then the smallest
+    hash of the text; of rows equal in both any one.  Rows without words are in no group and stay."""
+    text_hash, key = F.xxhash64("text"), F.col("doc_id").cast("long")
+    # rows without an id get one that is larger than all others, by their text
+    number = F.coalesce(key, F.xxhash64(F.lit("no id"), "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    rows = grouped(docs.select(number.alias("doc_id"), "text"), k, similar).filter("n_shingles > 0").select("component", "doc_id", "text_hash")
+    counts = stored(rows.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "dedup-rows")
+    first = counts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    judged = counts.join(first, "component").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
+    judged = stored(judged.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_number"), F.col("text_hash").alias("_text_hash"), "stays"), "removed")
+    same = (number == F.col("_number")) & (text_hash == F.col("_text_hash"))
+    left = docs.join(judged, same, "left_anti").select(*docs.columns)
+    repeated = judged.filter("stays")
+    if repeated.isEmpty():
+        return left
+    again = docs.join(repeated, same).dropDuplicates(["_number", "_text_hash"]).select(*docs.columns)
+    return left.unionByName(again)

@@ -85,6 +85,60 @@ def test_links_that_miss_the_centre_are_found(make_docs):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_the_gate_loses_no_small_set():
+    """Pairs at the threshold exactly, and just above it; most pairs far below it are left out."""
+    r = np.random.default_rng(3)
+    for common, more in ((4, 1), (8, 2), (20, 5), (80, 20), (800, 200)):
+        for trial in range(40):
+            v = r.integers(0, 2**63, 3 * common + 3 * more, dtype=np.uint64)
+            one, two, far = v[: common + more // 2], np.r_[v[:common], v[common + more // 2 : common + more]], v[common + more :]
+            sets = [np.sort(x) for x in (one, two, far)]
+            begin = np.concatenate([[0], np.cumsum(list(map(len, sets)))])
+            pairs = minhash.passing(np.diff(begin), minhash.gates(np.concatenate(sets), begin, 80), 80)
+            got = pairs(np.arange(3), np.arange(3))
+            assert got[0, 1] and got[1, 0] and got[0, 0] and not got[0, 2]
+
+
+def test_small_texts_that_miss_their_centre(make_docs):
+    """Chains of texts of 4 to 12 words whose neighbours are just similar enough."""
+    r, rows = random.Random(11), []
+    for n in range(4, 13):
+        for _ in range(12):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            for _ in range(5):
+                rows.append((len(rows), " ".join(words)))
+                words = [*words[1:], f"w{r.randrange(10**6)}"] if r.random() < 0.5 and n > 8 else [*words, f"w{r.randrange(10**6)}"]
+    sets = {i: shingles(t, 1) for i, t in rows}
+    links = [(a, b) for a in sets for b in range(a + 1, min(a + 12, len(rows))) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = closed(sets, links)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make_docs(rows), k=1).collect()} == want
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_large_buckets_are_cut(make_docs, monkeypatch, block):
+    """Families whose texts share buckets but aren't all linked: every pair of different components is compared."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r, rows = random.Random(12), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(160):
+        words = list(base)
+        for _ in range(r.choice([1, 1, 6, 7, 8])):
+            words[r.randrange(60)] = f"n{r.randrange(25)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingles(t, 1) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = closed(sets, links)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make_docs(rows), k=1).collect()} == want
+
+
+def test_one_row_of_each_group_stays(make_docs):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, words), (5, words), (5, words + " x"), (None, words), (None, words), (7, words), (None, "alone without an id"), (None, "alone without an id"), (9, ""), (9, ""), (None, None)]
+    kept = minhash.deduplicated(make_docs(rows)).collect()
+    assert len([r for r in kept if (r["text"] or "").startswith(words)]) == 1 and {r["doc_id"] for r in kept if (r["text"] or "").startswith(words)} == {5}
+    assert sorted(str(r["text"]) for r in kept if not (r["text"] or "").startswith("w")) == ["", "", "None", "alone without an id"]
+
+
 @pytest.mark.parametrize("limit", [2_000_000, 0])
 def test_components(spark, monkeypatch, limit):
     monkeypatch.setattr(_graph, "LOCAL_EDGES", limit)
