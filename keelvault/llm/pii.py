@@ -1,32 +1,40 @@
 """Personal data by bootstrapped contextual extraction (operator 1).
 
-Base spans of four kinds are found by fixed patterns and are the seeds.  The words around a seed (two before, or one on
-either side) are a lexical pattern.  Every identifier-like token with such words around it, seed or not, is an instance.
-Spark scores the graph of patterns and instances: a pattern's score for a kind is the confidence of its distinct instances
-over their number (smoothed), an instance's confidence is the noisy-or of its patterns' scores, and a few rounds spread it.
-Patterns of high score and enough distinct instances then claim the unseen identifiers in their slots as new spans of their
-kind.  Base spans always stay; a new span never overlaps one.
+Base spans of four kinds are found by fixed patterns and are the seeds; secrets that are assigned to a name (SECRET) are seeds of
+a fifth.  What stands around a seed, and its shape, are lexical patterns: the word before it, the two words before it, the words
+on either side, its shape (with and without the lengths of its runs), and shape and word together.  Every identifier-like token,
+and every run of up to RUN numeric tokens between single blanks, is an instance of the patterns that it fits, seed or not.
+Spark scores the graph of patterns and instances: a pattern's score for a kind is the lower bound (at Z standard deviations) of
+the share of that kind among its distinct known instances, to which unknown ones are added with the weight UNKNOWN; so few
+instances or many others make it small.  Known from the start are the seeds, and as counter-examples what has the form of a base
+pattern but fails its check.  Patterns of a score of TRUSTED make the instances that they fit known, by the noisy-or of their
+scores, and with those the next round scores all patterns anew, until no pattern is added or ROUNDS are over.  Trusted patterns then claim the unseen identifiers in their
+slots as new spans of their kind.  Base spans always stay; a new span overlaps none, and of claims that overlap the highest score
+stands, then the longest, then the first.
 
 The graph is a table of distinct edges: each round is two aggregations and two joins, and nothing is gathered on the driver.
-The text itself is read once; only identifier-like tokens, with their words around them, are shuffled.
+The text itself is read once; only identifiers, as hashes with their patterns, are shuffled.
 
-Defined results: a null or empty text has no span; rows are told apart by id and text, and equal rows get equal spans;
-long runs of digits or of address characters take linear time; extra columns are ignored by ``find`` and kept by
-``redact``; an empty table gives an empty result.
+Defined results: a null or empty text has no span; rows are told apart by id and text, and equal rows get equal spans; long runs
+of digits, address characters or tokens take linear time; extra columns are ignored by ``find`` and kept by ``redact``; an empty
+table gives an empty result.  Whole values, words and texts are read, however long; a secret needs a digit.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stored
-from ._text import text_slices
+from ._text import text_slices, trimmed
 
 #: Fixed values of the contract: kinds in order.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,10 +46,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~"
-#: Identifier-like tokens without their edges: so many characters and digits, or an @.
-SHORTEST, LONGEST, DIGITS = 5, 64, 4
-#: Rounds of scoring, smoothing, distinct seed instances that a pattern needs, score from which it is trusted.
-ROUNDS, SMOOTHING, SUPPORT, TRUSTED = 3, 1.0, 5, 0.8
+#: What is assigned to a name that says so.
+SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20\x09]*+[=:][\x20\x09]*+[\"']?([A-Za-z0-9_+/-]{16,}+)")
+#: All kinds of the graph, and those beside the base ones, whose spans have a column of their own.
+MORE = ("secret",)
+#: Identifier-like: so many digits, or an @.  Numeric tokens of a run, and their digits together.
+DIGITS, RUN, RUN_DIGITS = 4, 4, 7
+NUMERIC = re.compile(r"[+(]*[0-9][0-9()./-]*")
+#: What has the form of a base pattern but fails its check.
+NONE = "none"
+#: Rounds of scoring, weight of an unknown instance, standard deviations of the lower bound, score from which a pattern is trusted.
+ROUNDS, UNKNOWN, Z, TRUSTED = 4, 0.2, 1.645, 0.8
 _MARK = np.zeros(256, bool)
 _MARK[[*range(48, 58), 64]] = True
 
@@ -86,41 +101,114 @@ def spell(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def around(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a slot: the two words before it, and the word before with the word after."""
-    left = [w.strip(EDGE).lower() for w in text[max(0, start - 80) : start].split()[-2:]]
-    right = [w.strip(EDGE).lower() for w in text[end : end + 40].split()[:1]]
-    left = ["0" if any(c.isdigit() for c in w) else w for w in left]
-    found = []
-    if len(left) == 2 and all(left):
-        found.append(f"L {left[0]} {left[1]}")
-    if left and right and left[-1] and right[0] and not any(c.isdigit() for c in right[0]):
-        found.append(f"B {left[-1]} {right[0]}")
-    return found
-
-
-def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens that touch no base span."""
-    at = 0
-    for m in TOKEN.finditer(text):
-        word = m[0]
+def shape_of(value: str) -> tuple[str, str]:
+    """The value with digits as 9 and letters as a or A, runs as one; and the same with the lengths of the runs."""
+    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"9+|a+|A+|[^9aA]", re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", re.sub(r"[^\W\d_A-Z9]", "a", value))))]
+    return "".join(c for c, _ in runs), "".join(f"{c}{n}" if c in "9aA" else c for c, n in runs)
+
+
+class Slots:
+    """A text's words, to tell what stands around a place."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.tokens = text, [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        self.starts, self.cores = [a for a, _ in self.tokens], {}
+
+    def core(self, i: int) -> str:
+        """A word without its edges, in lower case, digits as 0."""
+        if i not in self.cores:
+            a, b = self.tokens[i]
+            self.cores[i] = re.sub(r"[0-9]+", "0", self.text[a:b].strip(EDGE).lower())
+        return self.cores[i]
+
+    def patterns(self, start: int, end: int, since: int) -> list[str]:
+        """The lexical patterns of a slot; since: where the span before it ended, as a word that holds several is parted there."""
+        i = bisect.bisect_right(self.starts, start) - 1
+        glued = re.sub(r"[0-9]+", "0", self.text[max(self.tokens[i][0], since) : start].strip(EDGE).lower())
+        left, at = [glued] if glued else [], i - 1
+        while len(left) < 2 and at >= max(0, i - 4):  # words that are only edges are passed over
+            if word := self.core(at):
+                left.append(word)
+            at -= 1
+        j = bisect.bisect_left(self.starts, end)
+        right = self.core(j) if j < len(self.tokens) else ""
+        short, exact = shape_of(self.text[start:end])
+        found = [f"S {short}", f"X {exact}"]
+        if left:
+            found += [f"L {left[0]}", f"LS {left[0]} {short}"]
+            found += [f"LL {left[1]} {left[0]}"] if len(left) > 1 else []
+            found += [f"B {left[0]} {right}"] if right else []
+        return found + ([f"R {short} {right}"] if right else [])
+
+
+def candidates(slots: Slots, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Identifier-like tokens and runs of numeric tokens that touch no base span."""
+    text, starts, ends = slots.text, [a for a, _, _ in base], []
+    for _, b, _ in base:
+        ends.append(max(b, ends[-1] if ends else 0))
+
+    def free(a: int, b: int) -> bool:
+        i = bisect.bisect_left(starts, b)  # spans that start before b; one that ends after a overlaps
+        return not i or ends[i - 1] <= a
+
+    run: list[tuple[int, int, int]] = []  # start, end, digits of numeric tokens between single blanks
+    for a, b in slots.tokens:
+        word = text[a:b]
         core = word.strip(EDGE)
-        if not SHORTEST <= len(core) <= LONGEST or not ("@" in core or sum(c in "0123456789" for c in core) >= DIGITS):
+        digits = sum(map(core.count, "0123456789"))
+        if core and (digits >= DIGITS or "@" in core):
+            start = a + word.index(core)
+            if free(start, start + len(core)):
+                yield start, start + len(core)
+        numeric = word.rstrip(EDGE.replace(")", ""))
+        if not digits or not NUMERIC.fullmatch(numeric):
+            run = []
             continue
-        start = m.start() + word.index(core)
-        end = start + len(core)
-        while at < len(base) and base[at][1] <= start:
-            at += 1
-        if not any(a < end and start < b for a, b, _ in base[at : at + 8]):
-            yield start, end
+        if run and not (run[-1][1] == a - 1 and text[a - 1] == " "):
+            run = []
+        run = [*run[1 - RUN :], (a, a + len(numeric), digits)]
+        for k in range(2, len(run) + 1):
+            if sum(x[2] for x in run[-k:]) >= RUN_DIGITS and free(run[-k][0], run[-1][1]):
+                yield run[-k][0], run[-1][1]
+        if len(numeric) < len(word):  # a mark ends a run
+            run = []
+
+
+def failed(value: str) -> bool:
+    """Whether a value has the form of a base pattern but fails its check."""
+    digits = re.sub(r"[^0-9]", "", value)
+    if IP.fullmatch(value):
+        return any(int(p[-4:]) > 255 or len(p.lstrip("0")) > 3 for p in value.split("."))
+    if PHONE.fullmatch(value):
+        return not 9 <= len(digits) <= 15
+    return 12 <= len(digits) <= 19 and bool(CARD.fullmatch(value)) and not luhn(digits)
 
 
 _MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
 _MENTION_SQL = "struct<start:int,end:int,kind:string,value:string,patterns:array<string>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of id and text), n_<kind>, base (spans), mentions (seeds and candidates)."""
+def scan(docs: DataFrame, hide: float = 0.0) -> DataFrame:
+    """doc_id, row (a number of id and text), n_<kind>, base (spans), secrets (seeds), mentions (seeds and candidates).
+
+    hide: the share of values that are taken for no seeds and no base spans, to measure how many of them are discovered.
+    """
+
+    def spans_of(text: str) -> tuple[list, list, list]:
+        spans = base_spans(text)
+        if hide:
+            spans = [s for s in spans if zlib.crc32(text[s[0] : s[1]].encode()) % 1000 >= 1000 * hide]
+        secrets = [(m.start(1), m.end(1), "secret") for m in SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
+        seeds = sorted([*spans, *secrets])
+        slots, mentions, since = Slots(text), [], 0
+        for start, end, kind in seeds:
+            mentions.append((start, end, kind, slots.patterns(start, end, since if since <= start else 0)))
+            since = max(since, end)
+        ends = [b for _, b, _ in seeds]
+        for start, end in candidates(slots, seeds):
+            i = bisect.bisect_right(ends, start)
+            mentions.append((start, end, NONE if failed(text[start:end]) else None, slots.patterns(start, end, max(ends[:i][-1:], default=0))))
+        return spans, secrets, [{"start": a, "end": b, "kind": k, "value": hashlib.blake2b(text[a:b].encode(), digest_size=12).hexdigest(), "patterns": p} for a, b, k, p in mentions]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,75 +218,100 @@ def scan(docs: DataFrame) -> DataFrame:
                 hit = marks[off[1:]] > marks[off[:-1]]
                 rows = []
                 for i in range(b - a):
-                    spans, mentions = [], []
-                    if hit[i]:
-                        text = texts[a + i].as_py()
-                        spans = base_spans(text)
-                        for start, end, kind in [*spans, *((s, e, None) for s, e in candidates(text, spans))]:
-                            if patterns := around(text, start, end):
-                                mentions.append({"start": start, "end": end, "kind": kind, "value": text[start:end][:LONGEST], "patterns": patterns})
-                    rows.append((*[sum(s[2] == k for s in spans) for k in KINDS], spell(spans), mentions))
-                kinds = [pa.string() if i == 4 else pa.list_(_MENTION) if i == 5 else pa.int64() for i in range(6)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "row", *(f"n_{k}" for k in KINDS), "base", "mentions"])
+                    spans, secrets, mentions = spans_of(texts[a + i].as_py()) if hit[i] else ([], [], [])
+                    rows.append((*[sum(s[2] == k for s in spans) for k in KINDS], spell(spans), spell(secrets), mentions))
+                kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(_MENTION)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "row", *(f"n_{k}" for k in KINDS), "base", "secrets", "mentions"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_number_of(), "text")
-    return rows.mapInArrow(work, f"doc_id long, row long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, mentions array<{_MENTION_SQL}>")
+    return rows.mapInArrow(trimmed(work), f"doc_id long, row long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, secrets string, mentions array<{_MENTION_SQL}>")
 
 
 def row_number_of():  # noqa: ANN201
     return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
 
 
+def lower_bound(mass: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share."""
+    p, z = mass / n, Z * Z / n
+    return (p + z / 2 - F.sqrt(z * p * (1 - p) + z * z / 4)) / (1 + z)
+
+
 def trusted_patterns(edges: DataFrame) -> DataFrame:
-    """edges: pattern, value, kind (null: not a seed), distinct.  Returns pattern, kind, score of the trusted patterns."""
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    seeds = edges.filter("kind IS NOT NULL").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))
-    induced = edges.filter("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support")).filter(F.col("support") >= SUPPORT)
-    induced = stored(induced.join(sizes, "pattern"), "patterns")
-    slots = stored(edges.select("pattern", "value").distinct().join(induced.select("pattern").distinct(), "pattern", "left_semi"), "slots")
-    known = seeds
-    scored = None
+    """edges: pattern, value, kind (null: unknown), distinct.  Returns pattern, kind, score of the trusted patterns."""
+    slots = stored(edges.select("pattern", "value").distinct(), "pii-slots")
+    sizes = stored(slots.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pii-sizes")
+    seeds = stored(edges.filter("kind IS NOT NULL").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0)), "pii-seeds")
+    known, before, scored = seeds, -1, None
     for turn in range(ROUNDS):
-        held = slots.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"))
-        scored = stored(induced.join(held, ["pattern", "kind"]).select("pattern", "kind", "support", (F.col("mass") / (F.col("n") + SMOOTHING)).alias("score")), "scores")
-        if turn < ROUNDS - 1:
-            doubt = slots.join(scored, "pattern").groupBy("value", "kind").agg(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))).alias("doubt"))
-            spread = doubt.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti").select("value", "kind", (1 - F.exp("doubt")).alias("confidence"))
-            known = stored(seeds.unionByName(spread.filter(F.col("confidence") >= TRUSTED)), "instances")
-    return scored.filter(F.col("score") >= TRUSTED).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-
-
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_<kind> (of base spans), base, spans (base and discovered ones), a row for each document."""
-    scanned = stored(scan(docs), "pii-scan")
+        held = stored(slots.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count(F.lit(1)).alias("many")), "pii-mass")
+        whole = held.groupBy("pattern").agg(F.sum("mass").alias("whole"), F.sum("many").alias("told")).join(sizes, "pattern")
+        whole = whole.select("pattern", (F.col("whole") + UNKNOWN * F.greatest(F.col("n") - F.col("told"), F.lit(0))).alias("n"))
+        score = lower_bound(F.col("mass"), F.col("n"))
+        scored = held.filter(F.col("kind") != NONE).join(whole, "pattern").select("pattern", "kind", score.alias("score"))
+        scored = stored(scored.filter(F.col("score") >= TRUSTED), "pii-scores")
+        trusted = scored.count()
+        if trusted <= before or turn == ROUNDS - 1:
+            break
+        before = trusted
+        doubt = slots.join(scored, "pattern").groupBy("value", "kind").agg(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))).alias("doubt"))
+        best = doubt.groupBy("value").agg(F.min(F.struct("doubt", "kind")).alias("b")).select("value", "b.kind", (1 - F.exp("b.doubt")).alias("confidence"))
+        known = stored(seeds.unionByName(best.join(seeds.select("value"), "value", "left_anti")), "pii-known")
+    return scored.groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b")).select("pattern", "b.kind", "b.score")
+
+
+def find(docs: DataFrame, hide: float = 0.0) -> DataFrame:
+    """doc_id, row, n_<kind> (of base spans), base, spans (base and discovered ones), secrets, n_discovered (spans that are not
+    base), a row for each document.  hide: see scan()."""
+    scanned = stored(scan(docs, hide), "pii-scan")
     mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.start", "m.end", "m.kind", "m.value", F.explode("m.patterns").alias("pattern"))
     edges = stored(mentions.select("pattern", "value", "kind").distinct(), "pii-edges")
     trusted = stored(trusted_patterns(edges), "pii-trusted")
-    claimed = mentions.filter("kind IS NULL").join(trusted.withColumnRenamed("kind", "as"), "pattern").groupBy("row", "start", "end").agg(F.max_by("as", F.struct("score", "as")).alias("as"))
-    added = claimed.groupBy("row").agg(F.collect_set(F.struct("start", "end", "as")).alias("added"))
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    split = F.transform(F.split("base", ","), lambda s: F.struct(F.get(F.split(s, ":"), F.lit(1)).cast("int").alias("start"), order[F.get(F.split(s, ":"), F.lit(0))].alias("k"), s.alias("s")))
-    new = F.transform("added", lambda a: F.struct(a["start"].alias("start"), order[a["as"]].alias("k"), F.concat_ws(":", a["as"], a["start"], a["end"]).alias("s")))
-    merged = F.concat_ws(",", F.transform(F.array_sort(F.concat(F.when(F.col("base") != "", split).otherwise(F.slice(split, 1, 0)), new)), lambda s: s["s"]))
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(merged)
-    return scanned.drop("mentions").join(added, "row", "left").select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base", spans.alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_discovered"))
+    claimed = mentions.filter("kind IS NULL").drop("kind").join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("b"))
+    claims = claimed.groupBy("row").agg(F.collect_list(F.struct("b.score", "start", "end", "b.kind")).alias("claims"))  # of one text
+    wide = scanned.drop("mentions").join(claims, "row", "left").select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base", "secrets", "claims")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [settled(*r) for r in zip(*(batch.column(i).to_pylist() for i in (6, 7, 8)), strict=True)]
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], *columns], names=[*batch.schema.names[:7], "spans", "secrets", "n_discovered"])
+
+    return wide.mapInArrow(work, f"doc_id long, row long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string, secrets string, n_discovered long")
+
+
+def unspelled(spans: str) -> list[tuple[int, int, str]]:
+    return [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+
+
+def settled(base: str, secrets: str, claims: list | None) -> tuple[str, str, int]:
+    """(spans, secrets, number of new spans): of claims that overlap the highest score stands, then the longest, then the first."""
+    new: list[tuple[int, int, str]] = []
+    for c in sorted(claims or [], key=lambda c: (-c["score"], c["start"] - c["end"], c["start"])):
+        at = bisect.bisect_left(new, (c["start"],))
+        if (at == 0 or new[at - 1][1] <= c["start"]) and (at == len(new) or new[at][0] >= c["end"]):
+            new.insert(at, (c["start"], c["end"], c["kind"]))
+    own = [x for x in new if x[2] in KINDS]
+    spans = spell(sorted([*unspelled(base), *own], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))) if own else base
+    return spans, spell(sorted([*unspelled(secrets), *(x for x in new if x[2] in MORE)])), len(own)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with each span of their texts replaced by its kind in brackets; n_chars, if there, follows."""
+    """The rows of ``docs`` with each span of their texts, secrets too, replaced by its kind in brackets; n_chars, if there, follows."""
     own = docs.columns
-    spans = find(docs).filter(F.col("spans") != "").select("row", "spans").dropDuplicates(["row"])
+    both = F.concat_ws(",", F.nullif("spans", F.lit("")), F.nullif("secrets", F.lit("")))
+    spans = find(docs).select("row", both.alias("spans")).filter("spans <> ''").dropDuplicates(["row"])
     inner = {c: f"_{i}" for i, c in enumerate(own)}
-    renamed = docs.select(row_number_of().alias("_row"), *[F.col(c).alias(n) for c, n in inner.items()])
-    joined = renamed.join(stored(spans, "pii-spans").withColumnRenamed("row", "_row"), "_row", "left").select(*inner.values(), "spans")
     at = own.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [masked(t.as_py(), s) if (s := spans.as_py()) else t.as_py() for t, spans in zip(batch.column(at), batch.column(len(own)), strict=True)]
+            texts = [masked(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), batch.column(len(own)), strict=True)]
             columns = [pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns[: len(own)])]
             yield pa.RecordBatch.from_arrays(columns, names=list(inner.values()))
 
+    renamed = docs.select(row_number_of().alias("_row"), *[F.col(c).alias(n) for c, n in inner.items()])
+    joined = renamed.join(stored(spans, "pii-spans").withColumnRenamed("row", "_row"), "_row", "left").select(*inner.values(), F.coalesce("spans", F.lit("")).alias("spans"))
     fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in inner.items())
     done = joined.mapInArrow(work, fields)
     out = {c: F.col(n) for c, n in inner.items()}
@@ -207,12 +320,13 @@ def redact(docs: DataFrame) -> DataFrame:
     return done.select(*[out[c].alias(c) for c in own])
 
 
-def masked(text: str, spans: str) -> str:
+def masked(text: str | None, spans: str) -> str | None:
     """Overlapping spans become one mark, of the first one's kind."""
+    if not spans:
+        return text
     out, at = [], 0
-    for span in spans.split(","):
-        kind, start, end = span.split(":")
-        if int(start) >= at:
-            out += [text[at : int(start)], f"[{kind.upper()}]"]
-        at = max(at, int(end))
+    for start, end, kind in sorted(unspelled(spans), key=lambda x: (x[0], (*KINDS, *MORE).index(x[2]))):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
     return "".join([*out, text[at:]])
