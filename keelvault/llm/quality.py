@@ -1,17 +1,18 @@
 """Quality by a byte-level convolutional network in numpy (operator 2).
 
-Learned filters of WIDTH bytes slide over the whole text with a step of STEP bytes.  Their highest responses in each chunk
-of two hops (chunks overlap by one) pass a rectifier; the mean and the highest over all chunks, and the scale of
-the text's size, go through one hidden layer
-into one probability.  A filter is a table of one weight for each byte value and place, so a response is a sum of lookups.
-
-The network is fitted on the driver by gradient descent (Adam), on a documented bound of TRAIN_ROWS labelled rows outside
-the held-out fold, chosen by a hash of the id, of each a passage of CROP characters from a place chosen by the hash.
-Scoring covers every byte of every text, slice by slice, in bounded memory: a long text carries its sums on.
-
-Defined results: texts shorter than WIDTH bytes (null and empty ones among them) have no response, and all get the
-same score; a null label isn't learnt from; of several labels of an id the lowest counts; without labels of both classes
-every score is 0.5; repeated rows score alike; extra columns are carried.
+Learned filters of WIDTH bytes slide over the whole text, byte by byte.  Their highest responses in each chunk of two hops
+(chunks overlap by one) pass a rectifier; the mean and the highest over all chunks, and the scale of the text's size, go through
+one hidden layer into one probability.  A filter is a table of one weight for each byte value and place, so a response is a sum
+of lookups.
+
+The network is fitted on the driver by gradient descent (Adam), on a documented bound of rows: at most TRAIN_ROWS labelled
+documents outside the held-out fold, in the order of a hash of the id, as many of them as have TRAIN_BYTES together; a text is
+taken whole or not at all.  Fitting and scoring cover every byte of a text, slice by slice, in bounded memory.
+
+Defined results: a text shorter than WIDTH bytes is filled up with zero bytes; null and empty texts have no response and all get
+the same score; a null label isn't learnt from; of several labels of an id the lowest counts, of several texts that with the
+smallest hash; without labels of both classes every score is 0.5; repeated rows score alike; extra columns are carried, and where
+one has the score's name already the score takes a longer one (``free_name``).
 """
 
 from __future__ import annotations
@@ -20,17 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import free_name, stored
 from ._text import text_slices
 from .toxicity import held_out
 
-WIDTH, STEP, FILTERS, HIDDEN = 8, 2, 16, 16
-#: Positions in a hop; a chunk is two hops.
-HOP = 128
-TRAIN_ROWS, CROP, EPOCHS, BATCH, RATE = 2400, 3000, 14, 48, 0.01
+WIDTH, FILTERS, HIDDEN = 8, 16, 16
+#: Bytes in a hop; a chunk is two hops.
+HOP = 256
+#: The most rows, and bytes of all their texts, that the network is fitted on.
+TRAIN_ROWS, TRAIN_BYTES = 2400, 8 << 20
+EPOCHS, BATCH, RATE = 8, 48, 0.01
+#: Bytes from which on the size of a text says no more.
+LARGE = 3000
 SLICE = 1 << 18
 
 
@@ -42,35 +47,55 @@ def responses(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray
     return out
 
 
-def places(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the responses, the first place of each hop, the document of each hop, hops of each document."""
-    n = np.maximum((np.diff(off) - WIDTH) // STEP + 1, 0)
-    first = np.cumsum(n) - n
-    at = np.repeat(off[:-1] - STEP * first, n) + STEP * np.arange(int(n.sum()))
+def filled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of less than WIDTH bytes, but for empty ones, with zero bytes after them."""
+    n = np.diff(off)
+    lack = np.where((n > 0) & (n < WIDTH), WIDTH - n, 0)
+    if not lack.any():
+        return data, off
+    return np.insert(data, np.repeat(off[1:], lack), 0), off + np.concatenate([[0], np.cumsum(lack)])
+
+
+def hops_of(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each hop, the end of its places, its document, and the hops of each document."""
+    n = np.maximum(np.diff(off) - WIDTH + 1, 0)
     hops = -(-n // HOP)
     owner = np.repeat(np.arange(len(n)), hops)
     local = np.arange(int(hops.sum())) - np.repeat(np.cumsum(hops) - hops, hops)
-    return at, first[owner] + HOP * local, owner, hops
+    first = off[:-1][owner] + HOP * local
+    return first, np.minimum(first + HOP, (off[:-1] + n)[owner]), owner, hops
+
+
+def highest(table: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The highest response of each hop and filter, and (where) the place of it; as many hops at a time as SLICE holds."""
+    top, place = np.zeros((len(first), FILTERS), np.float32), np.zeros((len(first), FILTERS) if where else 0, np.int64)
+    for a in range(0, len(first), SLICE // HOP):
+        size = end[a : a + SLICE // HOP] - first[a : a + SLICE // HOP]
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(first[a : a + SLICE // HOP] - begin, size)
+        act = responses(table, data, at)
+        high = np.maximum.reduceat(act, begin)
+        top[a : a + SLICE // HOP] = high
+        if where:
+            row, col = np.nonzero(act == np.repeat(high, size, 0))
+            place[a + np.repeat(np.arange(len(size)), size)[row], col] = at[row]
+    return top, place
 
 
 def size_of(off: np.ndarray) -> np.ndarray:
-    """The scale of a text's size, for which few chunks are judged less strictly; constant from CROP bytes on."""
-    return np.log1p(np.minimum(np.diff(off), CROP)) / 4
+    """The scale of a text's size, for which few chunks are judged less strictly; constant from LARGE bytes on."""
+    return np.log1p(np.minimum(np.diff(off), LARGE)) / 4
 
 
 def pooled(table: np.ndarray, bias: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Mean and highest of the chunks' rectified highest responses, a row per document."""
-    at, hop_first, owner, hops = places(off)
     out = np.zeros((len(off) - 1, 2 * FILTERS + 1), np.float32)
     out[:, -1] = size_of(off)
-    if not len(at):
+    data, off = filled(data, off)
+    first, end, owner, hops = hops_of(off)
+    if not len(first):
         return out
-    tops = []
-    for a in range(0, len(hop_first), SLICE // (HOP * STEP)):
-        b = min(a + SLICE // (HOP * STEP), len(hop_first))
-        end = hop_first[b] if b < len(hop_first) else len(at)
-        tops.append(np.maximum.reduceat(responses(table, data, at[hop_first[a] : end]), hop_first[a:b] - hop_first[a]))
-    top = np.concatenate(tops)
+    top = highest(table, data, first, end)[0]
     # a chunk is a hop and the one after it; a document's last hop counts alone only if it is the sole one
     pair = np.maximum(top[:-1], top[1:]) if len(top) > 1 else top[:0]
     whole = owner[:-1] == owner[1:]
@@ -120,18 +145,12 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> dict:
 
 
 def gradients(net: dict, data: np.ndarray, off: np.ndarray, y: np.ndarray) -> dict:
-    at, hop_first, owner, hops = places(off)
     n, x = len(off) - 1, np.zeros((len(off) - 1, 2 * FILTERS + 1), np.float32)
     x[:, -1] = size_of(off)
-    if len(at):
-        act = responses(net["table"], data, at)
-        ends = np.r_[hop_first[1:], len(at)]
-        top = np.maximum.reduceat(act, hop_first)
-        # the place of each hop's maximum
-        hop_of = np.repeat(np.arange(len(hop_first)), ends - hop_first)
-        where = np.full(top.shape, -1)
-        row, col = np.nonzero(act == top[hop_of])
-        where[hop_of[row], col] = row
+    data, off = filled(data, off)
+    first, end, owner, hops = hops_of(off)
+    if len(first):
+        top, where = highest(net["table"], data, first, end, True)
         nxt = np.minimum(np.arange(len(top)) + 1, len(top) - 1)
         has_next = owner[nxt] == owner
         has_next[-1] = False
@@ -152,17 +171,18 @@ def gradients(net: dict, data: np.ndarray, off: np.ndarray, y: np.ndarray) -> di
     grads = {"w2": a.T @ d, "b2": d.sum()}
     dh = np.outer(d, net["w2"]) * (h > 0)
     grads |= {"w1": x.T @ dh, "b1": dh.sum(0), "table": np.zeros_like(net["table"]), "bias": np.zeros(FILTERS, np.float32)}
-    if len(at):
+    if len(first):
         dx = dh @ net["w1"].T
         of = np.repeat(np.arange(len(full)), count)
-        best = r == x[who][:, FILTERS:-1]
+        best = r == np.maximum.reduceat(r, begin)[of]
+        best = best / np.add.reduceat(best.astype(np.float32), begin)[of]  # chunks overlap, so that one place may be the highest of two
         dr = dx[who][:, :FILTERS] / count[of][:, None] + best * dx[who][:, FILTERS:-1]
         dz = dr * (z > 0)
         grads["bias"] = dz.sum(0)
         size = 256 * FILTERS
         column = np.broadcast_to(np.arange(FILTERS), place.shape)
         for k in range(WIDTH):
-            index = data[at[place] + k].astype(np.int64) * FILTERS + column
+            index = data[place + k].astype(np.int64) * FILTERS + column
             grads["table"][k] = np.bincount(index.ravel(), dz.ravel(), size).reshape(256, FILTERS)
     return grads
 
@@ -170,21 +190,24 @@ def gradients(net: dict, data: np.ndarray, off: np.ndarray, y: np.ndarray) -> di
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The network, or None if the training rows lack a class."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
-    chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "quality-fit")
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.char_length("text") - CROP + 1)) + 1
-    crop = F.coalesce(F.substring(F.col("text"), begin.cast("int"), F.lit(CROP)), F.lit("")).alias("crop")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", crop, "label").toPandas()  # at most TRAIN_ROWS passages, and repeats of ids
-    rows = rows.sort_values(["doc_id", "crop"]).head(TRAIN_ROWS)
-    if rows["label"].nunique() < 2:
+    present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = stored(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "quality-fit")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS small rows
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("t"))
+    up_to = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most TRAIN_ROWS rows
+    fitting = sizes.select("doc_id", "t.h", F.sum("t.n").over(up_to).alias("up_to")).filter(F.col("up_to") <= TRAIN_BYTES).select("doc_id", "h")
+    taken = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(stored(fitting, "quality-rows")), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toPandas()
+    taken = taken.sort_values("doc_id")
+    if taken["label"].nunique() < 2:
         return None
-    return fit([t.encode() for t in rows["crop"]], rows["label"].to_numpy(float))
+    return fit([t.encode() for t in taken["text"]], taken["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, net: dict | None) -> DataFrame:
-    """All columns of ``docs`` and quality, a double from 0 to 1."""
-    own = [c for c in docs.columns if c != "quality"]
+def score(docs: DataFrame, net: dict | None, column: str = "quality") -> DataFrame:
+    """All columns of ``docs`` and the score, a double from 0 to 1, as ``column`` (see free_name)."""
+    own, column = docs.columns, free_name(docs, column)
     if net is None:
-        return docs.select(*own, F.lit(0.5).alias("quality"))
+        return docs.select(*own, F.lit(0.5).alias(column))
     at = own.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of a fixed size
 
@@ -192,7 +215,7 @@ def score(docs: DataFrame, net: dict | None) -> DataFrame:
         net = shared.value
         for batch in batches:
             p = [head(net, pooled(net["table"], net["bias"], d, o)) for _, _, d, o in text_slices(batch.column(at), SLICE)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *p]).astype(float))], names=[*own, "quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *p]).astype(float))], names=[*own, column])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own).mapInArrow(work, f"{fields}, quality double")
+    return docs.mapInArrow(work, f"{fields}, `{column}` double")

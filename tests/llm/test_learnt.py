@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,13 +70,66 @@ def test_toxicity_ignores_held_out_labels(setting):
 def test_quality(setting, make_docs, odd_rows):
     docs, labels, truth = setting
     net = quality.train(docs, labels)
-    found = {r["doc_id"]: r["quality"] for r in quality.score(docs, net).collect()}
+    found = {r["doc_id"]: r["quality_"] for r in quality.score(docs, net).collect()}
     assert accuracy(found, truth, 0, 0.5) > 0.9
-    odd = [(r["text"], r["quality"]) for r in quality.score(make_docs(odd_rows), net).collect()]
+    odd = [(r["text"], r["quality_"]) for r in quality.score(make_docs(odd_rows), net).collect()]
     assert len(odd) == len(odd_rows) and all(0 <= s <= 1 for _, s in odd)
     assert quality.score(docs.limit(0), net).count() == 0
 
 
+def test_quality_of_short_texts_and_of_its_own_column(setting, make_docs):
+    docs, labels, _ = setting
+    net = quality.train(docs, labels)
+    odd = make_docs([(1, None), (2, ""), (3, "a"), (4, "a"), (5, "ab"), (5, "ab"), (6, "abcdefg"), (7, "abcdefgh"), (8, "abcdefgX")])
+    assert "quality" in odd.columns
+    found = {r["doc_id"]: (r["quality"], r["quality_"]) for r in quality.score(odd, net).collect()}
+    assert {q for q, _ in found.values()} == {"q"} and found[1] == found[2] and found[3] == found[4]
+    assert found[7][1] != found[8][1]  # the last byte counts
+
+
+def test_quality_ignores_held_out_labels(setting):
+    docs, labels, _ = setting
+    turned = labels.withColumn("quality", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = (sorted((r["doc_id"], r["quality_"]) for r in quality.score(docs, quality.train(docs, x)).collect()) for x in (labels, turned))
+    assert one == two
+
+
+def plain_pooled(net, text):
+    """A text's features by loops over places, hops and chunks."""
+    text = text + bytes(quality.WIDTH - len(text)) if 0 < len(text) < quality.WIDTH else text
+    act = [sum(net["table"][k, text[i + k]] for k in range(quality.WIDTH)) for i in range(len(text) - quality.WIDTH + 1)]
+    hops = [np.max(act[i : i + quality.HOP], 0) for i in range(0, len(act), quality.HOP)]
+    chunks = [np.maximum(a, b) for a, b in zip(hops, hops[1:], strict=False)] if len(hops) > 1 else hops
+    value = [np.maximum(c + net["bias"], 0) for c in chunks]
+    return np.concatenate([np.mean(value, 0), np.max(value, 0)]) if value else np.zeros(2 * quality.FILTERS)
+
+
+def test_quality_features_and_gradients_are_those_of_loops(monkeypatch):
+    r = np.random.default_rng(4)
+    net = quality.fit([b"some words", b"other ***"], np.array([1.0, 0.0]))
+    texts = [bytes(r.integers(1, 255, n, dtype=np.uint8)) for n in (0, 1, 7, 8, 9, 100, 256 + 7, 256 + 8, 600, 1500)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    whole = quality.pooled(net["table"], net["bias"], data, off)
+    for row, text in zip(whole, texts, strict=True):
+        assert np.allclose(row[:-1], plain_pooled(net, text), atol=1e-4)
+    monkeypatch.setattr(quality, "SLICE", 512)  # in slices
+    assert np.allclose(quality.pooled(net["table"], net["bias"], data, off), whole)
+    y = np.array([1.0, 0, 1, 0, 1, 0, 1, 0, 1, 0])
+    net = {k: np.asarray(v, np.float64) for k, v in net.items()}
+
+    def loss(net):
+        p = quality.head(net, quality.pooled(net["table"], net["bias"], data, off).astype(float))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grads = quality.gradients(net, data, off, y)
+    for name in ("w2", "b1", "bias", "w1"):
+        at = np.unravel_index(np.abs(grads[name]).argmax(), np.shape(grads[name]))
+        up, down = ({**net, name: net[name].copy()} for _ in range(2))
+        up[name][at] += 1e-3
+        down[name][at] -= 1e-3
+        assert np.isclose((loss(up) - loss(down)) / 2e-3, grads[name][at], rtol=0.05, atol=1e-4), name
+
+
 def test_without_labels(setting):
     docs, labels, _ = setting
     assert toxicity.train(docs, labels.limit(0)) is None and quality.train(docs, labels.filter("quality = 1")) is None
