@@ -4,12 +4,15 @@ A word is first cut greedily into the longest vocabulary entries.  The cut is th
 own BPE result and no merge crosses any of the cuts; both are tested for all adjacent pairs of all new words at once with
 array operations on the merge table (``crosses``).  Only words that fail undergo the exact merging (``merge_word``).
 
-Texts are normalised and split as the vocabulary file states: special tokens are found in the raw text, the rest is NFC,
-white space to one space, lower case by code point; words are contractions, runs of letters, single numerals and runs of
-other characters; the last symbol of a word carries the end-of-word mark.
+Texts are normalised and split in one fixed way (SPLIT, END); vocabulary, merges and special tokens come from the file.  Special
+tokens are found in the raw text, the rest is NFC, white space to one space, lower case by code point; words are contractions,
+runs of letters, single numerals and runs of other characters; the last symbol of a word carries the end-of-word mark.
+
+Decoding works on ids alone: the names of a text's tokens, gathered from one table of bytes, with a blank between them.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; order and repeated rows don't matter;
-memory is bounded by one Arrow batch and a cache of CACHE_WORDS words; extra columns are ignored or carried.
+memory is bounded by one Arrow batch and a cache of CACHE_WORDS words; extra columns are carried, and where one has the name of
+a result already the result takes a longer one (``free_name``).
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import gc
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ._store import free_name
 from ._text import trimmed
 
 #: Fixed values of the tokenizer's file: the split pattern and the end-of-word mark.
@@ -99,9 +104,14 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        #: What all special tokens begin with: a text without it holds none.
+        self.mark = os.path.commonprefix(list(self.special))
         self.words = regex.compile(SPLIT)
         self.letters = byte_letters()
         size = max(self.names) + 1
+        #: The tokens' names with a blank after each, one after the other, and where they begin.
+        spelt = [self.names.get(i, "").encode() + b" " for i in range(size)]
+        self.spelt, self.spelt_begin = np.frombuffer(b"".join(spelt), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, spelt)))])
         never = np.iinfo(np.int64).max
         #: By token: the rank of the merge that makes it (-1: a symbol) and that merge's parts.
         self.rank, self.left, self.right = np.full(size, -1), np.arange(size), np.arange(size)
@@ -135,8 +145,8 @@ class WordBPE:
         self.ends[list(ends)] = list(ends.values())
         #: Each letter's symbol, within a word and at its end.
         self.symbols = np.array([[self.vocab[c], self.vocab[c + END]] for c in self.letters])
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _own(self) -> np.ndarray:
         """Whether each token is its own BPE result: no earlier merge crosses the join of its parts, nor, in turn, of theirs."""
@@ -304,7 +314,7 @@ class WordBPE:
 
     def pieces(self, text: str) -> list[str]:
         """Parts of the text, between white space, that are encoded apart; special tokens stand as they are."""
-        if "<|" in text and self.special:
+        if self.special and self.mark in text:
             out, at = [], 0
             for m in self.split_special.finditer(text):
                 out += self._pieces(text[at : m.start()])
@@ -319,8 +329,8 @@ class WordBPE:
             return self.words.findall(text)
         return text.split()
 
-    def look_up(self, pieces: set[str]) -> dict[str, tuple[bytes, str]]:
-        """(ids, decoded) of pieces that aren't in the cache of pieces."""
+    def look_up(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't in the cache of pieces."""
         special = self.special
         split = {p: self.words.findall(p) for p in pieces if p not in special}
         if len(self.known) > CACHE_WORDS:
@@ -328,26 +338,21 @@ class WordBPE:
         known = self.known
         new = [w for w in set().union(*split.values()) if w not in known] if split else []
         letters = self.letters
-        now: dict[str, tuple[bytes, str]] = {t: (np.array([i], "<u4").tobytes(), t) for t, i in special.items()}
+        now: dict[str, bytes] = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         if new:
             found = self.encode_words([w if w.isascii() and w.isprintable() else "".join(map(letters.__getitem__, w.encode())) for w in new])
-            flat = np.concatenate(found)
-            cut, names, raw, ids = 0, self.names, flat.astype("<u4").tobytes(), flat.tolist()
+            cut, raw = 0, np.concatenate(found).astype("<u4").tobytes()
             for w, f in zip(new, found, strict=True):
-                end = cut + len(f)
-                (known if len(w) <= CACHE_LENGTH else now)[w] = (raw[4 * cut : 4 * end], " ".join([names[i] for i in ids[cut:end]]))
+                end = cut + 4 * len(f)
+                (known if len(w) <= CACHE_LENGTH else now)[w] = raw[cut:end]
                 cut = end
         out = {}
         for p, ws in split.items():
-            if len(ws) == 1:
-                out[p] = known.get(ws[0]) or now[ws[0]]
-            else:
-                entries = [known.get(w) or now[w] for w in ws]
-                out[p] = (b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries]))
+            out[p] = (known.get(ws[0]) or now[ws[0]]) if len(ws) == 1 else b"".join([known.get(w) or now[w] for w in ws])
         return out | {p: now[p] for p in pieces if p in special}
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
         lists = [self.pieces(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
@@ -356,8 +361,17 @@ class WordBPE:
         cache.update((p, e) for p, e in new.items() if len(p) <= CACHE_LENGTH)
         far = {p: e for p, e in new.items() if len(p) > CACHE_LENGTH}
         for ps in lists:
-            entries = [cache.get(p) or far[p] for p in ps] if far else [cache[p] for p in ps]
-            yield b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries if e[1]])
+            yield b"".join([cache[p] if p in cache else far[p] for p in ps] if far else [cache[p] for p in ps])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of some ids, in UTF-8: the tokens' names with a blank between them; special tokens stand as they are."""
+        parts = []
+        for at in range(0, len(ids), 1 << 18):
+            some = ids[at : at + (1 << 18)].astype(np.int64)
+            size = self.spelt_begin[some + 1] - self.spelt_begin[some]
+            place = np.arange(int(size.sum())) + np.repeat(self.spelt_begin[some] - (np.cumsum(size) - size), size)
+            parts.append(self.spelt[place].tobytes())
+        return b"".join(parts)[:-1]
 
 
 _LOADED: dict[int, WordBPE] = {}
@@ -395,28 +409,49 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
     """
     with open(vocabulary, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")]
+    kept = [c for c in docs.columns if c != text]
+    names = [free_name(docs, n) for n in ("n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")))]
     source = docs.select(*kept, text)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    added = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    kinds = ("long", "string" if digests else "array<int>", "string")
+    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, collecting = loaded(spec.value), gc.isenabled()
         gc.disable()  # nothing here forms cycles, and scanning the caches would take most of the time
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    counts, ids, decoded = [], [], []
+                    for run in runs(part.column(len(kept)).to_pylist()):
+                        for raw in bpe.encode_texts(run):
+                            own = np.frombuffer(raw, "<u4")
+                            back = bpe.decode(own)
+                            counts.append(len(own))
+                            ids.append(hashlib.sha256(raw).hexdigest() if digests else own.view("<i4"))
+                            decoded.append(hashlib.sha256(back).hexdigest() if digests else back.decode())
+                    made = [pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=[*kept, *names])
+        finally:
+            bpe.forget()
+            if collecting:
+                gc.enable()
+
+    return source.mapInArrow(trimmed(work), fields)
+
+
+def decode(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
+    """All columns of ``rows`` and text, decoded from a column of ids (null: empty)."""
+    with open(vocabulary, "rb") as f:
+        spec = rows.sparkSession.sparkContext.broadcast(f.read())
+    own, column = rows.columns, free_name(rows, "text")
+    fields = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own), f"`{column}` string"])
+    at = own.index(ids)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            n, at = batch.num_rows, 0
-            step = 256
-            while at < n:
-                part = batch.slice(at, step)
-                at += step
-                ids, decoded = [], []
-                for run in runs(part.column(len(kept)).to_pylist()):
-                    for i, d in bpe.encode_texts(run):
-                        ids.append((len(i) // 4, hashlib.sha256(i).hexdigest() if digests else np.frombuffer(i, "<i4")))
-                        decoded.append(hashlib.sha256(d.encode()).hexdigest() if digests else d)
-                made = [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names = [*kept, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=names)
-        bpe.forget()
-
-    return source.mapInArrow(trimmed(work), f"{fields}{', ' if fields else ''}{added}")
+            texts = [bpe.decode(np.array(x.as_py() or [], np.int64)).decode() for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*own, column])
+
+    return rows.mapInArrow(trimmed(work), fields)
