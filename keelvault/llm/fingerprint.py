@@ -146,7 +146,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # rows of one id are told apart, so that many of them can be split
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_stream, SCHEMA), "fingerprints")
     parts = sorted(r["part"] for r in found.filter("edge = 'first'").select("part").collect())  # a number for each partition
     following = docs.sparkSession.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part int, following int")

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import xxhash
+
 from keelvault.llm import fingerprint as fp
 
 
@@ -23,7 +26,7 @@ def test_digests():
 
 
 def brute(rows):
-    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is None, -(x[0] or 0), np.uint64(xxhash.xxh64_intdigest(x[1].encode(), 42)).view(np.int64)))
     out = []
     for k, (i, t) in enumerate(order):
         n = order[(k + 1) % len(order)][1]
