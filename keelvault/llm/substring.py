@@ -7,11 +7,13 @@ piece.  Three passes:
 1. Hashes of minimisers are counted over the corpus (a partial sum in each task first).  Those that occur once can't lie in
    a repeated window.  A bit map of a fixed size (FILTER_BITS) of the repeated ones is all that is broadcast; where it
    fills up, more pieces pass and the result stays the same.
-2. Pieces with a repeated minimiser go to the shard of its hash.  A task sends equal pieces once, with the first place;
-   the others of them are surely repeated.  A minimiser with more than HOT occurrences (a second bit map) is cut into
-   single windows, which go to the shards of their own hashes, so that no shard holds all contexts of a common passage.
-3. A shard's distinct pieces are indexed, and the windows of all its pieces streamed against the index by backward search.
-   A window found more than once is repeated in all places but the earliest.
+2. Pieces with a repeated minimiser go to the shard of its hash.  Of equal pieces a task sends the words once, with the first
+   place; the others of them repeat that one, in the same task, in all of their windows.  A minimiser with more than HOT
+   occurrences (a second bit map) is cut into single windows, which go to the shards of their own hashes, so that no shard holds
+   all contexts of a common passage.
+3. A shard's distinct pieces are indexed, each with the number of its places.  All pieces are streamed against the index:
+   backward search gives the matching statistics of their words, up to a window's length, of sequences that have more than one
+   place.  Where they reach it, the window's occurrences are located, and it is repeated in all places but the earliest.
 
 Repeated windows, as bit masks over pieces, are brought together by document and joined with the texts; words that they
 cover go.  Windows are judged on the input, and a copy never depends on what happened to another.
@@ -38,8 +40,8 @@ from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1
-#: Bits of the maps of repeated and of hot minimisers, and the count from which one is hot.
-FILTER_BITS, HOT_BITS, HOT = 26, 22, 2000
+#: Bits of the maps of repeated and of hot minimisers and of texts with repeated windows, and the count from which one is hot.
+FILTER_BITS, HOT_BITS, ROW_BITS, HOT = 26, 22, 26, 2000
 #: Pieces that a task holds before it sends them, and words in an index at most (beyond, a shard is indexed by parts of its keys).
 HELD, INDEX_WORDS = 400_000, 1_500_000
 LAST = np.iinfo(np.int64).max
@@ -172,50 +174,62 @@ def _sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield table.take(pa.array(keep[a : a + 20_000]))
 
 
-def judged(shard: np.ndarray, lists: pa.ListArray, ids: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+def judged(lists: pa.ListArray, ids: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A mask for each piece: the windows of it that also start earlier."""
     size = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy().view(np.uint64)
-    n = size - WINDOW + 1
     mask = np.zeros(len(size), np.int64)
-    # equal pieces: one is indexed for all, at the earliest place
+    # equal pieces are held, and streamed, once: with the number of their places and the earliest
     content = mix(np.add.reduceat(mix(flat ^ np.uint64(0x9E6C63D0876A9A47)) * _odd(size), np.cumsum(size) - size) + size.astype(np.uint64))
     by = np.lexsort((rows, start, ids, content))
     new = np.r_[True, content[by][1:] != content[by][:-1]]
-    lead = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    other = (ids[by] != ids[lead]) | (start[by] != start[lead]) | (rows[by] != rows[lead])
-    mask[by[other]] = (1 << n[by[other]]) - 1
-    one = np.sort(by[new])
-    used = size[one] + 1
+    place = np.r_[True, (ids[by][1:] != ids[by][:-1]) | (start[by][1:] != start[by][:-1]) | (rows[by][1:] != rows[by][:-1])] | new
+    which = np.empty(len(by), np.int64)  # the distinct piece of each
+    which[by] = np.cumsum(new) - 1
+    one, places = by[new], np.add.reduceat(place.astype(np.int64), np.flatnonzero(new))
+    length = size[one]
+    used = length + 1
     ends = np.cumsum(used)
-    text = np.zeros(int(ends[-1]), np.uint64)
-    inner = np.ones(len(text), bool)
+    inner = np.ones(int(ends[-1]), bool)
     inner[ends - 1] = False
-    text[inner] = flat[np.repeat(np.isin(np.arange(len(size)), one), size)] | np.uint64(1)
-    index = FMIndex(text, WINDOW)
-    piece = np.repeat(np.arange(len(one)), n[one])
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(n[one]) - n[one], n[one])
-    at = (ends - used)[piece] + offset
-    which, low, high = index.repeated(at, WINDOW)
-    if not len(which):
+    at = np.repeat(np.cumsum(size)[one] - size[one] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    stream = flat[at] | np.uint64(1)
+    text = np.zeros(len(inner), np.uint64)
+    text[inner] = stream
+    index = FMIndex(text, np.repeat(places, used))
+    # windows end from the last word of the first one on
+    n = length - WINDOW + 1
+    piece = np.repeat(np.arange(len(one)), n)
+    offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    last = (np.cumsum(length) - length)[piece] + offset + WINDOW - 1
+    reach, low, high = index.matching(index.coded(stream), last, np.full(len(last), WINDOW))
+    hit = np.flatnonzero(reach == WINDOW)
+    if not len(hit):
         return mask
-    # equal windows share a range of suffixes; different ones of equal length have disjoint ranges
-    lows, back = np.unique(low, return_inverse=True)
+    # equal windows have one range of suffixes; others have disjoint ones
+    lows, back = np.unique(low[hit], return_inverse=True)
     highs = np.zeros(len(lows), np.int64)
-    highs[back] = high
+    highs[back] = high[hit]
     count = highs - lows
-    suffix = index.order[np.repeat(lows - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-    of = np.searchsorted(ends, suffix, "right")
-    begins = start[one][of] + suffix - (ends - used)[of]
-    order = np.empty(len(suffix), np.int64)
-    order[np.lexsort((rows[one][of], begins, ids[one][of]))] = np.arange(len(suffix))
+    found = index.locate(np.repeat(lows - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
+    of = np.searchsorted(ends, found, "right")
+    begins = start[one][of] + found - (ends - used)[of]
+    order = np.empty(len(found), np.int64)
+    order[np.lexsort((rows[one][of], begins, ids[one][of]))] = np.arange(len(found))
     first = np.minimum.reduceat(order, np.cumsum(count) - count)
-    winner = np.empty(len(suffix), np.int64)
-    winner[order] = np.arange(len(suffix))
-    best = winner[first]
-    own = piece[which]
-    later = (ids[one][own] != ids[one][of[best]][back]) | (start[one][own] + offset[which] != begins[best][back]) | (rows[one][own] != rows[one][of[best]][back])
-    np.bitwise_or.at(mask, one[own[later]], 1 << offset[which[later]])
+    winner = np.empty(len(found), np.int64)
+    winner[order] = np.arange(len(found))
+    best = winner[first][back]
+    # every piece of that content, at each of the repeated windows
+    many = np.bincount(which, minlength=len(one))
+    begin = np.cumsum(many) - many
+    grouped = np.argsort(which, kind="stable")
+    times = many[piece[hit]]
+    of_hit = np.repeat(np.arange(len(hit)), times)
+    own = grouped[np.repeat(begin[piece[hit]] - (np.cumsum(times) - times), times) + np.arange(len(of_hit))]
+    shift, best = offset[hit][of_hit], best[of_hit]
+    later = (ids[own] != ids[one][of[best]]) | (start[own] + shift != begins[best]) | (rows[own] != rows[one][of[best]])
+    np.bitwise_or.at(mask, own[later], 1 << shift[later])
     return mask
 
 
@@ -257,12 +271,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    shard, ids, rows, start, mask = (table.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+    ids, rows, start, mask = (table.column(i).to_numpy() for i in (2, 3, 4, 5))
     mask = mask.astype(np.int64)
     lists = table.column(1)
     full = np.flatnonzero(np.diff(lists.offsets.to_numpy()) > 0)
     if len(full):
-        mask[full] |= judged(shard[full], lists.take(pa.array(full)), ids[full], rows[full], start[full].astype(np.int64))
+        mask[full] |= judged(lists.take(pa.array(full)), ids[full], rows[full], start[full].astype(np.int64))
     hit = np.flatnonzero(mask)
     return pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(start[hit]), pa.array(mask[hit].astype(np.int32))], names=["row", "start", "mask"])
 
@@ -310,5 +324,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept = pa.StringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(out.tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(by_row, "row", "left").select("doc_id", "text", "found")
+    # a bit map of a fixed size tells most texts without repeated windows, which aren't shuffled
+    touched = spark.sparkContext.broadcast(bit_map(by_row.select(F.xxhash64("row").alias("h")), ROW_BITS))
+
+    def may_be(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_map(touched.value, batch.column(3).to_numpy().view(np.uint64), ROW_BITS) == wanted)).select([0, 1, 2])
+
+    hashed, schema = rows.withColumn("h", F.xxhash64("row")), "doc_id long, row long, text string"
+    with_windows = hashed.mapInArrow(lambda batches: may_be(batches, True), schema).join(by_row, "row", "left")
+    without = hashed.mapInArrow(lambda batches: may_be(batches, False), schema).withColumn("found", F.lit(None).cast(by_row.schema["found"].dataType))
+    joined = with_windows.select("doc_id", "text", "found").unionByName(without.select("doc_id", "text", "found"))
     return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string")

@@ -150,15 +150,26 @@ def test_components(spark, monkeypatch, limit):
 
 def test_fm_index():
     r = np.random.default_rng(3)
-    text = r.integers(1, 4, 400).astype(np.uint64)
-    text[[99, 250, 399]] = 0
-    index = FMIndex(text, 5)
-    at = np.array([p for p in range(395) if not (text[p : p + 5] == 0).any()])
-    which, low, high = index.repeated(at, 5)
-    found = {int(at[w]): sorted(index.order[a:b].tolist()) for w, a, b in zip(which, low, high, strict=True)}
-    for p in at:
-        same = [q for q in at if (text[q : q + 5] == text[p : p + 5]).all()]
-        assert found.get(int(p), [int(p)]) == [int(q) for q in same]
+    text = r.integers(1, 4, 400).astype(np.uint64) * np.uint64(1000)
+    text[[99, 250, 251, 399]] = 0
+    weights = np.where(np.arange(400) < 100, 2, 1)
+    index = FMIndex(text, weights)
+    assert not hasattr(index, "text") and not hasattr(index, "order")
+    stream = np.concatenate([text[:100], r.integers(1, 6, 300).astype(np.uint64) * np.uint64(1000)])
+    stream[99] = 1000
+    ends = np.arange(400)
+    most = np.minimum(ends + 1, 12)
+    length, low, high = index.matching(index.coded(stream), ends, most)
+
+    def places(sequence):
+        n = len(sequence)
+        return [p for p in range(400 - n + 1) if (text[p : p + n] == sequence).all()]
+
+    for e in ends:
+        want = max([n for n in range(1, most[e] + 1) if sum(weights[p] for p in places(stream[e - n + 1 : e + 1])) >= 2], default=0)
+        assert length[e] == want
+        if want:
+            assert sorted(index.locate(np.arange(low[e], high[e])).tolist()) == places(stream[e - want + 1 : e + 1])
 
 
 def brute_substring(rows, n=20):
