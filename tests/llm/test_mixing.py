@@ -59,3 +59,17 @@ def test_empty(make_docs):
     docs = make_docs([(1, "a")]).limit(0)
     assert mixing.mix(docs).count() == 0 and mixing.apply_mix(docs).count() == 0
     assert mixing.mix(make_docs([(1, None), (2, "")])).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_odd_rows_and_long_texts(make_docs, odd_rows):
+    """Rows equal in id and text share what is due; a very long text is cut to the word; a budget may end in it."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = make_docs([*odd_rows, (70, long, "long"), (71, "a b c", "long"), *[(72, "same row here", "many")] * 9])
+    found = mixing.mix(docs).collect()
+    assert len(found) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
+    assert len({r["taken"] for r in found if r["doc_id"] == 72}) == 1
+    for source in {r["source"] for r in found}:
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 9
+    words = [len(WORD.findall(r["text"])) for r in mixing.apply_mix(docs).filter("source = 'long'").collect()]
+    assert sum(words) == sum(r["taken"] for r in found if r["source"] == "long")

@@ -27,6 +27,16 @@ def test_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_odd_pages(spark):
+    """Repeated ids, a very long payload, repeated rows, and columns with the names of results."""
+    long = "<p>" + "übung " * 400_000
+    rows = [(1, "u", long), (1, "u", "x" * 2000), (2, "u", "x" * 2000), (2, "u", "x" * 2000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, None, long)]
+    df = spark.createDataFrame([(*r, "own", 7, 8) for r in rows], "page_id long, url string, html string, payload_digest string, _key int, refers_to int")
+    found = warc.round_trip(df).collect()
+    want = [(1, long, 5), (1, "x" * 2000, 2), (2, "x" * 2000, None), (2, "x" * 2000, None), (3, "x" * 999, None), (4, "x" * 999, None), (5, long, None)]
+    assert sorted(str((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in found) == sorted(str((i, hashlib.sha1(t.encode()).hexdigest(), "revisit" if to else "response", to)) for i, t, to in want)
+
+
 def archive(tmp_path, records):
     a = warc.Archive(f"file://{tmp_path}", records)
     for r in records:
