@@ -74,8 +74,13 @@ def behind(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     squares = (centres**2).sum(1)
     d2 = 1 + squares - 2 * x @ centres.T
     home = d2.argmin(1)
-    apart = np.sqrt(np.maximum(squares[:, None] + squares - 2 * centres @ centres.T, 1e-18))
-    return home, np.maximum(d2 - d2[np.arange(len(x)), home][:, None], 0) / (2 * apart[home])
+    apart = np.sqrt(np.maximum(squares[home][:, None] + squares - 2 * centres[home] @ centres.T, 1e-18))
+    return home, np.maximum(d2 - d2[np.arange(len(x)), home][:, None], 0) / (2 * apart)
+
+
+def at_once(k: int) -> int:
+    """How many vectors are compared with k centres at once, for matrices of about 16 MB."""
+    return max(16, (1 << 21) // max(k, 1))
 
 
 def guest_cells(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +95,8 @@ def refined(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """At most k centres by a few rounds of k-means on a bounded sample."""
     centres = sample[np.random.default_rng(k).choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(rounds):
-        own = (sample @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        half, step = (centres**2).sum(1) / 2, at_once(len(centres))
+        own = np.concatenate([(sample[a : a + step] @ centres.T - half).argmax(1) for a in range(0, len(sample), step)])
         used, which, n = np.unique(own, return_inverse=True, return_counts=True)
         sums = np.zeros((len(used), sample.shape[1]))
         np.add.at(sums, which, sample)
@@ -281,12 +287,13 @@ def spread(cells, what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for batch in batches:
             for group, rows, x in by_group(batch):
                 centres = own.centres.get(group)
-                for a in range(0, len(rows), 2048):
-                    some = rows[a : a + 2048]
+                step = at_once(0 if centres is None else len(centres))
+                for a in range(0, len(rows), step):
+                    some = rows[a : a + step]
                     if centres is None:
                         at, cell, home = np.arange(len(some)), np.zeros(len(some), np.int64), np.ones(len(some), bool)
                     else:
-                        first, near = guest_cells(x[a : a + 2048], centres, own.reach[group])
+                        first, near = guest_cells(x[a : a + step], centres, own.reach[group])
                         at, cell = np.nonzero(near)
                         home = first[at] == cell
                     if what == "sizes":
@@ -373,8 +380,9 @@ def near_pairs(nodes: DataFrame, queries: dict[str, tuple[np.ndarray, np.ndarray
                 at, q = np.nonzero(x @ y.T >= COSINE)
                 other = node[rows[at]] != names[q]
                 at, q = at[other], q[other]
-                some, back = np.unique(at, return_inverse=True)
-                away = behind(x[some], own.centres[group])[1][back, home[q]] if len(some) else np.zeros(0)
+                centres = own.centres[group]
+                step = at_once(len(centres))
+                away = np.concatenate([np.zeros(0), *[behind(x[at[a : a + step]], centres)[1][np.arange(len(at[a : a + step])), home[q[a : a + step]]] for a in range(0, len(at), step)]])
                 yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(n[rows[at]]), pa.array(away)], names=["query", "n", "away"])
 
     found = nodes.mapInArrow(trimmed(work), "query long, n long, away double")
