@@ -45,7 +45,7 @@ GATE = 1 << GATE_BITS
 SMALL, SIGMAS = 1024, 4.5
 ATTEMPTS_GATE = np.random.default_rng(4343).integers(0, GATE, (96, GATE))
 #: Nodes of a bucket in a block; blocks are compared two by two, in tasks of their own.
-BLOCK = 1024
+BLOCK = 256
 #: With more buckets of over a block, they are joined by a shuffle instead of a broadcast.
 BROADCAST_BUCKETS = 200_000
 
