@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._filter import bit_map, parted
 from ._graph import components
 from ._store import stored
 from ._text import _BASE, gram_hashes, mix, text_slices, trimmed, word_hashes, words
@@ -332,7 +333,10 @@ def grouped(docs: DataFrame, k: int, similar: int) -> DataFrame:
     shared = stored(shared.select("bucket", "centre"), "buckets")
     members = stored(members.select("bucket", "node").join(shared, "bucket").select("bucket", "node", "centre"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = stored(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), k, similar).dropDuplicates(["node"]), "shingles")
+    wanted = stored(wanted, "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = parted(texts, F.xxhash64("doc_id"), bit_map(wanted, F.xxhash64("doc_id"), "wanted-map"))[0]  # few texts are shuffled
+    sets = stored(full_sets(near.join(wanted, "doc_id"), k, similar).dropDuplicates(["node"]), "shingles")
     links = confirmed(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets, similar)
     found = stored(components(links), "components")
     placed = stored(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-members")
@@ -340,7 +344,8 @@ def grouped(docs: DataFrame, k: int, similar: int) -> DataFrame:
     stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # what is linked so far
     found = stored(components(fresh.unionByName(stars)), "components")
     groups = nodes.select("node", "doc_id").join(found, "node").select("component", "node", "doc_id")
-    lowest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = stored(groups, "groups")
+    lowest = stored(groups.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest")  # so that the join below can split a large group
     placed = nodes.select("node", "check", "doc_id").join(groups.join(lowest, "component").select("node", "component", "component_id"), "node", "left")
     placed = stored(placed.select("node", "check", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id")), "placed")
     out = signed.select("doc_id", "text_hash", "n_shingles", "node", "check").join(placed, ["node", "check"], "left")
@@ -356,13 +361,14 @@ def deduplicated(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR) -> Dat
     number = F.coalesce(key, F.xxhash64(F.lit("no id"), "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
     rows = grouped(docs.select(number.alias("doc_id"), "text"), k, similar).filter("n_shingles > 0").select("component", "doc_id", "text_hash")
     counts = stored(rows.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "dedup-rows")
-    first = counts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = stored(counts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "dedup-first")
     judged = counts.join(first, "component").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first"))
     judged = stored(judged.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_number"), F.col("text_hash").alias("_text_hash"), "stays"), "removed")
+    near, far = parted(docs, F.xxhash64(number, text_hash), bit_map(judged, F.xxhash64("_number", "_text_hash"), "removed-map"))
     same = (number == F.col("_number")) & (text_hash == F.col("_text_hash"))
-    left = docs.join(judged, same, "left_anti").select(*docs.columns)
+    left = far.unionByName(near.join(judged, same, "left_anti").select(*docs.columns))
     repeated = judged.filter("stays")
     if repeated.isEmpty():
         return left
-    again = docs.join(repeated, same).dropDuplicates(["_number", "_text_hash"]).select(*docs.columns)
+    again = near.join(repeated, same).dropDuplicates(["_number", "_text_hash"]).select(*docs.columns)
     return left.unionByName(again)
