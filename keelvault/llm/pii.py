@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._filter import bit_map, parted
 from ._store import stored
 from ._text import text_slices, trimmed
 
@@ -310,10 +311,12 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns[: len(own)])]
             yield pa.RecordBatch.from_arrays(columns, names=list(inner.values()))
 
+    spans = stored(spans, "pii-spans").withColumnRenamed("row", "_row")
     renamed = docs.select(row_number_of().alias("_row"), *[F.col(c).alias(n) for c, n in inner.items()])
-    joined = renamed.join(stored(spans, "pii-spans").withColumnRenamed("row", "_row"), "_row", "left").select(*inner.values(), F.coalesce("spans", F.lit("")).alias("spans"))
+    near, far = parted(renamed, F.xxhash64("_row"), bit_map(spans, F.xxhash64("_row"), "pii-map"))  # texts without spans aren't shuffled
+    joined = near.join(spans, "_row", "left").select(*inner.values(), F.coalesce("spans", F.lit("")).alias("spans"))
     fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in inner.items())
-    done = joined.mapInArrow(work, fields)
+    done = joined.mapInArrow(work, fields).unionByName(far.select(*inner.values()))
     out = {c: F.col(n) for c, n in inner.items()}
     if "n_chars" in own:
         out["n_chars"] = F.char_length(inner["text"]).cast(docs.schema["n_chars"].dataType)
