@@ -34,14 +34,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._filter import bit_map as row_map
+from ._filter import parted
 from ._store import stored
 from ._text import gram_hashes, mix, text_slices, word_hashes, words
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1
-#: Bits of the maps of repeated and of hot minimisers and of texts with repeated windows, and the count from which one is hot.
-FILTER_BITS, HOT_BITS, ROW_BITS, HOT = 26, 22, 26, 2000
+#: Bits of the maps of repeated and of hot minimisers, and the count from which one is hot.
+FILTER_BITS, HOT_BITS, HOT = 26, 22, 2000
 #: Pieces that a task holds before it sends them, and words in an index at most (beyond, a shard is indexed by parts of its keys).
 HELD, INDEX_WORDS = 400_000, 1_500_000
 LAST = np.iinfo(np.int64).max
@@ -324,15 +326,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept = pa.StringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(out.tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    # a bit map of a fixed size tells most texts without repeated windows, which aren't shuffled
-    touched = spark.sparkContext.broadcast(bit_map(by_row.select(F.xxhash64("row").alias("h")), ROW_BITS))
-
-    def may_be(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_map(touched.value, batch.column(3).to_numpy().view(np.uint64), ROW_BITS) == wanted)).select([0, 1, 2])
-
-    hashed, schema = rows.withColumn("h", F.xxhash64("row")), "doc_id long, row long, text string"
-    with_windows = hashed.mapInArrow(lambda batches: may_be(batches, True), schema).join(by_row, "row", "left")
-    without = hashed.mapInArrow(lambda batches: may_be(batches, False), schema).withColumn("found", F.lit(None).cast(by_row.schema["found"].dataType))
-    joined = with_windows.select("doc_id", "text", "found").unionByName(without.select("doc_id", "text", "found"))
+    near, far = parted(rows, F.xxhash64("row"), row_map(by_row, F.xxhash64("row"), "touched-map"))  # texts without repeated windows aren't shuffled
+    without = far.withColumn("found", F.lit(None).cast(by_row.schema["found"].dataType))
+    joined = near.join(by_row, "row", "left").select("doc_id", "text", "found").unionByName(without.select("doc_id", "text", "found"))
     return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string")
