@@ -152,6 +152,14 @@ def test_toxicity_labels_meet_texts_by_either_join(setting, monkeypatch):
     assert one == sorted((r["doc_id"], r["toxicity"]) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
 
 
+def test_toxicity_without_expressions(spark, make_docs):
+    """Too few toxic texts for any expression: a score all the same."""
+    docs = make_docs([(i, "one word" if i % 2 else "two more") for i in range(30)])
+    labels = spark.createDataFrame([(i, int(i in (3, 4))) for i in range(30) if not held_out(i)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score(docs, model).collect())
+
+
 def test_toxicity_carries_a_column_of_its_name(setting):
     docs, labels, _ = setting
     own = docs.withColumn("toxicity", F.lit("mine")).withColumn("_key", F.lit(1))
