@@ -38,6 +38,14 @@ def read_table(source: DataFrame | TableRef | str, quote: bool = True, spark: Sp
     return spark.table(source)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """A plain scan of a table that is in fewer pieces than there are cores is dealt out by the columns, so that what is computed
+    of its rows runs on all of them; a table in more pieces stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *columns) if pieces < cores else df
+
+
 def append(delta: DataFrame, target: TableRef | str, partition_by: tuple[str, ...] = ()) -> None:
     """Appends a delta to a catalog table, which is made if it isn't there, or to Parquet files under a path.
 

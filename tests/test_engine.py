@@ -13,6 +13,7 @@ from keelvault.functions.types import family, spark_type
 from keelvault.operators.anti_join import not_in
 from keelvault.operators.hwm import sql_like
 from keelvault.plans.pipeline import load_vault
+from keelvault.sources.tables import spread
 from keelvault.streaming.batches import load_stream
 
 
@@ -251,3 +252,12 @@ def test_stage_is_written_once(spark, tmp_path):
     load = load_vault(spec, hash_key="hk", business_keys=["id"], link_key="hl", foreign_keys=["hk"], hash_diff="hd", payload=["name"], stage_to=str(tmp_path / "stage"))
     assert load.hub.count() == load.link.count() == load.end_dated.count() == 2
     assert "md5" not in load.satellite._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(9).write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert spread(one, "id").rdd.getNumPartitions() > 1 and spread(one, "id").count() == 1000
+    pieces = many.rdd.getNumPartitions()
+    assert pieces < spark.sparkContext.defaultParallelism or "Exchange" not in spread(many, "id")._jdf.queryExecution().executedPlan().toString()
