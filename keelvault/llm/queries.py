@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, minhash, mixing, pii, quality, substring, toxicity, warc
+from . import bpe, chat, embeddings, fingerprint, minhash, mixing, pii, quality, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+#: A conversation that is formatted beside the given ones: texts made of marks.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    return chat.digests(chat.format_chats(rows.unionByName(marked)))
+
+
 OP3_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
@@ -147,10 +157,26 @@ SELECT o.doc_id, o.size, p.source_size, p.target,
 FROM ordered o JOIN parts p ON o.source IS NOT DISTINCT FROM p.source
 """
 
+OP12_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(/?(SYS|INST|ROLE)|OUT|MORE|AS)\]')) AS long,
+         length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*(/?(SYS|INST|ROLE)|OUT|MORE|AS)\]')) AS named,
+         lag(role) OVER w IS DISTINCT FROM role OR row_number() OVER w = 1 AS opens
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(long + CASE WHEN NOT opens THEN 6 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9 ELSE 17 + named END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_embeddings": OP8_SQL, "op9_minhash": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op8_embeddings": OP8_SQL, "op9_minhash": OP9_SQL, "op12_chat": OP12_SQL}
