@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VaultConfig
+from ..functions.names import free
 from ..functions.types import sortable
 from ..sources.tables import read_table
-from ..specs import Binding
+from ..specs import Binding, Kept
 from .hwm import TargetFacts
 
 
-def hub(sources: Sequence[Binding], hash_key: str, business_keys: Sequence[str], *, target: DataFrame | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
+def hub(sources: Sequence[Binding], hash_key: str, business_keys: Sequence[str], *, target: DataFrame | Kept | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
     """hash_key, business keys, additional columns, load date, record source of the rows to insert."""
     if not business_keys:
         raise ValueError("a hub needs at least one business key")
@@ -26,7 +27,7 @@ def hub(sources: Sequence[Binding], hash_key: str, business_keys: Sequence[str],
     return _keyed(sources, hash_key, business_keys, columns, target, incremental, disable_hwm, additional_columns, cfg or VaultConfig())
 
 
-def link(sources: Sequence[Binding], link_hash_key: str, foreign_hash_keys: Sequence[str], *, target: DataFrame | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
+def link(sources: Sequence[Binding], link_hash_key: str, foreign_hash_keys: Sequence[str], *, target: DataFrame | Kept | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
     """link_hash_key, foreign hash keys, additional columns, load date, record source of the rows to insert."""
     if not foreign_hash_keys:
         raise ValueError("a link needs at least one foreign hash key")
@@ -37,7 +38,7 @@ def link(sources: Sequence[Binding], link_hash_key: str, foreign_hash_keys: Sequ
     return _keyed(sources, link_hash_key, foreign_hash_keys, columns, target, incremental, disable_hwm, additional_columns, cfg or VaultConfig())
 
 
-def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns: Sequence[Sequence[str]], target: DataFrame | None, incremental: bool, disable_hwm: bool, additional: Sequence[str], cfg: VaultConfig) -> DataFrame:
+def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns: Sequence[Sequence[str]], target: DataFrame | Kept | None, incremental: bool, disable_hwm: bool, additional: Sequence[str], cfg: VaultConfig) -> DataFrame:
     if not sources:
         raise ValueError("an entity needs at least one source")
     if incremental and target is None:
@@ -46,6 +47,7 @@ def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns:
     if len(set(extras)) > 1:
         raise ValueError(f"the sources' additional columns differ: {extras}")
     ldts, rsrc = cfg.ldts_alias, cfg.rsrc_alias
+    source, rank = free([key, *names, *extras[0], ldts, rsrc], "_source", "_rank")
     facts, marked = None, incremental and not disable_hwm
     patterns = [p for b in sources for p in b.rsrc_statics or ()] if marked else []
     whole = marked and len(sources) == 1 and not patterns
@@ -57,14 +59,14 @@ def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns:
         b = sources[place]
         own = [F.col(c).alias(n) for c, n in zip(columns[place], names, strict=True)]
         load, record = F.col(b.load_date_col or ldts), F.col(b.record_source_col or rsrc)
-        return [F.col(b.hash_key_col or key).alias(key), *own, *map(F.col, extras[place]), load.alias(ldts), record.alias(rsrc), F.lit(place).alias("_source")]
+        return [F.col(b.hash_key_col or key).alias(key), *own, *map(F.col, extras[place]), load.alias(ldts), record.alias(rsrc), F.lit(place).alias(source)]
 
     def above(rows: DataFrame, place: int) -> DataFrame:
         """The rows above their marks; a source without patterns isn't filtered beside others."""
         if whole:
             return rows.filter(facts.above(F.col(ldts)))
         statics = sources[place].rsrc_statics if patterns else ()
-        return rows.filter(facts.passes(F.col(rsrc), F.col(ldts), statics)) if statics else rows
+        return facts.passing(rows, rsrc, ldts, statics) if statics else rows
 
     def read(places: list[int]) -> DataFrame:
         df = read_table(sources[places[0]].source, cfg.quote_identifiers)
@@ -77,9 +79,9 @@ def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns:
     for i, b in enumerate(sources):
         groups.setdefault((id(b.source) if isinstance(b.source, DataFrame) else b.source, i if whole or (patterns and b.rsrc_statics) else None), []).append(i)
     rows = reduce(DataFrame.unionByName, map(read, groups.values()))
-    if incremental:  # known keys first, so that only new ones are ranked; join and window share one shuffle
-        rows = facts.not_known(rows, key)
     # ties go to the leading source, then to the lowest values, so that reruns agree
     ties = [sortable(rows.schema[c]).asc_nulls_last() for c in (*names, *extras[0], rsrc)]
-    order = Window.partitionBy(key).orderBy(F.col(ldts).asc_nulls_last(), "_source", *ties)
-    return rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_source")
+    order = Window.partitionBy(key).orderBy(F.col(ldts).asc_nulls_last(), F.col(source), *ties)
+    first = rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank, source)
+    # ranked before known keys go: each task then sends one row of a key at most, however hot, and the join uses the same shuffle
+    return facts.not_known(first, key) if incremental else first
