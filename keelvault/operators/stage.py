@@ -10,7 +10,7 @@ from ..functions.hashing import hash_expr
 from ..functions.types import spark_type
 from ..sources.scratch import shared_folder
 from ..sources.tables import read_table
-from ..specs import HashRule, StageSpec
+from ..specs import HashRule, Kept, StageSpec
 from .ghosts import ghost_records
 from .hwm import TargetFacts
 
@@ -18,7 +18,7 @@ from .hwm import TargetFacts
 PLACE, SEQUENCE = "__place__", "__sequence__"
 
 
-def stage(spec: StageSpec, *, target: DataFrame | None = None, incremental: bool = False, pass_empty_target: bool = False, cfg: VaultConfig | None = None) -> DataFrame:
+def stage(spec: StageSpec, *, target: DataFrame | Kept | None = None, incremental: bool = False, pass_empty_target: bool = False, cfg: VaultConfig | None = None) -> DataFrame:
     """The staged rows.
 
     Incremental: rows above the target's latest load date, by the settings' load-date name, before anything is derived; with

@@ -70,3 +70,16 @@ class Binding:
     payload: Sequence[str] = ()
     rsrc_statics: Sequence[str] = ()
     additional_columns: Sequence[str] = ()
+
+
+@dataclass(frozen=True)
+class Kept:
+    """A target whose facts are kept beside its rows, so that a load needn't scan them.
+
+    marks: by record source the latest load date (under the settings' names), number of rows n and of NULL keys nulls.
+    states: by parent the load date and hash diff of its latest row.
+    """
+
+    rows: DataFrame
+    marks: DataFrame | None = None
+    states: DataFrame | None = None

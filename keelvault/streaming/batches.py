@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import files
+from ..sources.committed import CommittedTable
 from ..sources.tables import append, read_table
+from ..specs import Kept
 
 
-def load_stream(rows: DataFrame, target: str, delta: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str, partition_by: tuple[str, ...] = (), available_now: bool = False) -> StreamingQuery:
-    """Starts a query that appends delta(batch, current target or None) to ``target`` (a catalog table's name or a path).
+def load_stream(rows: DataFrame, target: str | CommittedTable, delta: Callable[[DataFrame, DataFrame | Kept | None], DataFrame], checkpoint: str, partition_by: tuple[str, ...] = (), available_now: bool = False) -> StreamingQuery:
+    """Starts a query that loads delta(batch, current target or None) into ``target``.
 
-    A batch that was appended is marked in a folder beside the checkpoint and isn't loaded again.  Between append and mark a
-    failure may still repeat it; hubs, links and satellites with high-water marks then find its rows in the target and insert
-    nothing.  A satellite of several batches without marks (disable_hwm) compares only the first row of a parent with the
-    target, so in that short while it could insert rows twice.
+    A committed table, or a path, which becomes one: a batch is published whole and once, under the stream's name (from its
+    checkpoint) and number; one that died before leaves nothing that ``CommittedTable.rows`` sees.  A committed table gives its
+    target with marks and states, a path its rows.
+
+    A catalog table's name: batches are appended, and marked beside the checkpoint after that; between append and mark a failure
+    may repeat one, which only marks or keys of the target then keep from being inserted twice.
     """
-    done = f"{checkpoint.rstrip('/')}-batches"
+    place = checkpoint.rstrip("/")
+    stream = hashlib.md5(place.encode()).hexdigest()[:12]
+    table = target if isinstance(target, CommittedTable) else CommittedTable(target, partition_by=partition_by) if "/" in target else None
 
-    def load(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if _path_exists(batch, f"{done}/{number}"):
-            return
-        path = "/" in target
-        known = _path_exists(batch, target) if path else spark.catalog.tableExists(target)
-        current = read_table(target, spark=spark) if known else None
-        append(delta(batch, current), target, partition_by)
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place).close()
-
-    writer = rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    def commit(batch: DataFrame, number: int) -> None:
+        make = lambda kept: delta(batch, kept if kept is None or target is table else kept.rows)
+        table.load(batch.sparkSession, f"{stream}-{number:09}", make)
 
+    def insert(batch: DataFrame, number: int) -> None:
+        spark, mark = batch.sparkSession, f"{place}-batches/{number}"
+        if files.exists(spark, mark):
+            return
+        append(delta(batch, read_table(target, spark=spark) if spark.catalog.tableExists(target) else None), target, partition_by)
+        files.publish(spark, mark, "")
 
-def _path_exists(df: DataFrame, path: str) -> bool:
-    context = df.sparkSession.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+    writer = rows.writeStream.foreachBatch(insert if table is None else commit).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
