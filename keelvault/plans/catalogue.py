@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import replace
+from functools import reduce
+from itertools import pairwise
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import VaultConfig
-from ..functions.hashing import hash_expr
+from ..functions.hashing import hash_expr, zero_key
 from ..operators.anti_join import not_in
 from ..operators.keyed import hub, link
 from ..operators.satellite import satellite, satellite_end_dated
 from ..operators.stage import stage
-from ..sources.scratch import shared_folder
+from ..sources.bucketed import append_bucketed, create_bucketed
+from ..sources.committed import CommittedTable
+from ..sources.end_dated import EndDatedTable
+from ..sources.scratch import scratch_path, stored
 from ..sources.tables import TableRef, append, read_table, spread
-from ..specs import Binding, StageSpec
-from .pipeline import load_vault
+from ..specs import Binding, Kept, StageSpec
+from ..streaming.first_rows import first_rows, load_first_rows
+from .one_pass import load_vault_once
+from .oracles import HOT_USER, NO_ERRORS, ODD_A, ODD_B
+from .pipeline import VaultLoad, load_vault
 
 ORDERS_BEFORE, EVENTS_BEFORE = "TIMESTAMP_NTZ '2000-01-01'", "TIMESTAMP_NTZ '2024-01-20'"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,20 +93,19 @@ QUERIES |= {
 }
 
 
-def strange(spark: SparkSession) -> DataFrame:
-    rows = [(1, None, None), (2, "", "x"), (3, "^^", "y"), (4, "a\\b", "z"), (5, "a\tb\nc\x0bd\re", " p "), (6, " Ab ", "aB"), (7, 'say "x"', None), (8, None, "only b"), (9, "a \n", "q"), (10, "f\x0cf", "||")]
-    return spark.createDataFrame(rows, "id int, a string, b string")
+def odd(spark: SparkSession, d: str) -> DataFrame:
+    return raw(spark, d, "events").select("event_id", F.expr(ODD_A).alias("a"), F.expr(ODD_B).alias("b"))
 
 
 @query
 def hash_null_and_escape(spark: SparkSession, d: str) -> DataFrame:
-    return strange(spark).select("id", hash_expr(["a"]).alias("h1"), hash_expr(["a", "b"]).alias("h2"), hash_expr(["a", "b"], case_sensitive=True, trim=False).alias("h3"))
+    return odd(spark, d).select("event_id", hash_expr(["a"]).alias("h1"), hash_expr(["a", "b"]).alias("h2"), hash_expr(["a", "b"], case_sensitive=True, trim=False).alias("h3"))
 
 
 @query
 def hash_empty_as_null(spark: SparkSession, d: str) -> DataFrame:
     cfg = VaultConfig(empty_as_null=True)
-    return strange(spark).select("id", hash_expr(["a"], cfg).alias("h1"), hash_expr(["a", "b"], cfg).alias("h2"))
+    return odd(spark, d).select("event_id", hash_expr(["a"], cfg).alias("h1"), hash_expr(["a", "b"], cfg).alias("h2"))
 
 
 @query
@@ -254,28 +263,96 @@ def hub_custom_aliases(spark: SparkSession, d: str) -> DataFrame:
     return hub([source], "hk_order", ["o_orderkey"], target=known, incremental=True, cfg=cfg)
 
 
+@query
+def hub_json_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Names of columns and the hash from a JSON file."""
+    cfg = VaultConfig.from_json(Path(__file__).parent / "settings.json")
+    rows = stage(replace(orders_spec(spark, d), load_date_col="ldts", record_source_col="rsrc"), cfg=cfg)
+    known = hub([Binding(rows.filter(f"ldts < {ORDERS_BEFORE}"), "ldts", "rsrc")], "hk_order", ["o_orderkey"], cfg=cfg)
+    return hub([Binding(rows, "ldts", "rsrc")], "hk_order", ["o_orderkey"], target=known, incremental=True, cfg=cfg)
+
+
+@contextmanager
+def fresh_table(spark: SparkSession, name: str) -> Iterator[tuple[str, str]]:
+    """A name that no table has, and a path for it; the name is dropped at the end, the files when the driver exits."""
+    path = scratch_path(spark, name)
+    table = f"keelvault_{path.rsplit('-', 1)[1]}"
+    try:
+        yield table, path
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 @query
 def hub_stored_target(spark: SparkSession, d: str) -> DataFrame:
     """Two loads into a catalog table that is read by name: the table as it is then."""
-    name = f"keelvault_hub_{uuid.uuid4().hex}"
     first = known_orders(spark, d)
-    spark.catalog.createTable(name, f"{shared_folder(spark)}/{name}", "parquet", first.schema)
-    append(first, name)
-    append(order_hub(orders(spark, d), target=read_table(name, spark=spark), incremental=True), name)
-    return read_table(TableRef(name), spark=spark)
+    with fresh_table(spark, "hub-stored") as (name, path):
+        spark.catalog.createTable(name, path, "parquet", first.schema)
+        append(first, name)
+        append(order_hub(orders(spark, d), target=read_table(name, spark=spark), incremental=True), name)
+        columns = read_table(TableRef(name), spark=spark).columns
+    return read_table(path, spark=spark).select(*columns)
+
+
+@query
+def hub_bucketed_target(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads into a table in buckets by hash key, of which the second one's exclusion doesn't move."""
+    first, buckets = known_orders(spark, d), 8
+    with fresh_table(spark, "hub-bucketed") as (name, path):
+        create_bucketed(spark, name, first.schema, "hk_order", buckets, path)
+        append_bucketed(first, name, "hk_order", buckets)
+        append_bucketed(order_hub(orders(spark, d), target=read_table(name, spark=spark), incremental=True), name, "hk_order", buckets)
+    return read_table(path, spark=spark).select(*first.columns)
 
 
 @query
 def hub_not_in_null_target(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("empty", "a"), ("empty", None), ("full", "b"), ("full", None), ("full", "k"), ("null", "b"), ("null", None)]
-    keys = [("full", "k"), ("null", "k"), ("null", None)]
-    out = None
-    for variant in ("empty", "full", "null"):
-        source = spark.createDataFrame([r for r in rows if r[0] == variant], "variant string, hk string")
-        known = spark.createDataFrame([k for k in keys if k[0] == variant], "variant string, hk string").select("hk")
-        part = not_in(source, known, "hk")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Exclusion with no keys, with keys, and with a NULL among them."""
+    rows = orders(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("hk_order")).alias("hk"))
+    keys = rows.filter("o_orderkey % 3 = 0").select("hk")
+    variants = {"empty": keys.filter("false"), "full": keys.filter("hk IS NOT NULL"), "null": keys}
+    parts = [not_in(rows, k, "hk").select(F.lit(v).alias("variant"), "o_orderkey", "hk") for v, k in variants.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query
+def hub_hot_key(spark: SparkSession, d: str) -> DataFrame:
+    """Half of all rows have the zero key: each task sends one of them."""
+    zero = F.when(F.col("o_orderkey") % 2 == 0, F.lit(zero_key("MD5"))).otherwise(F.col("hk_order"))
+    return order_hub(orders(spark, d).withColumn("hk_order", zero), target=known_orders(spark, d), incremental=True, disable_hwm=True)
+
+
+@query
+def hub_kept_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads of a committed table: the marks of the second come from what the first kept by record source."""
+    table = CommittedTable(scratch_path(spark, "hub-marks"), key="hk_order")
+    table.load(spark, 1, lambda known: _known_by_system(spark, d))
+    source = Binding(systems(spark, d), rsrc_statics=["SAP/%", "WEB/EU/%"])
+    table.load(spark, 2, lambda known: hub([source], "hk_order", ["o_orderkey"], target=known, incremental=True))
+    return table.rows(spark)
+
+
+@query
+def hub_many_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred patterns, which are matched with the distinct record sources alone."""
+    source = F.concat(F.lit("SRC/"), (F.col("o_custkey") % 150).cast("string"), F.lit("/"), F.col("o_orderstatus"))
+    rows = orders(spark, d).withColumn("rsrc", source)
+    known = order_hub(rows.filter(f"ldts < {ORDERS_BEFORE}"))
+    return hub([Binding(rows, rsrc_statics=[f"SRC/{i}/%" for i in range(100)])], "hk_order", ["o_orderkey"], target=known, incremental=True)
+
+
+@query
+def hub_stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Users of the events, from a stream that gives the latest events first."""
+    table, place = CommittedTable(scratch_path(spark, "hub-stream"), key="hk_user"), scratch_path(spark, "stream")
+    rows = events(spark, d).select("hk_user", "user_id", "ldts", "rsrc")
+    # files of the latest first
+    for i, (low, high) in enumerate((("2024-01-20", "9999-01-01"), ("2024-01-10", "2024-01-20"), ("0001-01-01", "2024-01-10"))):
+        rows.filter(f"ldts >= TIMESTAMP_NTZ '{low}' AND ldts < TIMESTAMP_NTZ '{high}'").write.parquet(f"{place}/in/{i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in/*")
+        load_first_rows(stream, table, "hk_user", ["user_id"], f"{place}/checkpoint", available_now=True).awaitTermination()
+    return first_rows(table, spark, ["user_id"])
 
 
 @query
@@ -375,9 +452,70 @@ def sat_empty_payload(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sat_null_hashdiff(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", None, 1), ("a", None, 2), ("a", "p", 3), ("a", "p", 4), ("a", None, 5), ("b", "q", 1), ("b", "r", 2), ("b", "q", 3)]
-    source = spark.createDataFrame([(k, h, f"2024-01-0{i}", "x") for k, h, i in rows], "hk string, hd string, ldts string, rsrc string")
-    return satellite(Binding(source), "hk", "hd")
+    return event_sat(events(spark, d).withColumn("hd_event", F.expr(NO_ERRORS)))
+
+
+#: Load dates at which the events are cut into batches.
+CUTS = ("0001-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "9999-01-01")
+
+
+def event_batches(spark: SparkSession, d: str) -> list[DataFrame]:
+    rows = events(spark, d)
+    return [rows.filter(f"ldts >= TIMESTAMP_NTZ '{low}' AND ldts < TIMESTAMP_NTZ '{high}'") for low, high in pairwise(CUTS)]
+
+
+@query
+def sat_committed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches without marks, each given twice, and one that died after its rows were written: none counts twice."""
+    table = CommittedTable(scratch_path(spark, "sat-committed"))
+    for number, batch in enumerate(event_batches(spark, d)):
+        def delta(known: Kept | None, batch: DataFrame = batch) -> DataFrame:
+            return event_sat(batch, target=known, incremental=known is not None, disable_hwm=True)
+
+        if number == 2:  # written, but not published
+            delta(table.target(spark)).write.parquet(f"{table.path}/batch={number}/attempt=died")
+        for _ in range(2):
+            table.load(spark, number, delta)
+    return table.rows(spark)
+
+
+@query
+def sat_kept_state(spark: SparkSession, d: str) -> DataFrame:
+    """Loads that compare with the kept latest states; the history isn't read."""
+    table = CommittedTable(scratch_path(spark, "sat-states"), key="hk_user", hash_diff="hd_event", fold_after=3)
+    for number, batch in enumerate(event_batches(spark, d)):
+        table.load(spark, number, lambda known, batch=batch: event_sat(batch, target=known, incremental=known is not None))
+    return table.rows(spark)
+
+
+def hot_user(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hk_user", F.expr(HOT_USER))
+
+
+@query
+def sat_hot_parent(spark: SparkSession, d: str) -> DataFrame:
+    """One parent has half of all events: it is compared in slices."""
+    rows = hot_user(events(spark, d)).withColumn("hd_event", F.expr(NO_ERRORS))
+    return event_sat(rows, hot_rows=2000)
+
+
+@query
+def sat_v1_hot_parent(spark: SparkSession, d: str) -> DataFrame:
+    dated = satellite_end_dated(event_sat(hot_user(events(spark, d))), "hk_user", add_is_current=False, hot_rows=2000)
+    return spelled(dated, "ldts", "ledts").select("hk_user", "hd_event", "ldts", "ledts")
+
+
+@query
+def sat_v1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The end-dated view, kept up to date batch by batch."""
+    history = CommittedTable(scratch_path(spark, "sat-history"), key="hk_user", hash_diff="hd_event")
+    dated = EndDatedTable(scratch_path(spark, "sat-dated"), "hk_user")
+    for number, batch in enumerate(event_batches(spark, d)):
+        known = history.target(spark)
+        delta = stored(event_sat(batch, target=known, incremental=known is not None), "sat-delta")
+        history.commit(delta, number)
+        dated.load(delta, number)
+    return spelled(dated.view(spark), "ldts", "ledts").select("hk_user", "hd_event", "ldts", "ledts", "is_current")
 
 
 @query
@@ -397,10 +535,22 @@ def sat_v1_custom_alias(spark: SparkSession, d: str) -> DataFrame:
     return spelled(dated, "ldts", "valid_to").select("hk_user", "hd_event", "ldts", "valid_to", "open_row")
 
 
-@query
-def vault_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Stage, hub, link, satellite and its end-dated view, joined back into one row per order and state."""
-    load = load_vault(orders_spec(spark, d), hash_key="hk_order", business_keys=["o_orderkey"], link_key="hk_link", foreign_keys=["hk_order", "hk_customer"], hash_diff="hd_order", payload=["o_orderstatus"])
+ORDER_VAULT = {"hash_key": "hk_order", "business_keys": ["o_orderkey"], "link_key": "hk_link", "foreign_keys": ["hk_order", "hk_customer"], "hash_diff": "hd_order", "payload": ["o_orderstatus"]}
+
+
+def order_states(load: VaultLoad) -> DataFrame:
     states = load.end_dated.select("hk_order", "hd_order", "o_orderstatus", "ledts", "is_current")
     joined = load.hub.join(states, "hk_order").join(load.link.select("hk_order", "hk_customer"), "hk_order")
     return spelled(joined, "ldts", "ledts").select("o_orderkey", "hk_order", "hk_customer", "hd_order", "o_orderstatus", "ldts", "ledts", "is_current")
+
+
+@query
+def vault_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Stage, hub, link, satellite and its end-dated view, joined back into one row per order and state."""
+    return order_states(load_vault(orders_spec(spark, d), **ORDER_VAULT))
+
+
+@query
+def vault_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The same from one scan of the raw table, without a stage."""
+    return order_states(load_vault_once(orders_spec(spark, d), scratch_path(spark, "vault-once"), **ORDER_VAULT))

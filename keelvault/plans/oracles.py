@@ -50,9 +50,16 @@ SAT_COLUMNS = "hk_user, hd_event, event_type, ldts, rsrc"
 ABOVE = "ldts > (SELECT coalesce(max(ldts), TIMESTAMP '0001-01-01') FROM target WHERE ldts <> TIMESTAMP '9999-12-31')"
 HUB_TARGET = f"target AS (SELECT * FROM orders_staged WHERE ldts < {ORDERS_BEFORE} QUALIFY row_number() OVER (PARTITION BY hk_order ORDER BY ldts) = 1)"
 SYSTEM_TARGET = f"target AS (SELECT * FROM orders_by_system WHERE ldts < {ORDERS_BEFORE})"
-STRANGE = """strange(id, a, b) AS (VALUES (1, NULL, NULL), (2, '', 'x'), (3, '^^', 'y'), (4, 'a\\b', 'z'), (5, 'a' || chr(9) || 'b' || chr(10) || 'c' || chr(11) || 'd' || chr(13) || 'e', ' p '),
-  (6, ' Ab ', 'aB'), (7, 'say "x"', NULL), (8, NULL, 'only b'), (9, 'a ' || chr(10), 'q'), (10, 'f' || chr(12) || 'f', '||'))"""
-
+#: Odd values of two columns of the events, for both engines: NULL, empty, marks, backslashes, control characters, quotes.
+ODD_A = """CASE event_id % 12 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '^^' || user_id WHEN 3 THEN event_type || chr(92) || user_id WHEN 4 THEN ' ' || event_type || ' '
+  WHEN 5 THEN event_type || chr(9) || user_id || chr(10) || chr(11) || 'x' || chr(13) WHEN 6 THEN upper(event_type) WHEN 7 THEN '"' || event_type || '"' WHEN 8 THEN '||' || user_id
+  WHEN 9 THEN event_type || ' ' || chr(10) WHEN 10 THEN chr(12) || event_type ELSE '^^' END"""
+ODD_B = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN props WHEN 3 THEN '^^' || chr(92) || event_type ELSE event_type END"
+ODD = f"odd AS (SELECT event_id, {ODD_A} AS a, {ODD_B} AS b FROM events)"
+#: Some hash diffs are NULL.
+NO_ERRORS = "CASE WHEN event_type <> 'error' THEN hd_event END"
+#: Half of all events have one parent.
+HOT_USER = "CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE hk_user END"
 
 def mark(pattern: str, others: tuple[str, ...] = ()) -> str:
     parts = " OR ".join(f"rsrc LIKE '{p}'" for p in (pattern, *others))
@@ -78,8 +85,8 @@ SQL: dict[str, str] = {
     "hash_sha1": f"SELECT o_orderkey, {hashed('o_orderkey', 'o_custkey', fn='sha1', zeros=40)} AS h FROM orders",
     "hash_case_sensitive": f"SELECT event_id, {hashed('event_type', 'props', upper=False)} AS h FROM events",
     "hash_no_trim": f"SELECT event_id, {hashed('event_type', 'props', trim=False)} AS h FROM events",
-    "hash_null_and_escape": f"WITH {STRANGE} SELECT CAST(id AS INTEGER) AS id, {hashed('a')} AS h1, {hashed('a', 'b')} AS h2, {hashed('a', 'b', upper=False, trim=False)} AS h3 FROM strange",
-    "hash_empty_as_null": f"WITH {STRANGE} SELECT CAST(id AS INTEGER) AS id, {hashed('a', empty=False)} AS h1, {hashed('a', 'b', empty=False)} AS h2 FROM strange",
+    "hash_null_and_escape": f"WITH {ODD} SELECT event_id, {hashed('a')} AS h1, {hashed('a', 'b')} AS h2, {hashed('a', 'b', upper=False, trim=False)} AS h3 FROM odd",
+    "hash_empty_as_null": f"WITH {ODD} SELECT event_id, {hashed('a', empty=False)} AS h1, {hashed('a', 'b', empty=False)} AS h2 FROM odd",
     "hash_unknown_algorithm": f"SELECT o_orderkey, {hashed('o_orderkey', 'o_custkey')} AS h FROM orders",
     "stage_sequence_orders": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS seq FROM orders",
     "stage_ghost_types": f"""SELECT c_custkey, c_name, c_acctbal, '2020-02-29' AS born, c_acctbal > 0 AS good, '2024-05-06 07:08:09' AS seen, c_name AS raw, '2024-01-01 00:00:00' AS ldts, 'CRM' AS rsrc, {hashed('c_custkey', fn='sha256', zeros=64)} AS hk_customer FROM customer
@@ -111,9 +118,22 @@ SQL: dict[str, str] = {
       UNION ALL SELECT * FROM orders_by_system WHERE rsrc LIKE 'WEB/%') {new_keys('u', 'true')}""",
     "hub_custom_aliases": f"WITH {ORDERS}, {HUB_TARGET} {new_keys('orders_staged', ABOVE, 'hk_order, o_orderkey, ldts AS load_dts, rsrc AS record_source')}",
     "hub_stored_target": f"WITH {ORDERS}, {HUB_TARGET} SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_staged', ABOVE)})",
-    "hub_not_in_null_target": """WITH c(variant, hk) AS (VALUES ('empty', 'a'), ('empty', NULL), ('full', 'b'), ('full', NULL), ('full', 'k'), ('null', 'b'), ('null', NULL)),
-      t(variant, hk) AS (VALUES ('full', 'k'), ('null', 'k'), ('null', NULL))
-      SELECT variant, hk FROM c WHERE hk NOT IN (SELECT hk FROM t WHERE t.variant = c.variant)""",
+    "hub_not_in_null_target": f"""WITH {ORDERS}, c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN hk_order END AS hk FROM orders_staged), t AS (SELECT hk FROM c WHERE o_orderkey % 3 = 0)
+      SELECT 'empty' AS variant, o_orderkey, hk FROM c WHERE hk NOT IN (SELECT hk FROM t WHERE false)
+      UNION ALL SELECT 'full', o_orderkey, hk FROM c WHERE hk NOT IN (SELECT hk FROM t WHERE hk IS NOT NULL)
+      UNION ALL SELECT 'null', o_orderkey, hk FROM c WHERE hk NOT IN (SELECT hk FROM t)""",
+    "hub_json_settings": f"""WITH {ORDERS}, k AS (SELECT *, {hashed('o_orderkey', fn='sha256', zeros=64)} AS hk FROM orders_staged)
+      SELECT hk AS hk_order, o_orderkey, ldts AS loaded_at, rsrc AS origin FROM k WHERE ldts > (SELECT coalesce(max(ldts), TIMESTAMP '0001-01-01') FROM k WHERE ldts < {ORDERS_BEFORE})""",
+    "hub_hot_key": f"""WITH {ORDERS}, hot AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN repeat('0', 32) ELSE hk_order END AS hk_order, o_orderkey, ldts, rsrc FROM orders_staged), target AS (SELECT hk_order FROM orders_staged WHERE ldts < {ORDERS_BEFORE})
+      SELECT * FROM (SELECT * FROM hot QUALIFY row_number() OVER (PARTITION BY hk_order ORDER BY ldts, o_orderkey) = 1) WHERE hk_order NOT IN (SELECT hk_order FROM target)""",
+    "hub_kept_marks": f"""WITH {SYSTEMS}, target AS (SELECT * FROM orders_by_system WHERE ldts < {ORDERS_BEFORE})
+      SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_by_system', mark('SAP/%') + ' OR ' + mark('WEB/EU/%'))})""",
+    "hub_bucketed_target": f"WITH {ORDERS}, {HUB_TARGET} SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_staged', ABOVE)})",
+    "hub_many_patterns": f"""WITH p AS (SELECT o_orderkey, o_orderdate AS ldts, 'SRC/' || (o_custkey % 150) || '/' || o_orderstatus AS rsrc, {hashed('o_orderkey')} AS hk_order FROM orders),
+      target AS (SELECT * FROM p WHERE ldts < {ORDERS_BEFORE}), marks AS (SELECT split_part(rsrc, '/', 2) AS n, max(ldts) AS mark FROM target GROUP BY 1)
+      SELECT hk_order, o_orderkey, ldts, p.rsrc FROM p LEFT JOIN marks ON split_part(p.rsrc, '/', 2) = n
+      WHERE CAST(split_part(p.rsrc, '/', 2) AS INTEGER) < 100 AND ldts > coalesce(mark, TIMESTAMP '0001-01-01') AND hk_order NOT IN (SELECT hk_order FROM target)""",
+    "hub_stream_late": f"WITH {EVENTS} {first_of('events_staged', 'hk_user', 'hk_user, user_id, ldts, rsrc')}",
     "hub_additional_columns": f"WITH {ORDERS} {first_of('orders_staged', 'hk_order', 'hk_order, o_orderkey, o_orderstatus, ldts, rsrc')}",
     "link_order_customer": f"WITH {ORDERS} {first_of('orders_staged', 'hk_link', 'hk_link, hk_order, hk_customer, ldts, rsrc')}",
     "link_multi_source": f"""WITH u AS (SELECT {hashed('l_orderkey', 'l_partkey')} AS hk_link, {hashed('l_orderkey')} AS hk_order, {hashed('l_partkey')} AS hk_item, l_shipdate AS ldts, 'ERP/PARTS' AS rsrc, 0 AS s FROM lineitem
@@ -131,8 +151,12 @@ SQL: dict[str, str] = {
     "sat_incremental_disable_hwm": f"WITH {SAT_TARGET}, {LATEST}, s AS ({deduplicated('events_staged')}) SELECT {SAT_COLUMNS} FROM s WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.hk_user = s.hk_user AND l.hd_event = s.hd_event AND s.place = 1)",
     "sat_hashdiff_rename": f"WITH {EVENTS} SELECT hk_user, hd_event AS hd, event_type, ldts, rsrc FROM ({deduplicated('events_staged')})",
     "sat_empty_payload": f"WITH {EVENTS} SELECT hk_user, hd_event, ldts, rsrc FROM ({deduplicated('events_staged')})",
-    "sat_null_hashdiff": """WITH s(hk, hd, ldts, rsrc) AS (VALUES ('a', NULL, '2024-01-01', 'x'), ('a', NULL, '2024-01-02', 'x'), ('a', 'p', '2024-01-03', 'x'), ('a', 'p', '2024-01-04', 'x'), ('a', NULL, '2024-01-05', 'x'), ('b', 'q', '2024-01-01', 'x'), ('b', 'r', '2024-01-02', 'x'), ('b', 'q', '2024-01-03', 'x'))
-      SELECT hk, hd, ldts, rsrc FROM (SELECT *, lag(hd) OVER (PARTITION BY hk ORDER BY ldts) AS prev FROM s) WHERE NOT coalesce(hd = prev, false)""",
+    "sat_null_hashdiff": f"WITH {EVENTS}, n AS (SELECT * REPLACE ({NO_ERRORS} AS hd_event) FROM events_staged) SELECT {SAT_COLUMNS} FROM ({deduplicated('n')})",
+    "sat_committed_batches": f"WITH {EVENTS} SELECT {SAT_COLUMNS} FROM ({deduplicated('events_staged')})",
+    "sat_kept_state": f"WITH {EVENTS} SELECT {SAT_COLUMNS} FROM ({deduplicated('events_staged')})",
+    "sat_hot_parent": f"WITH {EVENTS}, n AS (SELECT * REPLACE ({HOT_USER} AS hk_user, {NO_ERRORS} AS hd_event) FROM events_staged) SELECT {SAT_COLUMNS} FROM ({deduplicated('n')})",
+    "sat_v1_hot_parent": f"WITH {EVENTS}, n AS (SELECT * REPLACE ({HOT_USER} AS hk_user) FROM events_staged), v0 AS ({deduplicated('n')}) SELECT hk_user, hd_event, CAST(ldts AS VARCHAR) AS ldts, CAST({END} AS VARCHAR) AS ledts FROM v0",
+    "sat_v1_incremental": f"WITH {V0}, e AS (SELECT *, {END} AS ledts FROM v0) SELECT hk_user, hd_event, CAST(ldts AS VARCHAR) AS ldts, CAST(ledts AS VARCHAR) AS ledts, ledts = TIMESTAMP '9999-12-31' AS is_current FROM e",
     "sat_v1_end_dated": f"WITH {V0}, e AS (SELECT *, {END} AS ledts FROM v0) SELECT hk_user, hd_event, CAST(ldts AS VARCHAR) AS ldts, CAST(ledts AS VARCHAR) AS ledts, ledts = TIMESTAMP '9999-12-31' AS is_current FROM e",
     "sat_v1_no_flag": f"WITH {V0} SELECT hk_user, hd_event, CAST(ldts AS VARCHAR) AS ldts, CAST({END} AS VARCHAR) AS ledts FROM v0",
     "sat_v1_custom_alias": f"WITH {V0}, e AS (SELECT *, {END.replace('9999-12-31', '2999-12-31')} AS valid_to FROM v0) SELECT hk_user, hd_event, CAST(ldts AS VARCHAR) AS ldts, CAST(valid_to AS VARCHAR) AS valid_to, valid_to = TIMESTAMP '2999-12-31' AS open_row FROM e",
@@ -142,3 +166,4 @@ SQL: dict[str, str] = {
       SELECT h.o_orderkey, h.hk_order, l.hk_customer, e.hd_order, e.o_orderstatus, CAST(h.ldts AS VARCHAR) AS ldts, CAST(e.ledts AS VARCHAR) AS ledts, e.ledts = TIMESTAMP '9999-12-31' AS is_current
       FROM h JOIN e USING (hk_order) JOIN l USING (hk_order)""",
 }
+SQL["vault_one_pass"] = SQL["vault_pipeline"]  # the same rows, by another way
