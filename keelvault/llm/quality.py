@@ -33,6 +33,8 @@ WIDTH, FILTERS, HIDDEN = 8, 16, 16
 HOP = 256
 #: The most rows, and bytes of all their texts, that the network is fitted on.
 TRAIN_ROWS, TRAIN_BYTES = 2400, 8 << 20
+#: A text larger than this is passed over, so that it doesn't take the place of many.
+TRAIN_TEXT = TRAIN_BYTES // 16
 EPOCHS, BATCH, RATE = 8, 48, 0.01
 #: Bytes from which on the size of a text says no more.
 LARGE = 3000
@@ -194,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     chosen = stored(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "quality-fit")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS small rows
     sizes = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("t"))
+    sizes = sizes.filter(F.col("t.n") <= TRAIN_TEXT)
     up_to = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most TRAIN_ROWS rows
     fitting = sizes.select("doc_id", "t.h", F.sum("t.n").over(up_to).alias("up_to")).filter(F.col("up_to") <= TRAIN_BYTES).select("doc_id", "h")
     taken = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(stored(fitting, "quality-rows")), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toPandas()

@@ -87,6 +87,16 @@ def test_quality_of_short_texts_and_of_its_own_column(setting, make_docs):
     assert found[7][1] != found[8][1]  # the last byte counts
 
 
+def test_quality_passes_over_a_text_that_is_too_large(spark, setting, make_docs):
+    """One text of more than all training bytes doesn't end the choice of rows."""
+    docs, _, truth = setting
+    first = spark.range(3000).selectExpr("id").orderBy(F.xxhash64("id")).first()["id"]  # comes before all other rows
+    rows = [r for r in corpus()[0] if r[0] != first]
+    labels = spark.createDataFrame([(i, q) for i, (q, _) in truth.items()] + [(first, 1)], "doc_id long, quality int")
+    net = quality.train(make_docs([*rows, (first, "übung " * (quality.TRAIN_BYTES // 6))]), labels)
+    assert net is not None
+
+
 def test_quality_ignores_held_out_labels(setting):
     docs, labels, _ = setting
     turned = labels.withColumn("quality", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
