@@ -10,7 +10,7 @@ sorted; a task reads its range as a stream, so that a text crosses the network o
 first and last row of each range are put aside with their texts, and joined across the ranges' seams.
 
 Defined results: a null or empty text has the digest of no triplets and length 0; rows of equal id come in the order of
-their texts (a null as an empty text); rows with a null id come last; a sole row is its own next; two empty texts are
+a hash of their texts (a null as an empty text); rows with a null id come last; a sole row is its own next; two empty texts are
 alike (1.0); extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import free_name, stored
 
 BUCKETS = 128
 _TABLES = [np.random.default_rng(900 + i).permutation(256).astype(np.uint8) & np.uint8(BUCKETS - 1) for i in range(9)]
@@ -80,17 +80,17 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and fingerprint."""
-    own = [c for c in docs.columns if c != "fingerprint"]
+    """All columns of ``docs`` and fingerprint (see free_name)."""
+    own, name = docs.columns, free_name(docs, "fingerprint")
     at = own.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [digest((t.as_py() or "").encode()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*own, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*own, name])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own).mapInArrow(work, f"{fields}, fingerprint string")
+    return docs.select(*own).mapInArrow(work, f"{fields}, `{name}` string")
 
 
 def edited(text: str, following: str) -> str:

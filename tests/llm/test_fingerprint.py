@@ -44,3 +44,9 @@ def test_neighbours(make_docs, odd_rows):
     assert sorted(str(tuple(r)) for r in fp.compare_neighbours(make_docs([(1, "alone here")])).collect()) == brute([(1, "alone here")])
     assert fp.compare_neighbours(docs.limit(0)).count() == 0
     assert "fingerprint" in fp.fingerprints(docs).columns
+
+
+def test_a_column_of_the_callers_stays(make_docs):
+    docs = make_docs([(1, "some text")]).withColumnRenamed("row", "fingerprint")
+    found = fp.fingerprints(docs)
+    assert found.columns == [*docs.columns, "fingerprint_"] and found.first()["fingerprint"] == "r" and found.first()["fingerprint_"] == fp.digest(b"some text")
