@@ -45,9 +45,10 @@ def with_digests(pages: DataFrame) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest and refers_to (null: a response)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
-    # smaller payloads, the empty ones above all, have no key, so that they don't meet in one task for nothing
-    rows = rows.withColumn("_key", F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("payload_digest")))
-    groups = rows.filter("_key IS NOT NULL").groupBy("_key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    # smaller payloads, the empty ones above all, have keys of their own, so that they don't meet in one task for nothing
+    large = F.col("payload_bytes") >= REVISIT_BYTES
+    rows = rows.withColumn("_key", F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
+    groups = rows.filter(large).groupBy("_key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups.filter("n > 1").select("_key", "refers_to"), "warc-groups")
     joined = rows.join(groups, "_key", "left").drop("_key")
     return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to")))

@@ -4,6 +4,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from keelvault.llm import warc
 
@@ -37,6 +38,22 @@ def test_odd_pages(spark):
     assert sorted(str((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in found) == sorted(str((i, hashlib.sha1(t.encode()).hexdigest(), "revisit" if to else "response", to)) for i, t, to in want)
 
 
+def test_small_pages_do_not_meet_in_one_task(spark):
+    """Nine tenths of the pages are small; without a broadcast their join is spread over all tasks."""
+    rows = [(i, "u", "small" if i % 10 else "large " * 300) for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for k, v in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.enabled", "false"), ("shuffle.partitions", "8")):
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        found = warc.with_digests(df)
+        tasks = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(tasks) == 2000 and len(tasks) == 8 and max(tasks) < 600 and found.filter("refers_to IS NOT NULL").count() == 199
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def archive(tmp_path, records):
     a = warc.Archive(f"file://{tmp_path}", records)
     for r in records:
