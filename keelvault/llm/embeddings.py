@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import stored
-from ._text import trimmed
+from ._text import mix, trimmed
 
 COSINE = 0.98
 #: Nodes of a label in a cell, on average; the most cells in all that have centres; numbers in all sampled vectors.
@@ -228,13 +228,12 @@ def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def links_of_shard(x: np.ndarray, counts: np.ndarray, member: np.ndarray, query: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For the nodes of a task: links of the queries to members (in rows; without a node's link to itself), and the smallest
-    place of each node's part.  A node may be a member, a query or both."""
-    n_links, root = np.zeros(len(x), np.int64), np.arange(len(x))
+def pairs_of_shard(x: np.ndarray, member: np.ndarray, query: np.ndarray, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the nodes of a task: the links of queries to members, in batches (query, member), without a node's link to itself.
+    A node may be a member, a query or both."""
     inside, asked = np.flatnonzero(member), np.flatnonzero(query)
     if not len(inside) or not len(asked):
-        return n_links, root
+        return
     y = x[inside]
     place = np.full(len(x), -1)
     place[inside] = np.arange(len(inside))
@@ -253,10 +252,12 @@ def links_of_shard(x: np.ndarray, counts: np.ndarray, member: np.ndarray, query:
         some = asked[at : at + BATCH]
         q, v = exhaustive(some) if exact else graph.within(x[some], place[some])
         other = inside[v] != some[q]
-        q, v = some[q[other]], inside[v[other]]
-        np.add.at(n_links, q, counts[v])
-        hooked(root, q, v)
-    return n_links, root
+        yield some[q[other]], inside[v[other]]
+
+
+def codes(node: np.ndarray) -> np.ndarray:
+    """A hash of each node, by which sets of nodes are compared."""
+    return mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 # --- the distribution ------------------------------------------------------------------------------------------------------
@@ -314,14 +315,19 @@ def spread(cells, what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     j = np.where(as_member, own_part, (nth - count) + (nth - count >= own_part))
                     asks = home[which] & (i == own_part)
                     take = pa.array(row[which])
-                    columns = [pa.array([f"{c}/{p}/{r}" for c, p, r in zip(names[which], i, j, strict=True)], pa.string()), pa.array(as_member), pa.array(asks), *[batch.column(k).take(take) for k in (0, 1, 3)]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["task", "member", "asks", "node", "n", "embedding"])
+                    columns = [pa.array([f"{c}/{p}/{r}" for c, p, r in zip(names[which], i, j, strict=True)], pa.string()), pa.array(as_member), pa.array(asks), *[batch.column(k).take(take) for k in (0, 1, 4, 3)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["task", "member", "asks", "node", "n", "wanted", "embedding"])
 
     return work
 
 
-def linked(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
-    """Tasks' rows, sorted by task, to node, n_links, root, asks."""
+#: What a task says of its nodes: links found, a node that stands for the part, whether the node asked, and what it found and
+#: by whom it was found, as the exclusive or of their codes.
+OF_NODES = "node long, n_links long, root long, asks boolean, own long, back long"
+
+
+def linked(batches: Iterator[pa.RecordBatch], exact: bool, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Tasks' rows, sorted by task, to OF_NODES; pairs: to a, b, n_b of the links with a wanted node a, in both directions."""
     held: list[pa.RecordBatch] = []
     task = None
 
@@ -329,10 +335,24 @@ def linked(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Record
         table = pa.Table.from_batches(held)
         member, asks, node, n = (table[c].to_numpy() for c in ("member", "asks", "node", "n"))
         flat = pa.concat_arrays([b.column(b.schema.get_field_index("embedding")).flatten() for b in held]).to_numpy(zero_copy_only=False)
-        n_links, part = links_of_shard(unit(flat.reshape(len(node), -1)), n, member, asks, exact)
+        found = pairs_of_shard(unit(flat.reshape(len(node), -1)), member, asks, exact)
+        if pairs:
+            wanted = table["wanted"].to_numpy()
+            both = [(np.r_[q, v], np.r_[v, q]) for q, v in found]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in both)]) for k in (0, 1))
+            a, b = a[wanted[a]], b[wanted[a]]
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(n[b])], names=["a", "b", "n_b"])
+        n_links, part = np.zeros(len(node), np.int64), np.arange(len(node))
+        code, own, back = codes(node), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        for q, v in found:
+            np.add.at(n_links, q, n[v])
+            hooked(part, q, v)
+            np.bitwise_xor.at(own, q, code[v])
+            np.bitwise_xor.at(back, v, code[q])
         low = np.full(len(node), np.iinfo(np.int64).max)  # the smallest node number stands for a part
         np.minimum.at(low, part, node)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(n_links), pa.array(low[part]), pa.array(asks)], names=["node", "n_links", "root", "asks"])
+        columns = {"node": node, "n_links": n_links, "root": low[part], "asks": asks, "own": own, "back": back}
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     for batch in batches:
         names = batch.column(0).to_numpy(zero_copy_only=False)
@@ -347,8 +367,13 @@ def linked(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Record
         yield done()
 
 
-def searched(nodes: DataFrame, cells: Cells, exact: bool, name: str) -> DataFrame:
-    """node, n_links, root, asks: of all tasks."""
+def searched(nodes: DataFrame, cells: Cells, exact: bool, name: str, wanted: DataFrame | None = None) -> DataFrame:
+    """OF_NODES of all tasks; wanted (node): the pairs of these nodes instead, of the same search."""
+    if wanted is None:
+        nodes = nodes.withColumn("wanted", F.lit(False))
+    else:
+        mine = wanted.select(F.col("node").alias("_node"), F.lit(True).alias("_wanted"))
+        nodes = nodes.join(mine, F.col("node") == F.col("_node"), "left").select(*nodes.columns, F.coalesce("_wanted", F.lit(False)).alias("wanted"))
     context = nodes.sparkSession.sparkContext
     shared = context.broadcast(cells)
     sizes = nodes.mapInArrow(trimmed(spread(shared, "sizes")), "cell string, n long").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -357,10 +382,10 @@ def searched(nodes: DataFrame, cells: Cells, exact: bool, name: str) -> DataFram
     more = sum(r["n"] * 2 * -(-r["n"] // MEMBERS) for r in wide)
     shared = context.broadcast(cut)
     kind = nodes.schema["embedding"].dataType.simpleString()
-    placed = nodes.mapInArrow(trimmed(spread(shared, "nodes")), f"task string, member boolean, asks boolean, node long, n long, embedding {kind}")
+    placed = nodes.mapInArrow(trimmed(spread(shared, "nodes")), f"task string, member boolean, asks boolean, node long, n long, wanted boolean, embedding {kind}")
     parts = max(context.defaultParallelism, -(-(total + more) // CELL))
     placed = placed.repartition(min(parts, 50_000), "task").sortWithinPartitions("task", F.desc("n"), "node")
-    return stored(placed.mapInArrow(trimmed(lambda batches: linked(batches, exact)), "node long, n_links long, root long, asks boolean"), name)
+    return stored(placed.mapInArrow(trimmed(lambda batches: linked(batches, exact, wanted is not None)), OF_NODES if wanted is None else "a long, b long, n_b long"), name)
 
 
 def near_pairs(nodes: DataFrame, queries: dict[str, tuple[np.ndarray, np.ndarray]], cells: Cells) -> DataFrame:
@@ -411,10 +436,20 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         anew = searched(plain_nodes.filter(some), full, True, "vector-links-exact")
         found = found.join(plain_nodes.filter(some).select("node"), "node", "left_anti").unionByName(anew)
     component = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = found.filter("asks").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    links = stored(found.groupBy("node").agg(F.sum(F.when(F.col("asks"), F.col("n_links"))).alias("n_links"), F.bit_xor("own").alias("own"), F.bit_xor("back").alias("back")), "vector-counts")
+    # a link that only one end has found counts for both: the ends whose two sets differ are told by their codes
+    uneven = links.filter("own <> back")
+    if not uneven.isEmpty():
+        pairs = searched(plain_nodes if not short else plain_nodes.filter(~some), cells, False, "vector-pairs", uneven)
+        right = pairs.distinct().groupBy("a").agg(F.sum("n_b").alias("right"))
+        links = links.join(right, F.col("node") == F.col("a"), "left").withColumn("n_links", F.coalesce("right", "n_links"))
+    links = links.select("node", "n_links")
     by_node = nodes.select("key", "node", "n").join(links, "node").join(component, "node", "left")
     by_node = stored(by_node.select("key", (F.col("n_links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-components")
-    out = keyed.select("vec_id", "key").join(by_node, "key", "left")
+    # vectors without a key aren't joined, as all of them would meet in one task
+    out = keyed.filter("key IS NOT NULL").select("vec_id", "key").join(by_node, "key").drop("key")
+    none = F.lit(None).cast("long")
+    out = out.unionByName(keyed.filter("key IS NULL").select("vec_id", none.alias("n_links"), none.alias("component_id")))
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.col("vec_id").eqNullSafe(component_id).alias("kept"))
 

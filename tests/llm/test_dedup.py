@@ -302,3 +302,39 @@ def test_embedding_graph(monkeypatch):
         q, v = graph.within(x[some], own)
         assert len(set(zip(q.tolist(), v.tolist(), strict=True))) == len(q) and truth[q, v].all()
         assert len(q) >= least * truth.sum()
+
+
+@pytest.mark.parametrize("members", [16_384, 64])
+def test_a_link_counts_for_both_ends(spark, monkeypatch, members):
+    """A search that misses links in one direction: what either end finds counts for both."""
+    monkeypatch.setattr(embeddings, "CELL", 60)
+    monkeypatch.setattr(embeddings, "MEMBERS", members)
+    monkeypatch.setattr(embeddings, "missed", lambda *a: [])  # no label is searched anew
+    rng = np.random.default_rng(6)
+    x = embeddings.unit(rng.normal(size=(400, 3)))
+    near = x @ x.T >= embeddings.COSINE
+    np.fill_diagonal(near, False)
+    lost = np.triu(rng.random(near.shape) < 0.3)  # these are found from the other end only
+    rows = {tuple(v): i for i, v in enumerate(x.astype(np.float32).tolist())}
+    found = embeddings.pairs_of_shard
+
+    def forgetful(y, member, query, exact):
+        names = np.array([np.abs(x - v).sum(1).argmin() for v in y])
+        for q, v in found(y, member, query, True):
+            kept = ~lost[names[q], names[v]]
+            yield q[kept], v[kept]
+
+    monkeypatch.setattr(embeddings, "tuned", lambda nodes: (embeddings.Cells({"1/3": embeddings.refined(x, 6)}, {"1/3": embeddings.distance_of(embeddings.COSINE)}, {}), {}))
+    df = spark.createDataFrame([(i, v, 1) for v, i in ((list(k), i) for k, i in rows.items())], "vec_id long, embedding array<float>, label int")
+    real = embeddings.linked
+
+    def linked(batches, exact, pairs):
+        embeddings.pairs_of_shard = forgetful
+        try:
+            yield from real(batches, exact, pairs)
+        finally:
+            embeddings.pairs_of_shard = found
+
+    monkeypatch.setattr(embeddings, "linked", linked)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert [got[i] for i in range(400)] == near.sum(1).tolist()
