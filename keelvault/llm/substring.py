@@ -47,6 +47,8 @@ FILTER_BITS, HOT_BITS, HOT = 26, 22, 2000
 #: Pieces that a task holds before it sends them, and words in an index at most (beyond, a shard is indexed by parts of its keys).
 HELD, INDEX_WORDS = 400_000, 1_500_000
 LAST = np.iinfo(np.int64).max
+#: Bytes of a word's hash that are sent.
+WIDTH = 6
 
 
 def minimisers(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def pieces(docs: DataFrame, repeated, hot) -> DataFrame:  # noqa: ANN001
-    """shard (a hash), words (64-bit hashes; empty: surely repeated), doc_id, row, start, mask (a bit for each repeated window).
+    """shard (a hash), words (their hashes, see packed; empty: surely repeated), doc_id, row, start, mask (a bit for each repeated window).
 
     docs: doc_id, row, text.
     """
@@ -148,7 +150,7 @@ def pieces(docs: DataFrame, repeated, hot) -> DataFrame:  # noqa: ANN001
                     held, size = [], 0
         yield from _sent(held)
 
-    return docs.select("doc_id", "row", "text").mapInArrow(work, "shard long, words array<long>, doc_id long, row long, start int, mask int")
+    return docs.select("doc_id", "row", "text").mapInArrow(work, "shard int, words binary, doc_id long, row long, start int, mask int")
 
 
 def _sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -170,12 +172,30 @@ def _sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     # surely repeated ones need no index: they are spread by their row
     shard = np.where(first, shard, mix(rows.view(np.uint64)))
     keep = np.flatnonzero(~same)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sent)].astype(np.int32)), pa.array(values.view(np.int64)))
-    table = pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), lists, pa.array(ids), pa.array(rows), pa.array(start.astype(np.int32)), pa.array(mask.astype(np.int32))], names=["shard", "words", "doc_id", "row", "start", "mask"])
+    # a shard's number only gathers what may be equal, so half of its bits do
+    table = pa.RecordBatch.from_arrays([pa.array((shard >> np.uint64(32)).astype(np.uint32).view(np.int32)), packed(sent, values), pa.array(ids), pa.array(rows), pa.array(start.astype(np.int32)), pa.array(mask.astype(np.int32))], names=["shard", "words", "doc_id", "row", "start", "mask"])
     for a in range(0, len(keep), 20_000):
         yield table.take(pa.array(keep[a : a + 20_000]))
 
 
+def packed(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Lists of hashes of the given sizes, as the WIDTH upper bytes of each: what they can't tell apart (a word in 2**48) would
+    have to stand in windows that are equal otherwise."""
+    flat = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :])
+    offsets = np.r_[0, np.cumsum(sizes * WIDTH)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def unpacked(column: pa.Array) -> pa.ListArray:
+    """The lists again, with zeros for the lower bytes."""
+    sizes = np.asarray(pc.binary_length(column)).astype(np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if sizes.sum() else np.zeros(0, np.uint8)
+    whole = np.zeros((len(flat) // WIDTH, 8), np.uint8)
+    whole[:, 8 - WIDTH :] = flat.reshape(-1, WIDTH)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes // WIDTH)].astype(np.int32)), pa.array(whole.reshape(-1).view(np.int64)))
+
+
 def judged(lists: pa.ListArray, ids: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A mask for each piece: the windows of it that also start earlier."""
     size = np.diff(lists.offsets.to_numpy())
@@ -265,7 +285,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
         if batch.num_rows:
             held.append(batch)
-            size += len(batch.column(1).flatten())
+            size += (pc.sum(pc.binary_length(batch.column(1))).as_py() or 0) // WIDTH
             last = batch.column(0)[-1].as_py()
     if held:
         yield _judged(held)
@@ -275,10 +295,10 @@ def _judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     ids, rows, start, mask = (table.column(i).to_numpy() for i in (2, 3, 4, 5))
     mask = mask.astype(np.int64)
-    lists = table.column(1)
-    full = np.flatnonzero(np.diff(lists.offsets.to_numpy()) > 0)
+    column = table.column(1)
+    full = np.flatnonzero(np.asarray(pc.binary_length(column)) > 0)
     if len(full):
-        mask[full] |= judged(lists.take(pa.array(full)), ids[full], rows[full], start[full].astype(np.int64))
+        mask[full] |= judged(unpacked(column.take(pa.array(full))), ids[full], rows[full], start[full].astype(np.int64))
     hit = np.flatnonzero(mask)
     return pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(start[hit]), pa.array(mask[hit].astype(np.int32))], names=["row", "start", "mask"])
 
