@@ -327,16 +327,19 @@ def grouped(docs: DataFrame, k: int, similar: int) -> DataFrame:
     """As near_duplicates(), with a hash of the text, which tells rows of one id apart, and the number of the group (null: none)."""
     signed = stored(signatures(docs, k), "signatures")
     linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = stored(linked.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "sets")
+    nodes = linked.groupBy("node", "check").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"))
+    nodes = stored(nodes.select("node", "check", "first.doc_id", "first.text_hash", "bands"), "sets")
     members = nodes.select(F.explode("bands").alias("bucket"), "node", "doc_id")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", "doc_id").alias("centre")).filter("n > 1")
     shared = stored(shared.select("bucket", "centre"), "buckets")
     members = stored(members.select("bucket", "node").join(shared, "bucket").select("bucket", "node", "centre"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     wanted = stored(wanted, "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = parted(texts, F.xxhash64("doc_id"), bit_map(wanted, F.xxhash64("doc_id"), "wanted-map"))[0]  # few texts are shuffled
-    sets = stored(full_sets(near.join(wanted, "doc_id"), k, similar).dropDuplicates(["node"]), "shingles")
+    # a text is told by its id and hash, as one id may have many texts
+    own = F.xxhash64("doc_id", "text_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    near = parted(texts, own, bit_map(wanted, own, "wanted-map"))[0]  # few texts are shuffled
+    sets = stored(full_sets(near.join(wanted, ["doc_id", "text_hash"]), k, similar).dropDuplicates(["node"]), "shingles")
     links = confirmed(members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets, similar)
     found = stored(components(links), "components")
     placed = stored(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-members")

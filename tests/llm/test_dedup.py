@@ -338,3 +338,20 @@ def test_a_link_counts_for_both_ends(spark, monkeypatch, members):
     monkeypatch.setattr(embeddings, "linked", linked)
     got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
     assert [got[i] for i in range(400)] == near.sum(1).tolist()
+
+
+def test_many_texts_of_one_id(spark, make_docs, monkeypatch):
+    """Each text meets its own set alone, not those of all texts of its id."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(30)) for _ in range(150)]
+    rows = [(7, t) for t in texts] + [(7, t + " end") for t in texts] + [(9, texts[0])]
+    met = []
+    made = minhash.full_sets
+
+    def counted(df, k, similar):
+        met.append(df.count())
+        return made(df, k, similar)
+
+    monkeypatch.setattr(minhash, "full_sets", counted)
+    found = minhash.near_duplicates(make_docs(rows)).collect()
+    assert len(found) == 301 and {r["component_id"] for r in found} == {7} and met == [300]
