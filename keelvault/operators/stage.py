@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import VaultConfig
 from ..functions.hashing import hash_expr
 from ..functions.types import spark_type
-from ..sources.scratch import shared_folder
+from ..sources.scratch import stored
 from ..sources.tables import read_table
 from ..specs import HashRule, Kept, StageSpec
 from .ghosts import ghost_records
@@ -60,14 +60,11 @@ def numbered(df: DataFrame, spec: StageSpec) -> DataFrame:
     """The rows with SEQUENCE, 1 to n without gaps, in the order that the spec names or of the rows' JSON.
 
     Rows are cut into ranges and sorted and numbered in each; the ranges' counts (a row each) give where each begins.  The
-    numbered ranges are kept by a reliable checkpoint, as a second evaluation might cut them elsewhere; so this runs at once.
+    numbered ranges are written to the shared folder, as a second evaluation might cut them elsewhere; so this runs at once.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
     whole = F.to_json(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]))
     order = [F.col(c).asc_nulls_last() for c in spec.sequence_order] + [F.xxhash64(whole) if spec.sequence_order else whole]
-    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id()).checkpoint()
+    ranges = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id()), "sequence")
     part, place = F.shiftright(PLACE, 33), F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
     before, begins = 0, []
     for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():  # as many rows as ranges
