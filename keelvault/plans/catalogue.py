@@ -333,6 +333,16 @@ def hub_kept_marks(spark: SparkSession, d: str) -> DataFrame:
     return table.rows(spark)
 
 
+@query
+def hub_near_keys(spark: SparkSession, d: str) -> DataFrame:
+    """A second load that is small beside its target, of which only keys near its own are joined."""
+    table = CommittedTable(scratch_path(spark, "hub-near"), key="hk_order")
+    table.load(spark, 1, lambda known: known_orders(spark, d))
+    few = orders(spark, d).filter("o_orderkey % 50 = 0")
+    table.load(spark, 2, lambda known: order_hub(few, target=known, incremental=True, disable_hwm=True), near=few)
+    return table.rows(spark)
+
+
 @query
 def hub_many_patterns(spark: SparkSession, d: str) -> DataFrame:
     """A hundred patterns, which are matched with the distinct record sources alone."""

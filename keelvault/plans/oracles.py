@@ -129,6 +129,7 @@ SQL: dict[str, str] = {
     "hub_kept_marks": f"""WITH {SYSTEMS}, target AS (SELECT * FROM orders_by_system WHERE ldts < {ORDERS_BEFORE})
       SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_by_system', mark('SAP/%') + ' OR ' + mark('WEB/EU/%'))})""",
     "hub_bucketed_target": f"WITH {ORDERS}, {HUB_TARGET} SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_staged', ABOVE)})",
+    "hub_near_keys": f"WITH {ORDERS}, {HUB_TARGET} SELECT hk_order, o_orderkey, ldts, rsrc FROM target UNION ALL ({new_keys('orders_staged', 'o_orderkey % 50 = 0')})",
     "hub_many_patterns": f"""WITH p AS (SELECT o_orderkey, o_orderdate AS ldts, 'SRC/' || (o_custkey % 150) || '/' || o_orderstatus AS rsrc, {hashed('o_orderkey')} AS hk_order FROM orders),
       target AS (SELECT * FROM p WHERE ldts < {ORDERS_BEFORE}), marks AS (SELECT split_part(rsrc, '/', 2) AS n, max(ldts) AS mark FROM target GROUP BY 1)
       SELECT hk_order, o_orderkey, ldts, p.rsrc FROM p LEFT JOIN marks ON split_part(p.rsrc, '/', 2) = n

@@ -25,6 +25,7 @@ from ..config import VaultConfig
 from ..functions.names import quoted
 from ..specs import Kept
 from . import files
+from .bucketed import near_keys
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,10 @@ class CommittedTable:
         """Names of the batches, folders of rows, marks and states, and the schema of the rows."""
         folder = f"{self.path}/_commits"
         found = [n for n in files.names(spark, folder) if n.endswith(".json") and not n.startswith(".")]
-        bases = [n for n in found if n.startswith("base-")]
+        bases = sorted(n for n in found if n.startswith("base-"))
         out = json.loads(files.read_text(spark, f"{folder}/{bases[-1]}")) if bases else {"batches": [], "rows": [], "marks": [], "states": [], "schema": None}
         covered = {f"batch-{b}.json" for b in out["batches"]}
-        out["loose"] = 0
+        out["loose"], out["entries"], out["bases"] = 0, [n for n in found if n.startswith("batch-")], bases
         for name in found:
             if name.startswith("batch-") and name not in covered:
                 entry = json.loads(files.read_text(spark, f"{folder}/{name}"))
@@ -71,6 +72,7 @@ class CommittedTable:
         spark, batch = delta.sparkSession, str(batch)
         if self.committed(spark, batch):
             return False
+        self._check(spark, delta)
         attempt = uuid.uuid4().hex
         folder = self._write(delta, batch, attempt)
         rows = self._read(spark, delta.schema, [folder])
@@ -85,14 +87,22 @@ class CommittedTable:
             self._rebase(spark, self.marks(spark), self.states(spark))
         return True
 
+    def _check(self, spark: SparkSession, delta: DataFrame) -> None:
+        known = self._manifest(spark)["schema"]
+        if known and {(f.name, f.dataType) for f in StructType.fromJson(known)} != {(f.name, f.dataType) for f in delta.schema}:
+            raise ValueError(f"the delta has {delta.schema.simpleString()}, the table {StructType.fromJson(known).simpleString()}")
+
     def _write(self, delta: DataFrame, batch: str, attempt: str) -> str:
         folder = f"{self.path}/batch={batch}/attempt={attempt}"
         delta.write.partitionBy(*self.partition_by).parquet(folder)
         return folder
 
-    def load(self, spark: SparkSession, batch: str | int, delta: Callable[[Kept | None], DataFrame]) -> bool:
-        """Commits delta(target as it is, None before the first batch), which isn't computed if the batch is there."""
-        return not self.committed(spark, batch) and self.commit(delta(self.target(spark)), batch)
+    def load(self, spark: SparkSession, batch: str | int, delta: Callable[[Kept | None], DataFrame], near: DataFrame | None = None) -> bool:
+        """Commits delta(target as it is, None before the first batch), which isn't computed if the batch is there.
+
+        near: as for target().
+        """
+        return not self.committed(spark, batch) and self.commit(delta(self.target(spark, near)), batch)
 
     def _keep(self, rows: DataFrame, name: str) -> dict:
         """Writes what is kept of some rows."""
@@ -112,8 +122,14 @@ class CommittedTable:
             if df is not None:
                 base[part] = [f"{self.path}/_{part}/base-{name}"]
                 (df.coalesce(1) if part == "marks" else df).write.parquet(base[part][0])
-        # the name sorts by the number of batches, so the fullest base is the last
-        files.publish(spark, f"{self.path}/_commits/base-{len(now['batches']):012}-{name}.json", json.dumps(base))
+        # names sort by the number of batches and then by age, so the fullest base, and of these the newest, is the last
+        number = len(now["bases"])
+        files.publish(spark, f"{self.path}/_commits/base-{len(now['batches']):012}-{number:06}-{name}.json", json.dumps(base))
+        if number:  # what the base before this one covers; readers may still be at what this one does
+            older = set(json.loads(files.read_text(spark, f"{self.path}/_commits/{now['bases'][-1]}"))["batches"])
+            for entry in now["entries"]:
+                if entry.removeprefix("batch-").removesuffix(".json") in older:
+                    files.delete(spark, f"{self.path}/_commits/{entry}")
 
     def rebuild(self, spark: SparkSession) -> None:
         """Makes marks and states anew from the rows."""
@@ -135,18 +151,28 @@ class CommittedTable:
         # partition columns are found below a common base, which has those of batches and attempts as well
         return reader.option("basePath", self.path).parquet(*folders).select(*map(quoted, schema.names))
 
-    def target(self, spark: SparkSession) -> Kept | None:
-        """The table as the target of a load."""
-        rows = self.rows(spark)
-        return None if rows is None else Kept(rows, self.marks(spark), self.states(spark))
+    def target(self, spark: SparkSession, near: DataFrame | None = None) -> Kept | None:
+        """The table as the target of a load.
+
+        near: rows with the table's key, of a load that is small beside the table: of the table's rows and states only those are
+        passed on whose key may be among them (see near_keys); marks are of all rows.
+        """
+        now = self._manifest(spark)
+        if not now["rows"]:
+            return None
+        rows = self._read(spark, StructType.fromJson(now["schema"]), now["rows"])
+        rows = rows if near is None else near_keys(rows, near, self.key)
+        return Kept(rows, self._marks(spark, now), self._states(spark, now, near))
 
     def marks(self, spark: SparkSession) -> DataFrame | None:
         """A row a record source: its latest load date (but for the end of all times), rows and NULL keys."""
-        found = self._manifest(spark)["marks"]
-        if not found:
+        return self._marks(spark, self._manifest(spark))
+
+    def _marks(self, spark: SparkSession, now: dict) -> DataFrame | None:
+        if not now["marks"]:
             return None
         ldts, rsrc = (quoted(c) for c in (self.cfg.ldts_alias, self.cfg.rsrc_alias))
-        return spark.read.parquet(*found).groupBy(rsrc).agg(F.max(ldts).alias(self.cfg.ldts_alias), F.sum("n").alias("n"), F.sum("nulls").alias("nulls"))
+        return spark.read.parquet(*now["marks"]).groupBy(rsrc).agg(F.max(ldts).alias(self.cfg.ldts_alias), F.sum("n").alias("n"), F.sum("nulls").alias("nulls"))
 
     def marks_of(self, rows: DataFrame) -> DataFrame:
         ldts = F.col(quoted(self.cfg.ldts_alias))
@@ -155,8 +181,13 @@ class CommittedTable:
 
     def states(self, spark: SparkSession) -> DataFrame | None:
         """A row a parent: the load date and hash diff of its latest row."""
-        found = self._manifest(spark)["states"]
-        return self.states_of(spark.read.parquet(*found)) if found else None
+        return self._states(spark, self._manifest(spark))
+
+    def _states(self, spark: SparkSession, now: dict, near: DataFrame | None = None) -> DataFrame | None:
+        if not now["states"]:
+            return None
+        found = spark.read.parquet(*now["states"])
+        return self.states_of(found if near is None else near_keys(found, near, self.key))
 
     def states_of(self, rows: DataFrame) -> DataFrame:
         ldts, diff = self.cfg.ldts_alias, self.hash_diff

@@ -13,7 +13,7 @@ from keelvault.sources.committed import CommittedTable
 from keelvault.sources.end_dated import EndDatedTable
 from keelvault.specs import Kept
 from keelvault.streaming.batches import load_stream
-from metrics import executed, metric
+from metrics import executed, metric, shuffled_records
 
 SCHEMA = "hk string, hd string, ldts string, rsrc string"
 
@@ -61,6 +61,42 @@ def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
     assert [r["hk"] for r in table.rows(spark).collect()] == ["other"]
 
 
+def test_a_delta_of_other_columns_is_an_error(spark, tmp_path):
+    table = CommittedTable(str(tmp_path / "t"))
+    table.commit(frame(spark, [("a", "1", "2024-01-01", "X")]), 0)
+    with pytest.raises(ValueError, match="delta"):
+        table.commit(frame(spark, []).drop("hd"), 1)
+    assert table.commit(frame(spark, [("b", "1", "2024-01-01", "X")]).select("rsrc", "ldts", "hd", "hk"), 2)
+    assert same(table.rows(spark), [("a", "1", "2024-01-01", "X"), ("b", "1", "2024-01-01", "X")])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_loads_with_near_keys(spark, tmp_path, seed):
+    """Facts are of all rows, though only those near the load are joined: NULL keys and marks count as ever."""
+    hubs = [CommittedTable(str(tmp_path / f"hub{n}"), key="hk") for n in (0, 1)]
+    sats = [CommittedTable(str(tmp_path / f"sat{n}"), key="hk", hash_diff="hd") for n in (0, 1)]
+    for number, rows in enumerate(batches(seed + 50, 4)):
+        rows = frame(spark, rows + ([(None, "n", "2031-07-29", "s")] if number == seed + 1 else []))
+        for close, (keyed, sat) in enumerate(zip(hubs, sats, strict=True)):
+            near = rows if close else None
+            keyed.load(spark, number, lambda known, rows=rows: hub([Binding(rows)], "hk", ["hd"], target=known, incremental=known is not None, disable_hwm=True), near)
+            sat.load(spark, number, lambda known, rows=rows: satellite(Binding(rows), "hk", "hd", target=known, incremental=known is not None), near)
+    for tables in (hubs, sats):
+        assert same(tables[0].rows(spark), tables[1].rows(spark).collect())
+
+
+def test_near_keys_shuffle_little_of_the_target(spark, tmp_path):
+    table = CommittedTable(str(tmp_path / "t"), key="hk", hash_diff="hd")
+    table.commit(spark.range(50_000).selectExpr("md5(cast(id as string)) hk", "'1' hd", "'2024-01-01' ldts", "'X' rsrc"), 0)
+    few = spark.range(20).selectExpr("md5(cast(id * 2 as string)) hk", "cast(id % 2 as string) hd", "'2024-01-02' ldts", "'X' rsrc")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for delta, n in ((hub([Binding(few)], "hk", ["hd"], target=table.target(spark, few), incremental=True), 0), (satellite(Binding(few), "hk", "hd", target=table.target(spark, few), incremental=True), 10)):
+            assert delta.count() == n and max(r or 0 for r in shuffled_records(delta)) < 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_publish_never_overwrites(spark, tmp_path):
     path = str(tmp_path / "deep" / "entry.json")
     assert files.publish(spark, path, "é1") and not files.publish(spark, path, "2")
@@ -121,6 +157,18 @@ def test_kept_facts(spark, tmp_path, fold_after):
     assert found[0] == found[1]
 
 
+def test_folded_entries_go_and_stay_committed(spark, tmp_path):
+    table = CommittedTable(str(tmp_path / "t"), key="hk", fold_after=2)
+    for number in range(7):
+        assert table.commit(frame(spark, [(f"k{number}", "1", "2024-01-01", "X")]), number)
+    entries = [n for n in files.names(spark, str(tmp_path / "t" / "_commits")) if n.startswith("batch-")]
+    assert entries == ["batch-4.json", "batch-5.json", "batch-6.json"]  # the base before the last covers the others
+    assert not any(table.commit(frame(spark, [("again", "1", "2024-01-01", "X")]), n) for n in range(7))
+    assert sorted(r["hk"] for r in table.rows(spark).collect()) == [f"k{n}" for n in range(7)]
+    table.rebuild(spark)
+    assert table.marks(spark).first()["n"] == 7 and table.rows(spark).count() == 7
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_loads_with_kept_facts_equal_loads_without(spark, tmp_path, seed):
     marked = seed % 2 == 0

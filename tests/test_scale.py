@@ -49,6 +49,13 @@ def test_a_task_sends_one_row_of_a_key(spark, load, no_broadcast):
     assert max(tasks) <= 3 * median(tasks)
 
 
+def test_the_latest_state_of_a_hot_parent_is_one_row_a_task(spark, no_broadcast):
+    target = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', cast(id as string)) hk", "cast(id as string) hd", "cast(id as string) ldts", "'x' rsrc").repartition(8)
+    source = spark.range(10).selectExpr("if(id % 2 = 0, 'hot', cast(id as string)) hk", "cast(id as string) hd", "concat('9', id) ldts", "'x' rsrc")
+    delta = satellite(Binding(source), "hk", "hd", target=target, incremental=True, disable_hwm=True)
+    assert 10_001 <= sorted(shuffled_records(delta))[-2] <= 10_008  # the most is the dealing out of this test
+
+
 # --- hot parents of satellites ---------------------------------------------------------------------------------------------
 
 SAT = "hk string, hd string, status string, ldts string, rsrc string"
