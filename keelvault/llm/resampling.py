@@ -204,7 +204,7 @@ def splitters(runs: DataFrame, ranges: int, sample: int = SAMPLE) -> list[tuple]
         return []
     if n > sample:
         heads = heads.filter(F.pmod(F.xxhash64("first_score", "first_doc_id"), F.lit(-(-n // sample))) == 0)
-    found = sorted(keys_of(*zip(*[(r[0], r[1]) for r in heads.collect()], strict=True))) if n else []
+    found = sorted(keys_of(*zip(*rows, strict=True))) if (rows := [tuple(r) for r in heads.distinct().collect()]) else []  # equal keys are one
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
