@@ -122,15 +122,35 @@ class CommittedTable:
             if df is not None:
                 base[part] = [f"{self.path}/_{part}/base-{name}"]
                 (df.coalesce(1) if part == "marks" else df).write.parquet(base[part][0])
+        self._publish_base(spark, now, base)
+
+    def _publish_base(self, spark: SparkSession, now: dict, base: dict) -> None:
+        """A file that stands for all batches it names."""
         # names sort by the number of batches and then by age, so the fullest base, and of these the newest, is the last
         number = len(now["bases"])
-        files.publish(spark, f"{self.path}/_commits/base-{len(now['batches']):012}-{number:06}-{name}.json", json.dumps(base))
+        files.publish(spark, f"{self.path}/_commits/base-{len(base['batches']):012}-{number:06}-{uuid.uuid4().hex}.json", json.dumps(base))
         if number:  # what the base before this one covers; readers may still be at what this one does
             older = set(json.loads(files.read_text(spark, f"{self.path}/_commits/{now['bases'][-1]}"))["batches"])
             for entry in now["entries"]:
                 if entry.removeprefix("batch-").removesuffix(".json") in older:
                     files.delete(spark, f"{self.path}/_commits/{entry}")
 
+    def replace(self, rows: DataFrame, batch: str | int) -> bool:
+        """Rows that stand in place of those of all batches so far, as a batch of their own; False if its name is committed.
+
+        No other batch should be committed meanwhile.  The files of the replaced rows stay, for readers that are at them.
+        """
+        spark, batch = rows.sparkSession, str(batch)
+        now = self._manifest(spark)
+        if batch in now["batches"]:
+            return False
+        self._check(spark, rows)
+        attempt = uuid.uuid4().hex
+        folder = self._write(rows, batch, attempt)
+        kept = self._keep(self._read(spark, rows.schema, [folder]), f"{batch}-{attempt}")
+        self._publish_base(spark, now, {"batches": [*now["batches"], batch], "rows": [folder], "schema": rows.schema.jsonValue()} | kept)
+        return True
+
     def rebuild(self, spark: SparkSession) -> None:
         """Makes marks and states anew from the rows."""
         rows = self.rows(spark)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import VaultConfig
 from ..functions.names import free, quoted
 from ..functions.types import sortable
-from ..operators.satellite import end_dated_delta, late_rows
+from ..operators.satellite import end_dated_delta, late_rows, satellite_end_dated
 from .committed import CommittedTable
 
 
@@ -54,7 +54,7 @@ class EndDatedTable:
         if before is None:
             before = delta.limit(0)
         elif check_late and not late_rows(delta, before, self.parent_hash_key, self.cfg).isEmpty():
-            raise ValueError("rows of the delta aren't later than what their parents have open: the view must be made anew")
+            raise ValueError("rows of the delta aren't later than what their parents have open: remake() the table")
         return self.table.commit(end_dated_delta(delta, before, self.parent_hash_key, is_current_col=self.is_current_col, cfg=self.cfg), batch)
 
     def view(self, spark: SparkSession) -> DataFrame | None:
@@ -63,3 +63,12 @@ class EndDatedTable:
         if rows is None:
             return None
         return rows.filter(~F.col(quoted(self.is_current_col))).unionByName(self.open_rows(spark))
+
+    def remake(self, history: DataFrame, batch: str | int, hot_rows: int | None = None) -> bool:
+        """All rows dated anew from a satellite's whole history, which has taken in rows that came late."""
+        return self.table.replace(satellite_end_dated(history, self.parent_hash_key, is_current_col=self.is_current_col, hot_rows=hot_rows, cfg=self.cfg), batch)
+
+    def compact(self, spark: SparkSession, batch: str | int) -> bool:
+        """Leaves the versions of open rows behind that later loads have closed, and gathers small files."""
+        view = self.view(spark)
+        return view is not None and self.table.replace(view, batch)

@@ -236,6 +236,29 @@ def test_late_rows_are_an_error_of_the_end_dated_table(spark, tmp_path):
     assert table.load(frame(spark, [("b", "0", "2031-07-04", "s")]), 1)
 
 
+def test_an_end_dated_table_is_made_anew_with_late_rows(spark, tmp_path):
+    table, rows = EndDatedTable(str(tmp_path / "t"), "hk"), [("a", "1", "2031-07-05", "s"), ("b", "1", "2031-07-01", "s"), ("a", "2", "2031-07-08", "s")]
+    table.load(frame(spark, rows[:2]), 0)
+    table.load(frame(spark, rows[2:]), 1)
+    late = ("a", "0", "2031-07-06", "s")
+    assert table.remake(frame(spark, [*rows, late]), "with late rows") and not table.remake(frame(spark, rows), "with late rows")
+    assert same(table.view(spark), satellite_end_dated(frame(spark, [*rows, late]), "hk").collect())
+    more = ("b", "2", "2031-07-09", "s")
+    assert table.load(frame(spark, [more]), 2) and not table.load(frame(spark, [more]), 1)
+    want = satellite_end_dated(frame(spark, [*rows, late, more]), "hk").collect()
+    assert same(table.view(spark), want) and table.table.rows(spark).count() == 6  # b's first row was open once
+    assert table.compact(spark, "compact") and same(table.view(spark), want) and table.table.rows(spark).count() == 5
+
+
+def test_replaced_rows_bring_their_facts(spark, tmp_path):
+    table = CommittedTable(str(tmp_path / "t"), key="hk", hash_diff="hd", fold_after=2)
+    for number in range(3):
+        table.commit(frame(spark, [("a", str(number), f"2024-01-0{number + 1}", "X")]), number)
+    assert table.replace(frame(spark, [("b", "1", "2023-01-01", "Y")]), "anew") and not table.commit(frame(spark, []), 1)
+    assert same(table.rows(spark), [("b", "1", "2023-01-01", "Y")]) and [r["rsrc"] for r in table.marks(spark).collect()] == ["Y"] and table.states(spark).count() == 1
+    assert table.commit(frame(spark, [("c", "1", "2023-01-02", "Y")]), 3) and table.rows(spark).count() == 2 and table.marks(spark).first()["n"] == 2
+
+
 def test_kept_without_facts_is_a_target(spark):
     rows = frame(spark, [("a", "1", "2024-01-01", "X")])
     new = frame(spark, [("a", "1", "2024-01-02", "X"), ("b", "1", "2024-01-02", "X")])
