@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -23,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
@@ -158,6 +159,24 @@ def test_stages_and_run(spark, directory, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, directory).collect())) == last
 
 
+def test_stages_over_odd_columns(spark, directory, make_docs, odd_rows):
+    """Nulls in every column, and columns with the names of results, come through each stage; clean documents stay."""
+    clash = ["toxicity", "component", "spans", "target", "ids"]
+    docs = make_docs([*odd_rows, (None, None, None)]).select("doc_id", "text", "source", "lang", "n_chars", *(f.alias(c) for f, c in zip(spark_nulls(), clash, strict=True)))
+    docs = docs.unionByName(docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, directory)
+        assert after.columns == docs.columns, name
+        if name in ("toxicity", "pii"):
+            assert after.count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, directory).count() == docs.count()
+
+
+def spark_nulls():
+    """A value, a null, and values of other types than the results of those names have."""
+    return F.lit("own"), F.lit(None).cast("long"), F.lit(3), F.lit(None).cast("string"), F.lit("x")
+
+
 def test_empty_tables(spark, directory, tmp_path):
     spark.read.parquet(f"{directory}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{directory}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
