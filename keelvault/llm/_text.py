@@ -34,6 +34,7 @@ def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         try:
             yield from work(batches)
         finally:
+            pa.default_memory_pool().release_unused()  # Arrow's own pool
             with contextlib.suppress(Exception):  # only some C libraries have it
                 ctypes.CDLL(None).malloc_trim(0)
 
