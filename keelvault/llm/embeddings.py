@@ -46,8 +46,9 @@ CELL, MOST_CENTRES, SAMPLE_VALUES = 4096, 8192, 4_000_000
 MEMBERS = 16_384
 #: Nodes in a block, edges of a node, candidates for them, slack of robust pruning, width of the beam, medoids to start from.
 BLOCK, DEGREE, POOL, ALPHA, BEAM, STARTS = 512, 12, 32, 1.2, 6, 3
-#: Searches at once.
-BATCH = 256
+#: Searches at once, query-node places of these (fewer searches in a large shard), and edges that are followed at once: in a dense
+#: group every search reaches every node.
+BATCH, PLACES, EDGES = 256, 1 << 21, 1 << 19
 #: Nodes by which the reach is measured and the result is audited, and the least recall; searches audited in a shard.
 TUNE, AUDIT, AUDIT_RECALL, SHARD_AUDIT = 1024, 1024, 0.999, 24
 #: The least reach, in standard deviations of a link that has no preferred direction.
@@ -187,14 +188,9 @@ class Graph:
         known = np.flatnonzero(own >= 0)
         q, node = np.concatenate([np.repeat(np.arange(b), starts), known]), np.concatenate([first.ravel(), own[known]])
         hits_q, hits = [], []
-        beam_q, beam, beam_sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        fresh = True
-        while len(q):
-            if not fresh:  # to the neighbours
-                degree = self.begin[node + 1] - self.begin[node]
-                q = np.repeat(q, degree)
-                node = self.to[np.repeat(self.begin[node] - (np.cumsum(degree) - degree), degree) + np.arange(int(degree.sum()))].astype(np.int64)
-            fresh = False
+
+        def visited(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Those of the places that weren't seen before, each once, and their cosines."""
             code = q * n + node
             code = code[~seen[code]]
             mark[code] = np.arange(len(code), dtype=np.int32)
@@ -202,6 +198,24 @@ class Graph:
             seen[code] = True
             q, node = code // n, code % n
             sim = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", queries[q[a : a + 16384]], self.x[node[a : a + 16384]]) for a in range(0, len(q), 16384)]])
+            return q, node, sim
+
+        def neighbours(q: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """The neighbours of the places, about EDGES at once."""
+            degree = self.begin[node + 1] - self.begin[node]
+            ends = np.cumsum(degree)
+            cuts = np.searchsorted(ends, np.arange(EDGES, (ends[-1] if len(ends) else 0) + EDGES, EDGES), "right")
+            for a, b in zip(np.r_[0, cuts][:-1], cuts, strict=True):
+                some = degree[a:b]
+                at = np.repeat(self.begin[node[a:b]] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
+                yield np.repeat(q[a:b], some), self.to[at].astype(np.int64)
+
+        beam_q, beam, beam_sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        fresh = True
+        while len(q):
+            found = [visited(*some) for some in ([(q, node)] if fresh else neighbours(q, node))]
+            fresh = False
+            q, node, sim = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (q[:0], node[:0], np.zeros(0))
             near = sim >= COSINE
             hits_q.append(q[near])
             hits.append(node[near])
@@ -248,8 +262,9 @@ def pairs_of_shard(x: np.ndarray, member: np.ndarray, query: np.ndarray, exact:
         own = place[checked]  # a query's hit on itself says nothing
         there, got = ((v != own[q]).sum() for q, v in (truth, found))
         exact = got < AUDIT_RECALL * there
-    for at in range(0, len(asked), BATCH):
-        some = asked[at : at + BATCH]
+    step = max(16, min(BATCH, PLACES // len(inside)))
+    for at in range(0, len(asked), step):
+        some = asked[at : at + step]
         q, v = exhaustive(some) if exact else graph.within(x[some], place[some])
         other = inside[v] != some[q]
         yield some[q[other]], inside[v[other]]
@@ -331,17 +346,18 @@ def linked(batches: Iterator[pa.RecordBatch], exact: bool, pairs: bool) -> Itera
     held: list[pa.RecordBatch] = []
     task = None
 
-    def done() -> pa.RecordBatch:
+    def done() -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         member, asks, node, n = (table[c].to_numpy() for c in ("member", "asks", "node", "n"))
         flat = pa.concat_arrays([b.column(b.schema.get_field_index("embedding")).flatten() for b in held]).to_numpy(zero_copy_only=False)
         found = pairs_of_shard(unit(flat.reshape(len(node), -1)), member, asks, exact)
         if pairs:
             wanted = table["wanted"].to_numpy()
-            both = [(np.r_[q, v], np.r_[v, q]) for q, v in found]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in both)]) for k in (0, 1))
-            a, b = a[wanted[a]], b[wanted[a]]
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(n[b])], names=["a", "b", "n_b"])
+            for q, v in found:  # never all links of a task at once
+                to, back = wanted[q], wanted[v]
+                a, b = np.r_[q[to], v[back]], np.r_[v[to], q[back]]
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(n[b])], names=["a", "b", "n_b"])
+            return
         n_links, part = np.zeros(len(node), np.int64), np.arange(len(node))
         code, own, back = codes(node), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
         for q, v in found:
@@ -352,19 +368,19 @@ def linked(batches: Iterator[pa.RecordBatch], exact: bool, pairs: bool) -> Itera
         low = np.full(len(node), np.iinfo(np.int64).max)  # the smallest node number stands for a part
         np.minimum.at(low, part, node)
         columns = {"node": node, "n_links": n_links, "root": low[part], "asks": asks, "own": own, "back": back}
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     for batch in batches:
         names = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, int)
         for begin, end in zip(cuts, np.r_[cuts[1:], len(names)], strict=True) if len(names) else ():
             if held and names[begin] != task:
-                yield done()
+                yield from done()
                 held = []
             task = names[begin]
             held.append(batch.slice(begin, end - begin))
     if held:
-        yield done()
+        yield from done()
 
 
 def searched(nodes: DataFrame, cells: Cells, exact: bool, name: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -385,7 +401,22 @@ def searched(nodes: DataFrame, cells: Cells, exact: bool, name: str, wanted: Dat
     placed = nodes.mapInArrow(trimmed(spread(shared, "nodes")), f"task string, member boolean, asks boolean, node long, n long, wanted boolean, embedding {kind}")
     parts = max(context.defaultParallelism, -(-(total + more) // CELL))
     placed = placed.repartition(min(parts, 50_000), "task").sortWithinPartitions("task", F.desc("n"), "node")
-    return stored(placed.mapInArrow(trimmed(lambda batches: linked(batches, exact, wanted is not None)), OF_NODES if wanted is None else "a long, b long, n_b long"), name)
+    pairs = wanted is not None  # a task's function must not hold a table
+    return stored(placed.mapInArrow(trimmed(lambda batches: linked(batches, exact, pairs)), "a long, b long, n_b long" if pairs else OF_NODES), name)
+
+
+def exhaustive_cells(nodes: DataFrame, cells: Cells, groups: list[str]) -> Cells:
+    """For the exact way: cells with the full distance of a link as reach; where nearly every node would be a guest nearly
+    everywhere, a group without cells, whose parts meet in fewer copies of its nodes."""
+    full = Cells({g: cells.centres[g] for g in groups}, dict.fromkeys(groups, distance_of(COSINE)), {})
+    shared = nodes.sparkSession.sparkContext.broadcast(full)
+    sizes = nodes.mapInArrow(trimmed(spread(shared, "sizes")), "cell string, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    group = F.regexp_extract("cell", "^(.*)/[0-9]+$", 1)
+    sent = F.sum(F.col("n") * F.ceil(F.col("n") / MEMBERS))
+    by_cells = {r["group"]: r["sent"] for r in sizes.groupBy(group.alias("group")).agg(sent.alias("sent")).collect()}  # a row a group
+    whole = {r["group"]: r["count"] * (2 * -(-r["count"] // MEMBERS) - 1) for r in nodes.groupBy("group").count().collect()}
+    cut = {g: c for g, c in full.centres.items() if by_cells.get(g, 0) < whole.get(g, 0)}
+    return Cells(cut, {g: full.reach[g] for g in cut}, {})
 
 
 def near_pairs(nodes: DataFrame, queries: dict[str, tuple[np.ndarray, np.ndarray]], cells: Cells) -> DataFrame:
@@ -432,8 +463,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     short = missed(plain_nodes, found, cells, audit)
     if short:  # the exact way for labels whose links weren't all found
         some = F.col("group").isin(short)
-        full = Cells(cells.centres, dict.fromkeys(cells.centres, distance_of(COSINE)), {})
-        anew = searched(plain_nodes.filter(some), full, True, "vector-links-exact")
+        anew = searched(plain_nodes.filter(some), exhaustive_cells(plain_nodes.filter(some), cells, short), True, "vector-links-exact")
         found = found.join(plain_nodes.filter(some).select("node"), "node", "left_anti").unionByName(anew)
     component = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = stored(found.groupBy("node").agg(F.sum(F.when(F.col("asks"), F.col("n_links"))).alias("n_links"), F.bit_xor("own").alias("own"), F.bit_xor("back").alias("back")), "vector-counts")

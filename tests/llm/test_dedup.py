@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keelvault.llm import _graph, embeddings, minhash, substring
 from keelvault.llm.fm_index import FMIndex
@@ -340,6 +342,46 @@ def test_a_link_counts_for_both_ends(spark, monkeypatch, members):
     assert [got[i] for i in range(400)] == near.sum(1).tolist()
 
 
+def test_ends_that_differ_are_searched_again(spark, monkeypatch):
+    """The search for the pairs of some nodes, by the functions that tasks really run."""
+    x = embeddings.unit(np.random.default_rng(6).normal(size=(400, 3)))
+    near = x @ x.T >= embeddings.COSINE
+    np.fill_diagonal(near, False)
+    nodes = spark.createDataFrame([(i, 1, "1/3", v.tolist()) for i, v in enumerate(x)], "node long, n long, group string, embedding array<double>")
+    found = embeddings.searched(nodes, embeddings.Cells({}, {}, {}), False, "pairs", spark.range(0, 400, 7).withColumnRenamed("id", "node"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a in range(0, 400, 7) for b in np.flatnonzero(near[a]).tolist()}
+
+
+def test_a_dense_shard_is_searched_in_little_memory(monkeypatch):
+    r = np.random.default_rng(9)
+    x = embeddings.unit(np.concatenate([r.normal(size=32) + 0.015 * r.normal(size=(4000, 32)), r.normal(size=(500, 32))]))
+    graph, some = embeddings.Graph(x), np.arange(256)
+    tracemalloc.start()
+    whole = set(zip(*(c.tolist() for c in graph.within(x[some], some)), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(whole) == (x[some] @ x.T >= embeddings.COSINE).sum()
+    assert peak < 4e8  # 900 MB where all edges are followed at once
+    monkeypatch.setattr(embeddings, "EDGES", 5000)
+    assert set(zip(*(c.tolist() for c in graph.within(x[some[:40]], some[:40])), strict=True)) == {(q, v) for q, v in whole if q < 40}
+    alone = embeddings.Graph(x[:1])
+    assert [c.tolist() for c in alone.within(x[:1], np.zeros(1, np.int64))] == [[0], [0]]
+
+
+def test_the_exact_way_goes_without_cells_where_all_are_guests(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MEMBERS", 100)
+    r = np.random.default_rng(10)
+    wide, flat = embeddings.unit(r.normal(size=(600, 64))), embeddings.unit(r.normal(size=(600, 2)))
+    rows = [(i, 1, g, v.tolist()) for i, (g, v) in enumerate([*(("1/64", v) for v in wide), *(("2/2", v) for v in flat)])]
+    nodes = spark.createDataFrame(rows, "node long, n long, group string, embedding array<double>")
+    cells = embeddings.Cells({"1/64": embeddings.refined(wide, 12), "2/2": embeddings.refined(flat, 12)}, {"1/64": 0.06, "2/2": 0.06}, {})
+    made = embeddings.exhaustive_cells(nodes, cells, ["1/64", "2/2"])
+    assert list(made.centres) == ["2/2"] and made.reach["2/2"] == embeddings.distance_of(embeddings.COSINE)
+    found = {r["node"]: r["n_links"] for r in embeddings.searched(nodes, made, True, "exact").groupBy("node").agg(F.sum(F.when(F.col("asks"), F.col("n_links"))).alias("n_links")).collect()}
+    for at, x in ((0, wide), (600, flat)):
+        assert [found[at + i] for i in range(600)] == ((x @ x.T >= embeddings.COSINE).sum(1) - 1).tolist()
+
+
 def test_many_texts_of_one_id(spark, make_docs, monkeypatch):
     """Each text meets its own set alone, not those of all texts of its id."""
     rng = random.Random(8)
