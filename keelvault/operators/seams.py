@@ -41,6 +41,12 @@ def hot_splitters(rows: DataFrame, key: str, place: Column, hot_rows: int) -> Da
     return sampled.select("key", F.array_distinct(F.filter(cuts, lambda c: c.isNotNull())).alias("splitters"))
 
 
+def slice_of(splitters: Column, place: Column) -> Column:
+    """How many of the splitters (ascending) aren't above the place: by bisection, as every row of a hot key asks."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((SLICES - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(splitters, n + step - 1) <= place, n + step).otherwise(n))
+
+
 def with_neighbour(rows: DataFrame, key: str, order: Sequence[str], value: str, name: str, there: str, *, ahead: bool = False, hot_rows: int) -> DataFrame:
     """With ``name``, the value of the row before each (ahead: after it) in its key, and ``there``, whether there is such a row.
 
@@ -51,7 +57,7 @@ def with_neighbour(rows: DataFrame, key: str, order: Sequence[str], value: str,
     splitters = stored(hot_splitters(rows, key, place_of(rows, order), hot_rows), "splitters").select(F.col("key").alias(hot), F.col("splitters").alias(cuts))
     cut = rows.join(splitters, F.col(quoted(key)).eqNullSafe(F.col(hot)), "left")
     place = place_of(rows, order)
-    cut = cut.withColumn(slice_, F.coalesce(F.size(F.filter(F.col(cuts), lambda s: s <= place)), F.lit(0)))
+    cut = cut.withColumn(slice_, F.when(F.col(cuts).isNull(), F.lit(0)).otherwise(slice_of(F.col(cuts), place)))
     held = F.struct(F.col(quoted(value)).alias("v"))
     outermost = F.min_by(held, place) if ahead else F.max_by(held, place)
     edges = cut.filter(F.col(cuts).isNotNull()).groupBy(F.col(quoted(key)).alias("key"), F.col(slice_).alias("slice")).agg(outermost.alias("own"))

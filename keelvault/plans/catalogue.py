@@ -511,7 +511,8 @@ def sat_hot_parent(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sat_v1_hot_parent(spark: SparkSession, d: str) -> DataFrame:
-    dated = satellite_end_dated(event_sat(hot_user(events(spark, d))), "hk_user", add_is_current=False, hot_rows=2000)
+    history = stored(event_sat(hot_user(events(spark, d)), hot_rows=2000), "sat-hot-history")  # dating reads it several times
+    dated = satellite_end_dated(history, "hk_user", add_is_current=False, hot_rows=2000)
     return spelled(dated, "ldts", "ledts").select("hk_user", "hd_event", "ldts", "ledts")
 
 

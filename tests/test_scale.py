@@ -11,7 +11,8 @@ from keelvault.operators import hwm
 from keelvault.operators.anti_join import not_in
 from keelvault.operators.hwm import TargetFacts, sql_like
 from keelvault.operators.patterns import beginning, fitting
-from keelvault.operators.seams import hot_splitters, place_of
+from keelvault.operators.seams import SLICES, hot_splitters, place_of, slice_of
+from keelvault.plans import catalogue
 from keelvault.plans.one_pass import _Entity, load_vault_once, tagged_rows
 from keelvault.plans.pipeline import load_vault
 from keelvault.sources.bucketed import append_bucketed, create_bucketed, near_keys
@@ -100,6 +101,23 @@ def test_no_task_sorts_a_hot_parent(spark):
     assert sum(tasks) == satellite(Binding(rows), "hk", "hd").count() and max(tasks) <= 3 * median(tasks)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, SLICES - 1])
+def test_a_slice_is_found_by_bisection(spark, n):
+    cuts = list(range(0, 2 * n, 2))
+    found = spark.range(-1, 2 * n + 1).select("id", slice_of(F.array(*map(F.lit, cuts)).cast("array<long>"), F.col("id")).alias("at")).collect()
+    assert all(r["at"] == sum(c <= r["id"] for c in cuts) for r in found)
+
+
+def test_both_steps_of_a_hot_parent_are_sliced(spark, monkeypatch):
+    """No window of the query is by the parent alone, neither the comparison's nor the end dates'."""
+    sliced = []
+    for name in ("satellite", "satellite_end_dated"):
+        made = getattr(catalogue, name)
+        monkeypatch.setattr(catalogue, name, lambda *a, made=made, **b: sliced.append(b.get("hot_rows")) or made(*a, **b))
+    catalogue.sat_v1_hot_parent(spark, "/root/testdata/sf0.001").count()
+    assert sliced == [2000, 2000]
+
+
 # --- patterns --------------------------------------------------------------------------------------------------------------
 
 
