@@ -70,5 +70,17 @@ def hash_expr(columns: Sequence[str | Column], cfg: VaultConfig | None = None, *
     return F.coalesce(digest, F.lit(zero_key(cfg.hash)))
 
 
+def packed(key: Column) -> Column:
+    """A key as bytes, so that fewer are shuffled and sorted: lower-case hex as what it says, any other text as it is."""
+    given = F.unhex(key)
+    return F.when(F.lower(F.hex(given)) == key, F.concat(F.lit(b"\x00"), given)).otherwise(F.concat(F.lit(b"\x01"), key.cast("binary")))
+
+
+def unpacked(key: Column) -> Column:
+    """The text of a packed key."""
+    rest = F.substring(key, 2, 1 << 30)
+    return F.when(F.substring(key, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def _quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"

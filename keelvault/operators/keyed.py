@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VaultConfig
-from ..functions.names import free
+from ..functions.hashing import packed, unpacked
+from ..functions.names import free, quoted
 from ..functions.types import sortable
 from ..sources.tables import read_table
 from ..specs import Binding, Kept
@@ -35,10 +36,10 @@ def link(sources: Sequence[Binding], link_hash_key: str, foreign_hash_keys: Sequ
         if b.fk_columns is not None and len(b.fk_columns) != len(foreign_hash_keys):
             raise ValueError(f"{len(b.fk_columns)} foreign-key columns for {len(foreign_hash_keys)} foreign hash keys")
     columns = [b.fk_columns or foreign_hash_keys for b in sources]
-    return _keyed(sources, link_hash_key, foreign_hash_keys, columns, target, incremental, disable_hwm, additional_columns, cfg or VaultConfig())
+    return _keyed(sources, link_hash_key, foreign_hash_keys, columns, target, incremental, disable_hwm, additional_columns, cfg or VaultConfig(), packs=True)
 
 
-def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns: Sequence[Sequence[str]], target: DataFrame | Kept | None, incremental: bool, disable_hwm: bool, additional: Sequence[str], cfg: VaultConfig) -> DataFrame:
+def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns: Sequence[Sequence[str]], target: DataFrame | Kept | None, incremental: bool, disable_hwm: bool, additional: Sequence[str], cfg: VaultConfig, packs: bool = False) -> DataFrame:
     if not sources:
         raise ValueError("an entity needs at least one source")
     if incremental and target is None:
@@ -79,9 +80,15 @@ def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns:
     for i, b in enumerate(sources):
         groups.setdefault((id(b.source) if isinstance(b.source, DataFrame) else b.source, i if whole or (patterns and b.rsrc_statics) else None), []).append(i)
     rows = reduce(DataFrame.unionByName, map(read, groups.values()))
+    # a first load has nothing to meet, so its keys may travel as bytes
+    keys = [] if incremental or not packs else [c for c in dict.fromkeys((key, *names)) if rows.schema[c].dataType.typeName() == "string"]
+    given = rows.columns
+    rows = rows.withColumns({c: packed(F.col(quoted(c))) for c in keys}) if keys else rows
     # ties go to the leading source, then to the lowest values, so that reruns agree
     ties = [sortable(rows.schema[c]).asc_nulls_last() for c in (*names, *extras[0], rsrc)]
     order = Window.partitionBy(key).orderBy(F.col(ldts).asc_nulls_last(), F.col(source), *ties)
     first = rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank, source)
+    if keys:
+        first = first.select(*[unpacked(F.col(quoted(c))).alias(c) if c in keys else F.col(quoted(c)) for c in given if c != source])
     # ranked before known keys go: each task then sends one row of a key at most, however hot, and the join uses the same shuffle
     return facts.not_known(first, key) if incremental else first

@@ -38,12 +38,18 @@ def read_table(source: DataFrame | TableRef | str, quote: bool = True, spark: Sp
     return spark.table(source)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: str, piece_bytes: int | None = None) -> DataFrame:
     """A plain scan of a table that is in fewer pieces than there are cores is dealt out by the columns, so that what is computed
-    of its rows runs on all of them; a table in more pieces stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    of its rows runs on all of them; a table in more pieces stays as it is.
+
+    piece_bytes: of a larger table the pieces have about so many bytes of its files, so that what its rows become can be sorted
+    in a task's memory.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if piece_bytes:
+        wanted = max(wanted, -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // piece_bytes))
     pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, *columns) if pieces < cores else df
+    return df.repartition(wanted, *columns) if pieces < wanted else df
 
 
 def append(delta: DataFrame, target: TableRef | str, partition_by: tuple[str, ...] = ()) -> None:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelvault import Binding, StageSpec, VaultConfig, hub, link, satellite, satellite_end_dated
+from keelvault.functions.hashing import packed, unpacked
 from keelvault.operators import hwm
 from keelvault.operators.anti_join import not_in
 from keelvault.operators.hwm import TargetFacts, sql_like
@@ -17,6 +18,7 @@ from keelvault.plans.one_pass import _Entity, load_vault_once, tagged_rows
 from keelvault.plans.pipeline import load_vault
 from keelvault.sources.bucketed import append_bucketed, create_bucketed, near_keys
 from keelvault.sources.committed import CommittedTable
+from keelvault.sources.tables import spread
 from keelvault.streaming.first_rows import earliest, first_rows, load_first_rows
 from metrics import executed, metric, shuffled_records
 
@@ -50,6 +52,28 @@ def test_a_task_sends_one_row_of_a_key(spark, load, no_broadcast):
     assert max(tasks) <= 3 * median(tasks)
 
 
+def test_keys_of_a_first_load_travel_as_bytes(spark, no_broadcast):
+    """A link's three keys of 32 characters are 17 bytes each in its only shuffle; any text comes back as it was."""
+    odd = ["0" * 32, "f" * 32, "F" * 32, "abc", "ab", "", None, "zz", "é" * 16, "\x00", "\x0161", "0" * 40]
+    keys = spark.createDataFrame([(k,) for k in odd], "k string")
+    assert [r[0] for r in keys.select(unpacked(packed(F.col("k")))).collect()] == odd
+    source = spark.range(20_000).selectExpr("md5(cast(id as string)) hk", "md5(concat('a', id)) a", "md5(concat('b', id)) b", "'2031' ldts", "'x' rsrc")
+    first = link([Binding(source)], "hk", ["a", "b"])
+    assert first.columns == ["hk", "a", "b", "ldts", "rsrc"]
+    size = sum(metric(n, "shuffleBytesWritten") for n in executed(first) if n.nodeName() == "Exchange")
+    assert size < 80 * 20_000  # over 96 as text
+    assert same(first, source.collect())
+
+
+def test_a_large_table_is_dealt_into_small_pieces(spark, tmp_path):
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(df, "id").rdd.getNumPartitions() == max(cores, 1)
+    assert spread(df, "id", piece_bytes=1 << 40).rdd.getNumPartitions() == max(cores, 1)
+    assert spread(df, "id", piece_bytes=4000).count() == 20_000 and spread(df, "id", piece_bytes=4000)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_the_latest_state_of_a_hot_parent_is_one_row_a_task(spark, no_broadcast):
     target = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', cast(id as string)) hk", "cast(id as string) hd", "cast(id as string) ldts", "'x' rsrc").repartition(8)
     source = spark.range(10).selectExpr("if(id % 2 = 0, 'hot', cast(id as string)) hk", "cast(id as string) hd", "concat('9', id) ldts", "'x' rsrc")
