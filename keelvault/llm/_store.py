@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
+#: Whether Spark removes the shuffle files of a query once it is done; what is stored needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -49,7 +51,12 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,10 +68,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def release() -> None:
-    """Deletes every intermediate table written so far; results that still read them must be done."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def written() -> int:
+    """How many intermediate tables there are."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Deletes the intermediate tables written since there were ``since``, but the last ``keep``; results that still read them
+    must be done."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for spark, path in reversed(gone):
         with contextlib.suppress(Exception):  # the session may have ended before
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

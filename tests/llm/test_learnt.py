@@ -179,48 +179,46 @@ def test_toxicity_carries_a_column_of_its_name(setting):
     assert kept.columns == own.columns and 0 < kept.filter("toxicity = 'mine'").count() == kept.count() < docs.count()
 
 
-def plain_ratios(toxic, ordinary, documents, order, least, blank=None):
-    """The module's formula, on dictionaries: a function from a list of elements to the log ratio of each but leading blanks."""
-    texts, counts = (toxic, ordinary), ({}, {})
-    for found, own in zip(texts, counts, strict=True):
-        for ws in found:
+def plain_ratios(toxic, ordinary, order, starts, letters=False):
+    """Interpolated Kneser-Ney on dictionaries: a function from a list of elements to the log ratio of each but leading marks, by
+    the longest sequence.  starts: marks that stand before each list; letters: sequences that begin with one count occurrences."""
+    counts = []
+    for texts in (toxic, ordinary):
+        seen, own = {}, {}
+        for ws in texts:
+            ws = [*starts, *ws]
             for k in range(1, order + 1):
-                for i in range(len(ws) - k + 1):
-                    if not (k == 1 and i == 0 and ws[0] == blank):
-                        own[tuple(ws[i : i + k])] = own.get(tuple(ws[i : i + k]), 0) + 1
-    kept = {g for g, n in counts[0].items() if n >= least}
-    totals = [sum(len(ws) - (blank is not None) for ws in t) for t in texts]
-    before, after = {}, {}
-    for ws in documents:
-        for a, w in list(zip([None, *ws], ws, strict=False))[blank is not None :]:
-            before.setdefault(w, set()).add(a)
-    for g in kept:
-        after.setdefault(g[:-1], []).append(g)
-    single = [g[0] for g in kept if len(g) == 1]
-    inside = sum(c.get((w,), 0) for w in single for c in counts)
-    kinds = sum(len(before[w]) for w in single) * max(1.0, sum(totals) / inside)
-
-    def rest(h, c):
-        taken = sum(max(counts[c].get(g, 0) - 0.75, 0) for g in after.get(h, []))
-        return 1 - taken / (max(counts[c].get(h, 0), 1) if h else totals[c])
+                for i in range(len(starts), len(ws)):
+                    if i - k + 1 >= 0:
+                        g = tuple(ws[i - k + 1 : i + 1])
+                        seen[g] = seen.get(g, 0) + 1
+        for g, n in seen.items():
+            if len(g) == order or (letters and len(g) > 1 and g[: len(starts)] == tuple(starts)):
+                own[g] = n
+            if len(g) > 1:
+                own[g[1:]] = own.get(g[1:], 0) + 1 if not (letters and len(g) > 2 and g[1:2] == tuple(starts)) else own[g[1:]]
+        after = {}
+        for g, n in own.items():
+            after.setdefault(g[:-1], []).append(n)
+        counts.append((own, after))
+    elements = len({g for own, _ in counts for g in own if len(g) == 1}) + 1
 
     def likely(g, c):
-        if not g[1:]:
-            under = len(before[g[0]]) / kinds if g in kept else 1.0
-            return (max(counts[c].get(g, 0) - 0.75, 0) / totals[c] if g in kept else 0) + rest((), c) * under
-        own = max(counts[c].get(g, 0) - 0.75, 0) / max(counts[c].get(g[:-1], 0), 1) if g in kept else 0
-        return own + (rest(g[:-1], c) if g[:-1] in kept else 1) * likely(g[1:], c)
-
-    def ratio(ws, i):
-        g = tuple(ws[max(0, i - order + 1) : i + 1])
+        own, after = counts[c]
+        under = likely(g[1:], c) if g[1:] else 1 / elements
+        follows = after.get(g[:-1])
+        return (max(own.get(g, 0) - 0.75, 0) + 0.75 * len(follows) * under) / sum(follows) if follows else under
+
+    def ratio(ws, i, k):
+        g = tuple(ws[max(0, i - k + 1) : i + 1])
         return math.log(likely(g, 0)) - math.log(likely(g, 1))
 
-    return lambda ws: [ratio(ws, i) for i in range(blank is not None, len(ws))]
+    return lambda ws, k=order: [ratio([*starts, *ws], i, k) for i in range(len(starts), len(starts) + len(ws))]
 
 
 @pytest.mark.parametrize("common", [1 << 22, 3])
 def test_toxicity_ratios_are_those_of_the_formula(spark, make_docs, monkeypatch, common):
-    """All ratios broadcast, and nearly all of them joined."""
+    """Rare sequences and those of one class alone count too; all ratios of letters broadcast, and nearly all of them joined."""
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abcdefgh") + r.choice("xy") * (r.random() < 0.3) for _ in range(r.randint(1, 40))), i % 3 == 0) for i in range(60)]
     monkeypatch.setattr(toxicity, "COMMON", common)
@@ -229,18 +227,34 @@ def test_toxicity_ratios_are_those_of_the_formula(spark, make_docs, monkeypatch,
     tables = {kind: toxicity.kneser_ney(kind, *frames, docs.select("text")) for kind in toxicity.ORDERS}
     split = lambda t: "".join(x if x.isalnum() else " " for x in (t or "").lower()).split()
     by_class = [[split(t) for _, t, c in rows if c == which] for which in (True, False)]
-    everything = [split(x["text"]) for x in docs.collect()]
-    words = plain_ratios(*by_class, everything, 3, toxicity.LEAST)
-    spell = lambda texts: [f" {w} " for t in texts for w in t]
-    letters = plain_ratios(*map(spell, by_class), spell(everything), 8, toxicity.LEAST, " ")
+    words = plain_ratios(*by_class, 3, [None, None])
+    spell = lambda texts: [f"{w} " for t in texts for w in t]
+    letters = plain_ratios(*map(spell, by_class), 8, " ", letters=True)
     found = {row["doc_id"]: row for row in toxicity.rated(docs, tables).collect()}
     assert len(found) == len(rows) + 2
     clip = lambda x: max(-toxicity.MOST, min(toxicity.MOST, x))
     for row in found.values():
         text = split(row["text"])
-        for half, want in ((0, words(text)), (1, [sum(letters(f" {w} ")) for w in text])):
-            got = [row[f] for f in toxicity.FEATURES[half * 6 : half * 6 + 6]]
+        for part, want in enumerate([*(words(text, k) for k in (1, 2, 3)), [sum(letters(f"{w} ")) for w in text]]):
+            got = [row[f] for f in toxicity.FEATURES[part * 6 : part * 6 + 6]]
             want = list(map(clip, want))
             best = sorted({w: max(x for v, x in zip(text, want, strict=True) if v == w) for w in text}.values(), reverse=True)[: toxicity.TOP]
             passages = [max((sum(want[i : i + k]) / k for i in range(len(want))), default=0) for k in toxicity.PASSAGES]
             assert got == pytest.approx([*passages, sum(want) / max(len(want), 1), sum(best) / toxicity.TOP], abs=1e-4)
+
+
+def test_toxicity_in_parts_runs_and_shares(setting, monkeypatch):
+    """Many parts, short runs of words and several shares of the texts give the same features."""
+    docs, labels, _ = setting
+    toxic, ordinary = (docs.join(labels.filter(F.col("toxic") == which), "doc_id", "left_semi").select("text") for which in (1, 0))
+
+    def features():
+        tables = {kind: toxicity.kneser_ney(kind, toxic, ordinary, docs.select("text")) for kind in toxicity.ORDERS}
+        return {r["doc_id"]: [r[f] for f in toxicity.FEATURES] for r in toxicity.rated(docs, tables).collect()}
+
+    one = features()
+    monkeypatch.setattr(toxicity, "TASK_KEYS", 1 << 11)
+    monkeypatch.setattr(toxicity, "SLICE", 1 << 12)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 60)
+    two = features()
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], abs=1e-4) for i in one)
