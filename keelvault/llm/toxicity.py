@@ -68,7 +68,7 @@ SLICE = 1 << 19
 #: The most sequences of letters that are broadcast, and bits of the filter.
 COMMON, FILTER_BITS = 1 << 22, 28
 #: Words that a task holds before it gives them on; texts in a part of the tables of words.
-TASK_KEYS, PART_ROWS = 1 << 19, 8000
+TASK_KEYS, PART_ROWS = 1 << 18, 4000
 #: Texts are rated one share after the other, so that less of what they ask is on disk at once; there are at most so many shares.
 ROUNDS = 3
 #: At most so many rows fit the logistic curve.
