@@ -258,3 +258,48 @@ def test_toxicity_in_parts_runs_and_shares(setting, monkeypatch):
     monkeypatch.setattr(toxicity, "PART_ROWS", 60)
     two = features()
     assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], abs=1e-4) for i in one)
+
+
+def test_toxicity_tables_say_each_thing_once(setting):
+    """A part's table is one row of its pairs, one of triples and one of words, so that it isn't summed again for each share of the texts."""
+    docs, labels, _ = setting
+    toxic, ordinary = (docs.join(labels.filter(F.col("toxic") == which), "doc_id", "left_semi").select("text") for which in (1, 0))
+    rows = toxicity.kneser_ney(toxicity.WORDS, toxic, ordinary, docs.select("text")).rows
+    found = {(r["part"], r["kind"]): r["count"] for r in rows.groupBy("part", "kind").count().collect()}
+    assert found and set(found.values()) == {1}
+
+
+def test_toxicity_packs_no_bytes_that_are_zero():
+    r = np.random.default_rng(5)
+    keys, counts = np.sort(r.integers(0, 1 << 48, 5000, dtype=np.uint64)), [r.integers(0, 2, 5000).astype(np.uint32) for _ in range(5)]
+    (blob,) = toxicity.packed(0, 0, toxicity.KNOWN, keys, *counts)["blob"].to_pylist()
+    assert list(blob[:6]) == [max(1, -(-int(np.diff(keys, prepend=keys[:1] * 0).max()).bit_length() // 8)), 1, 1, 1, 1, 1]
+    for one, two in zip(toxicity.unpacked(toxicity.KNOWN, 5000, blob), [keys, *counts], strict=True):
+        assert one.dtype == two.dtype and (one == two).all()
+    (blob,) = toxicity.packed(0, 0, toxicity.SPELT, keys, -counts[0].astype(np.float32))["blob"].to_pylist()
+    assert (toxicity.unpacked(toxicity.SPELT, 5000, blob)[1] == -counts[0].astype(np.float32)).all()
+
+
+def test_toxicity_orders_and_hashes_as_the_plain_ways():
+    r = np.random.default_rng(6)
+    keys = r.integers(0, 40, 3000, dtype=np.uint64)
+    more = r.integers(0, 3, 3000, dtype=np.uint64) << np.uint64(32) | r.integers(0, 50, 3000, dtype=np.uint64)  # upper bits tie
+    by, plain = toxicity.ordered(keys, more), np.lexsort((more, keys))
+    assert (keys[by] == keys[plain]).all() and (more[by] == more[plain]).all() and len(np.unique(by)) == 3000
+    data = np.frombuffer("A few words, übung x 日本 zz".encode() * 50, np.uint8)
+    starts, ends, _ = toxicity.words(data, np.array([0, len(data)]), toxicity.APART)
+    assert (toxicity.folded_hashes(data, starts, ends) == toxicity.word_hashes(data, starts, ends, fold=True)).all()
+
+
+def test_toxicity_finds_the_highest_words_of_every_text():
+    """Also of texts whose words are all low, have few different ones, or none."""
+    r = np.random.default_rng(7)
+    size = np.array([0, 1, 2, 400, 3, 0, 900, 50])
+    hashes = r.integers(0, 60, size.sum(), dtype=np.uint64)
+    hashes[-50:] = 7
+    value = np.concatenate([r.normal(-5 if n == 900 else 0, 1, n) for n in size])
+    first = np.concatenate([[0], np.cumsum(size)])
+    found = toxicity.features(value, first, hashes)[:, -1]
+    for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+        best = sorted({h: max(v for g, v in zip(hashes[a:b], np.clip(value[a:b], -6, 6), strict=True) if g == h) for h in hashes[a:b]}.values(), reverse=True)[: toxicity.TOP]
+        assert found[i] == pytest.approx(sum(best) / toxicity.TOP)
