@@ -69,8 +69,9 @@ SLICE = 1 << 19
 COMMON, FILTER_BITS = 1 << 22, 28
 #: Words that a task holds before it gives them on; texts in a part of the tables of words.
 TASK_KEYS, PART_ROWS = 1 << 18, 4000
-#: Texts are rated one share after the other, so that less of what they ask is on disk at once; there are at most so many shares.
-ROUNDS = 8
+#: Texts are rated one share after the other, so that less of what they ask is on disk at once; there are at most so many shares, of
+#: the texts of so many parts at least.
+ROUNDS, SHARE_PARTS = 10, 6
 #: At most so many rows fit the logistic curve.
 FIT_ROWS = 20_000
 #: With more labels than this, texts meet them by a shuffle instead of a broadcast.
@@ -950,7 +951,7 @@ def measured(docs: DataFrame, tables: dict) -> DataFrame:
     letters = spelt_words(stored(all_words(docs.select("text"), own.parts), "toxic-all-words"), tables[LETTERS], own.parts)
     release(since, keep=1)
     known = own.rows.unionByName(letters)
-    rounds, found = min(ROUNDS, max(1, -(-docs.count() // (ROUNDS * PART_ROWS)))), []
+    rounds, found = min(ROUNDS, max(1, -(-docs.count() // (SHARE_PARTS * PART_ROWS)))), []
     for i in range(rounds):
         some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i).select(text_key().alias("of"), "text")
         answers = known.unionByName(asked(some, own.parts)).groupBy("part").applyInArrow(answered, PACKED)
@@ -995,8 +996,10 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     if learnt.select("label").distinct().count() < 2:
         return None
     tables = {kind: kneser_ney(kind, labelled(1), labelled(0), docs.select("text")) for kind in (WORDS, LETTERS)}
+    since = written()
     sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     fit = rated(sample, tables).select("label", *FEATURES).limit(2 * FIT_ROWS).toPandas()  # ids may repeat
+    release(since)
     if fit["label"].nunique() < 2:
         return None
     fit = fit.sort_values(list(fit.columns))  # sums in one order
