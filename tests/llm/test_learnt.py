@@ -303,3 +303,17 @@ def test_toxicity_finds_the_highest_words_of_every_text():
     for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
         best = sorted({h: max(v for g, v in zip(hashes[a:b], np.clip(value[a:b], -6, 6), strict=True) if g == h) for h in hashes[a:b]}.values(), reverse=True)[: toxicity.TOP]
         assert found[i] == pytest.approx(sum(best) / toxicity.TOP)
+
+
+def test_toxicity_letters_take_few_stages(spark):
+    """The driver keeps what it knows of each stage and task, so the sizes of sequences aren't joined one after the other."""
+    words = spark.createDataFrame([(i, bytearray(w.encode()), i % 2, 1) for i, w in enumerate(["a", "bad", "badly", "übung", "longer1than2eight"])], "word long, bytes binary, toxic long, ordinary long")
+    sc = spark.sparkContext
+    sc.setJobGroup("toxicity-letters", "")
+    try:
+        assert toxicity.spelt_model(words).count() > 30
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("toxicity-letters") for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < len(stages) < 20
