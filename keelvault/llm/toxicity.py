@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._filter import bit_map, parted
 from ._store import free_name, release, stored, written
@@ -1062,6 +1063,19 @@ def text_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def shares(docs: DataFrame, n: int) -> list[Column]:
+    """Conditions of n shares of the rows, of which each row meets one: by ranges of whole-numbered ids, so that a share reads those
+    row groups alone that have any of them, by hash of other ids."""
+    own = F.col("doc_id")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return [F.pmod(F.xxhash64(own), F.lit(n)) == i for i in range(n)]
+    cuts = docs.agg(F.percentile_approx(own, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))  # none of an empty table
+    if not cuts:
+        return [F.lit(True)]
+    return [own.isNull() | (own < cuts[0]), *[(own >= a) & (own < b) for a, b in zip(cuts, cuts[1:], strict=False)], own >= cuts[-1]]
+
+
 def measured(docs: DataFrame, tables: dict) -> DataFrame:
     """of (key of the text), FEATURES: a row for each different row of id and text."""
     own: Sequences = tables[WORDS]
@@ -1070,11 +1084,11 @@ def measured(docs: DataFrame, tables: dict) -> DataFrame:
     release(since, keep=1)
     known = own.rows.unionByName(letters)
     rounds, found = min(ROUNDS, max(1, -(-docs.count() // (SHARE_PARTS * PART_ROWS)))), []
-    for i in range(rounds):
-        some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i).select(text_key().alias("of"), "text")
+    for share in shares(docs, rounds):
+        some = docs.filter(share).select(text_key().alias("of"), "text")
         answers = known.unionByName(asked(some, own.parts)).groupBy("part").applyInArrow(answered, PACKED)
         found.append(stored(rated_runs(answers, (own.totals, own.kinds, own.all)).dropDuplicates(["of"]), "toxic-features"))
-    release(since, keep=rounds)
+    release(since, keep=len(found))
     return functools.reduce(DataFrame.unionByName, found)
 
 

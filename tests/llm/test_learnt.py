@@ -317,3 +317,17 @@ def test_toxicity_letters_take_few_stages(spark):
     tracker = sc.statusTracker()
     stages = {s for job in tracker.getJobIdsForGroup("toxicity-letters") for s in tracker.getJobInfo(job).stageIds}
     assert 0 < len(stages) < 20
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_toxicity_shares_hold_each_row_once(spark, tmp_path, kind):
+    """Also rows without an id and of one id; those of whole numbers are ranges that pass over row groups."""
+    rows = [*range(200), *[7] * 50, *[None] * 9]
+    spark.createDataFrame([(i, str(i)) for i in rows], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    shares = toxicity.shares(docs, 4)
+    found = [docs.filter(s) for s in shares]
+    assert len(shares) == 4 and sum(f.count() for f in found) == len(rows) and all(f.count() for f in found)
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in found]
+    assert all(("GreaterThanOrEqual(doc_id" in p or "LessThan(doc_id" in p) == (kind == "long") for p in plans)
+    assert len(toxicity.shares(docs.limit(0), 4)) in (1, 4)
