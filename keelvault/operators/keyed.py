@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +14,10 @@ from ..functions.hashing import packed, unpacked
 from ..functions.names import free, quoted
 from ..functions.types import sortable
 from ..sources.tables import read_table
-from ..specs import Binding, Kept
+from ..specs import Binding, Kept, StageSpec
 from .hwm import TargetFacts
+from .numbered_keys import first_by_numbers
+from .stage import stage
 
 
 def hub(sources: Sequence[Binding], hash_key: str, business_keys: Sequence[str], *, target: DataFrame | Kept | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
@@ -29,7 +32,10 @@ def hub(sources: Sequence[Binding], hash_key: str, business_keys: Sequence[str],
 
 
 def link(sources: Sequence[Binding], link_hash_key: str, foreign_hash_keys: Sequence[str], *, target: DataFrame | Kept | None = None, incremental: bool = False, disable_hwm: bool = False, additional_columns: Sequence[str] = (), cfg: VaultConfig | None = None) -> DataFrame:
-    """link_hash_key, foreign hash keys, additional columns, load date, record source of the rows to insert."""
+    """link_hash_key, foreign hash keys, additional columns, load date, record source of the rows to insert.
+
+    A first load whose sources are all StageSpecs is ranked before it is hashed, where its keys are hashes of whole numbers.
+    """
     if not foreign_hash_keys:
         raise ValueError("a link needs at least one foreign hash key")
     for b in sources:
@@ -47,6 +53,11 @@ def _keyed(sources: Sequence[Binding], key: str, names: Sequence[str], columns:
     extras = [tuple(b.additional_columns or additional) for b in sources]
     if len(set(extras)) > 1:
         raise ValueError(f"the sources' additional columns differ: {extras}")
+    if packs and not incremental and (unhashed := first_by_numbers(sources, key, names, columns, extras[0], cfg)) is not None:
+        return unhashed
+    specs = {id(b.source): b.source for b in sources if isinstance(b.source, StageSpec)}
+    stages = {i: stage(spec, cfg=cfg) for i, spec in specs.items()}
+    sources = [replace(b, source=stages.get(id(b.source), b.source)) for b in sources]
     ldts, rsrc = cfg.ldts_alias, cfg.rsrc_alias
     source, rank = free([key, *names, *extras[0], ldts, rsrc], "_source", "_rank")
     facts, marked = None, incremental and not disable_hwm

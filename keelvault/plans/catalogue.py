@@ -378,7 +378,7 @@ def link_order_customer(spark: SparkSession, d: str) -> DataFrame:
 @query
 def link_multi_source(spark: SparkSession, d: str) -> DataFrame:
     hashes = {"hk_order": ["l_orderkey"], "hk_part": ["l_partkey"], "hk_supplier": ["l_suppkey"], "hk_order_part": ["l_orderkey", "l_partkey"], "hk_order_supplier": ["l_orderkey", "l_suppkey"]}
-    lines = stage(StageSpec(raw(spark, d, "lineitem", piece_bytes=4 << 20), hashed_columns=hashes, derived_columns={"ldts": "CAST(l_shipdate AS TIMESTAMP_NTZ)", "parts": "'ERP/PARTS'", "suppliers": "'ERP/SUPPLIERS'"}))
+    lines = StageSpec(raw(spark, d, "lineitem", piece_bytes=4 << 20), hashed_columns=hashes, derived_columns={"ldts": "CAST(l_shipdate AS TIMESTAMP_NTZ)", "parts": "'ERP/PARTS'", "suppliers": "'ERP/SUPPLIERS'"})
     sources = [Binding(lines, record_source_col="parts", fk_columns=["hk_order", "hk_part"], hash_key_col="hk_order_part"), Binding(lines, record_source_col="suppliers", fk_columns=["hk_order", "hk_supplier"], hash_key_col="hk_order_supplier")]
     return link(sources, "hk_link", ["hk_order", "hk_item"])
 

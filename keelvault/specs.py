@@ -59,9 +59,12 @@ class StageSpec:
 
 @dataclass(frozen=True)
 class Binding:
-    """How an entity reads one staged table.  Key columns map by position to the entity's own names."""
+    """How an entity reads one staged table.  Key columns map by position to the entity's own names.
 
-    source: Source
+    Hubs and links also take a StageSpec, which they stage themselves.
+    """
+
+    source: Source | StageSpec
     load_date_col: str | None = None
     record_source_col: str | None = None
     bk_columns: Sequence[str] | None = None

@@ -1,12 +1,14 @@
 """Hot keys and parents, many patterns, buckets, one pass, and streams that don't read their target."""
 
 import random
+from dataclasses import replace
+from itertools import pairwise
 from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
-from keelvault import Binding, StageSpec, VaultConfig, hub, link, satellite, satellite_end_dated
+from keelvault import Binding, StageSpec, VaultConfig, hub, link, satellite, satellite_end_dated, stage
 from keelvault.functions.hashing import packed, unpacked
 from keelvault.operators import hwm
 from keelvault.operators.anti_join import not_in
@@ -65,6 +67,57 @@ def test_keys_of_a_first_load_travel_as_bytes(spark, no_broadcast):
     assert same(first, source.collect())
 
 
+def test_a_first_link_load_is_ranked_before_it_is_hashed(spark, tmp_path, no_broadcast):
+    """Of a line, four numbers are shuffled once, not two links of three keys each; an order's links lie together."""
+    lines = spark.range(20_000).selectExpr("id div 4 l_orderkey", "id * 7 % 500 l_partkey", "id % 30 l_suppkey", "timestamp_ntz'2031-01-01' + make_interval(0, 0, 0, id % 9) l_shipdate")
+    lines.repartition(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = catalogue.QUERIES["link_multi_source"](spark, str(tmp_path))
+    plan = executed(df)
+    exchanges = [n for n in plan if n.nodeName() == "Exchange"]
+    assert [metric(n, "shuffleRecordsWritten") for n in exchanges] == [20_000]
+    assert metric(exchanges[0], "shuffleBytesWritten") < 40 * 20_000  # over 160 as keys
+    links = [r["hk_order"] for r in df.collect()]
+    assert sum(a != b for a, b in pairwise(links)) == 20_000 // 4 - 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ranked_by_numbers_as_by_hashes(spark, seed):
+    """A link over stages that aren't computed yet is that over the staged rows, whether it is ranked by numbers or not."""
+    rng = random.Random(seed)
+    some = lambda: rng.choice([None, 0, 1, -1, 10, 11, 2**15 - 1])
+    raw = spark.createDataFrame([(some(), some(), some(), f"{some()}", rng.choice(["2031-01-01", "2031-01-02", None]), rng.choice("xyz"), rng.choice("pq")) for _ in range(300)], "`a` long, `b.c` int, `d` short, e string, ldts string, rsrc string, more string")
+    other = raw.selectExpr("d a", "a `b.c`", "`b.c` d", "e", "ldts", "'o' rsrc", "more")
+    keys = {"hk_a": ["a"], "hk_b": ["b.c"], "hk_d": ["d"], "hk_e": ["e"], "hk_ab": ["a", "b.c"], "hk_ad": ["a", "d"], "hk_ba": ["b.c", "a"], "hk_ae": ["a", "e"]}
+    spec, late = StageSpec(raw, hashed_columns=keys, derived_columns={"second": "upper(rsrc)"}), StageSpec(other, hashed_columns=keys)
+    ghosts = StageSpec(raw, hashed_columns=keys, ghost_record_types={"a": "BIGINT", "b.c": "INT", "d": "SMALLINT", "e": "VARCHAR", "ldts": "VARCHAR", "rsrc": "VARCHAR", "more": "VARCHAR"})
+    bound = lambda s, hk, *fks, **o: Binding(s, hash_key_col=hk, fk_columns=list(fks), **o)
+    by_numbers = [
+        [bound(spec, "hk_ab", "hk_a", "hk_b")],
+        [bound(spec, "hk_ab", "hk_a", "hk_b"), bound(spec, "hk_ad", "hk_a", "hk_d", record_source_col="second")],
+        [bound(late, "hk_ad", "hk_a", "hk_d"), bound(spec, "hk_ab", "hk_a", "hk_b"), bound(late, "hk_ab", "hk_a", "hk_b")],
+        [bound(spec, "hk_ab", "hk_ab", "hk_b")],
+    ]
+    by_hashes = [
+        [bound(spec, "hk_ae", "hk_a", "hk_e")],
+        [bound(spec, "hk_ab", "hk_a", "hk_d")],
+        [bound(spec, "hk_ab", "hk_a", "hk_b"), bound(spec, "hk_ba", "hk_a", "hk_b")],
+        [bound(spec, "hk_ab", "hk_a", "hk_b"), Binding(stage(late), hash_key_col="hk_ab", fk_columns=["hk_a", "hk_b"])],
+        [bound(spec, "hk_ab", "hk_a", "hk_b", record_source_col="hk_e")],
+        [bound(ghosts, "hk_ab", "hk_a", "hk_b")],
+    ]
+    cfg = VaultConfig(hash="SHA256", use_trim=False, empty_as_null=True) if seed else VaultConfig()
+    for n, sources in enumerate(by_numbers + by_hashes):
+        staged = {id(b.source): stage(b.source, cfg=cfg) for b in sources if isinstance(b.source, StageSpec)}
+        plain = [replace(b, source=staged.get(id(b.source), b.source)) for b in sources]
+        found, want = (link(s, "hk", ["x", "y"], additional_columns=["more", "e"] if (n + seed) % 2 else [], cfg=cfg) for s in (sources, plain))
+        assert found.dtypes == want.dtypes
+        assert ("_number0" in found._jdf.queryExecution().optimizedPlan().toString()) == (n < len(by_numbers))
+        assert same(found, want.collect())
+    target = link([bound(spec, "hk_ab", "hk_a", "hk_b")], "hk", ["x", "y"]).limit(5)
+    delta = [link([bound(s, "hk_ab", "hk_a", "hk_b")], "hk", ["x", "y"], target=target, incremental=True, disable_hwm=True).count() for s in (spec, stage(spec))]
+    assert delta[0] == delta[1] > 0
+
+
 def test_a_large_table_is_dealt_into_small_pieces(spark, tmp_path):
     spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
